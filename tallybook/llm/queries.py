@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, simhash
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -20,12 +20,19 @@ def tokenizer_path(spark: SparkSession) -> str:
     return str(path)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = simhash.near_duplicates(documents, shingle=4, radius=4)
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("f0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.with_checksums(packing.pack(documents, tokenizer_path(spark)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op9_packing": op9_packing,
 }
 
