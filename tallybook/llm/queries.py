@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import packing, simhash, sketches
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -31,9 +31,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.pack(documents, tokenizer_path(spark)))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return sketches.edited_neighbours(documents)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op9_packing": op9_packing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
