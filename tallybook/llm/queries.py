@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, sketches
+from . import mixing, packing, simhash, sketches, warc
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -26,6 +26,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("f0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.with_checksums(packing.pack(documents, tokenizer_path(spark)))
@@ -38,6 +46,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op6_mixing": op6_mixing,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
