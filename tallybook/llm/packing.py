@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,61 +23,78 @@ from .common import bounded_batches, stored, utf8
 
 WINDOW = 4096
 END_ID = 2
-#: Words a worker keeps the ids of; beyond it starts anew. It bounds memory and changes no result.
+#: Words a worker keeps the ids of, twice over: when so many are held, those not met since the last turn go.
+#: It bounds memory and changes no result.
 CACHED_WORDS = 150_000
 #: With so many stretches or fewer (some 200 bytes each) their offsets are broadcast; beyond it they are joined by shuffle.
 BROADCAST_STRETCHES = 200_000
 
-#: Control characters that Python's split() takes as white space and the tokenizer does not.
-_ODD = re.compile(r"[\x1c-\x1f]|<\|")
+#: Control characters that Python's split() takes as white space and the tokenizer does not; openings of special tokens.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Latin letters whose lower case and canonical form are one letter each, then ASCII punctuation.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as letters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Kept(dict):
+    """A cache of two generations: what was met in neither of them is made anew."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
 
 
 def word_tokenizer(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids (little-endian 32 bits), equal to the tokenizer's on the whole text.
 
-    For tokenizers whose tokens never span white space and that ignore it: each distinct word is encoded
-    once and kept. Words of plain letters with a last comma or full stop share their letters' ids.
+    For byte-level tokenizers with lower case whose tokens never span white space: each distinct word is
+    encoded once and kept. Letters and the punctuation after them are separate tokens and kept apart.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    merge, letters = tokenizer.model.tokenize, _byte_letters()
 
     def encode(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    model = tokenizer.model
-    ends = {c: encode(c) for c in ".,"}
-
-    class Cores(dict):
-        def __missing__(self, word: str) -> bytes:
-            ids = np.array([t.id for t in model.tokenize(word)], dtype="<u4").tobytes()
-            if len(self) < CACHED_WORDS:
-                self[word] = ids
-            return ids
-
-    class Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            end = word[-1]
-            core = word[:-1] if end in ends else word
-            if core.isascii() and core.isalpha():
-                ids = cores[core.lower()]
-                if core is not word:
-                    ids += ends[end]
-            else:
-                ids = encode(word)
-            if len(self) < CACHED_WORDS:
-                self[word] = ids
-            return ids
-
-    cores, words = Cores(), Words()
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_letters(word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in merge(word)]).tobytes()
+
+    def encode_word(word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if not plain:
+            return encode(word)
+        ids = cores[plain[1].lower()]
+        return ids + tails[plain[2]] if plain[2] else ids
+
+    cores, tails, words = _Kept(encode_letters), _Kept(encode), _Kept(encode_word)
 
     def ids_of(text: str) -> bytes:
-        if _ODD.search(text):
-            return encode(text)
-        if len(cores) >= CACHED_WORDS:
-            cores.clear()
-        if len(words) >= CACHED_WORDS:
-            words.clear()
+        for odd in _ODD:
+            if odd in text:
+                return encode(text)
+        for kept in (cores, tails, words):
+            kept.turn()
         return b"".join(map(words.__getitem__, text.split()))
 
     return ids_of
