@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, sketches, warc
+from . import html_text, languages, mixing, packing, simhash, sketches, spans, toxicity, warc
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -26,10 +26,34 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("f0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(documents, labels.filter(~languages.held_out("doc_id", 3, 1)))
+    found = toxicity.scored(documents, model)
+    return found.select(F.col("id").alias("doc_id"), languages.held_out("id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spans.without_repeats(documents).select("doc_id", "text", "n_sentences", "n_removed", F.to_json("removed").alias("removed"))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"), html_text.train())
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = languages.train(documents.filter(~languages.held_out("doc_id", 4, 2)))
+    found = languages.identified(documents, model)
+    return found.select(F.col("id").alias("doc_id"), languages.held_out("id", 4, 2).alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
@@ -46,7 +70,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op3_substrings": op3_substrings,
+    "op4_html": op4_html,
     "op6_mixing": op6_mixing,
+    "op7_languages": op7_languages,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
