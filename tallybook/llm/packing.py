@@ -8,6 +8,7 @@ total a stretch is gathered.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
@@ -61,11 +62,13 @@ class _Kept(dict):
             self.clear()
 
 
+@functools.cache
 def word_tokenizer(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids (little-endian 32 bits), equal to the tokenizer's on the whole text.
 
     For byte-level tokenizers with lower case whose tokens never span white space: each distinct word is
-    encoded once and kept. Letters and the punctuation after them are separate tokens and kept apart.
+    encoded once and kept, in a worker's later tasks too. Letters and the punctuation after them are
+    separate tokens and kept apart.
     """
     from tokenizers import Tokenizer
 
@@ -193,9 +196,9 @@ def _place(at: int, every: int, window: int) -> tuple[int, int, int]:
         begin, rest, sequence = begin + size, rest - size, sequence + 1
 
 
-def with_checksums(pieces: DataFrame) -> DataFrame:
-    """The pieces with ``ids_crc32`` (unsigned CRC-32 of the ids' bytes) in place of the ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def with_checksums(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """The pieces with ``ids_crc32`` (unsigned CRC-32 of the ids' bytes), in place of the ids or beside them."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else []))
 
 
 def crc32_of(ids: list[int]) -> int:
