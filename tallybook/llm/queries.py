@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, languages, mixing, packing, simhash, sketches, spans, toxicity, warc
+from . import html_text, languages, mixing, packing, simhash, sketches, spans, toxicity, vectors, warc
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -43,6 +43,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"), html_text.train())
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_substrings": op3_substrings,
     "op4_html": op4_html,
+    "op5_embeddings": op5_embeddings,
     "op6_mixing": op6_mixing,
     "op7_languages": op7_languages,
     "op8_warc": op8_warc,

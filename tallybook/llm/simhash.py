@@ -31,7 +31,9 @@ from .components import components
 SEED = 42
 #: Members of a bucket that one tile holds.
 TILE = 1024
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: So many large buckets or fewer (12 bytes each) are broadcast; beyond it they are joined by shuffle.
+BROADCAST_BUCKETS = 500_000
+_GOLDEN = 0x9E3779B97F4A7C15
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -61,7 +63,7 @@ def majority(hashes: np.ndarray, n_words: int) -> np.ndarray:
         for k in range(n_words):
             h = part
             if k:
-                h = part + np.uint64(k) * _GOLDEN
+                h = part + np.uint64(k * _GOLDEN & 0xFFFFFFFFFFFFFFFF)
                 h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 h = h ^ (h >> np.uint64(31))
@@ -124,8 +126,10 @@ def near_edges(nodes: DataFrame, radius: int, masks: list[list[int]], n_words: i
     """
     words = [f"f{k}" for k in range(n_words)]
     rows = nodes.select("rep", *words, _bucket_keys(masks))
-    large = nodes.select(*words, _bucket_keys(masks)).groupBy("bucket").count().filter(F.col("count") > TILE).select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    tiled = rows.join(large, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    sizes = nodes.select(*words, _bucket_keys(masks)).groupBy("bucket").count()
+    large = stored(sizes.filter(F.col("count") > TILE).select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "large")
+    few = large.count() <= BROADCAST_BUCKETS
+    tiled = rows.join(F.broadcast(large) if few else large, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     units = tiled.select(
@@ -303,3 +307,21 @@ def near_duplicates(
 
 def hex_fingerprint(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
+
+
+#: For whole shingle sets: five words, and 46 of 256 bits, the distance of texts that share about 0.77 of their shingles.
+WIDE = {"shingle": 5, "n_words": 4, "radius": 46, "miss": 0.05}
+
+
+def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **found_by) -> DataFrame:
+    """The documents, all columns, without those linked to one of a smaller id; of rows with one id one stays.
+
+    ``found_by``: parameters of ``near_duplicates``, by default a similarity of about 0.8 on five-word
+    shingles. A null id stays where nothing with an id is linked to it.
+    """
+    found = near_duplicates(documents, id_column=id_column, text_column=text_column, **(found_by or WIDE))
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_gone")).distinct()
+    kept = documents.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    if documents.groupBy(id_column).count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_column])
+    return kept

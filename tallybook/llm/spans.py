@@ -158,3 +158,11 @@ def _cut(text: bytes, marks: np.ndarray | None) -> tuple[bytes, int, int, list[d
         kept.append(text[at : piece["begin"]])
         at = piece["end"]
     return b"".join([*kept, text[at:]]), len(parts), int(covered.sum()), removed
+
+
+def rid_of_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """The documents, same columns, without repeated passages and with their new lengths; those left without a word go."""
+    done = without_repeats(documents, id_column, text_column)
+    kept = done.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_sentences")))
+    length = F.when(F.col("n_removed") > 0, F.char_length(text_column)).otherwise(F.col(length_column)).cast(documents.schema[length_column].dataType)
+    return kept.select(*(length.alias(c) if c == length_column else F.col(c) for c in documents.columns))
