@@ -1 +1 @@
-"""See the package docstring."""
+"""Column builders: numbers, dates, references, codes and similarities as expressions that stay in the JVM."""
