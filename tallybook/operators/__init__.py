@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators over whole tables: record linkage, comparison of documents, aggregation, time."""

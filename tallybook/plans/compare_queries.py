@@ -1 +1,127 @@
-"""."""
+"""Queries that compare documents (C) and the roll-ups of their findings (A12-A17)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import compare
+from .fixtures import ITEMS_A, ITEMS_B
+from .registry import frame, plain, query, table
+
+_MATCHED = f"""WITH a AS (SELECT doc, ref, qty, net, unit, CASE WHEN qty <> 0 THEN round(CAST(net * 10000 / qty AS DECIMAL(38,2)), 0) END AS p FROM ({plain(ITEMS_A)}) x),
+  b AS (SELECT doc, ref, qty, net, unit, CASE WHEN qty <> 0 THEN round(CAST(net * 10000 / qty AS DECIMAL(38,2)), 0) END AS p FROM ({plain(ITEMS_B)}) y),
+  m AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.ref, b.ref) AS ref, a.qty IS NOT NULL AS in_a, b.qty IS NOT NULL AS in_b, a.qty = b.qty AS quantity_equal, coalesce(a.unit = b.unit, true) AS unit_equal,
+    CASE WHEN a.p IS NULL OR b.p IS NULL OR a.p = b.p THEN 'ok' WHEN a.net = b.net OR abs(a.p - b.p) * 200 < greatest(abs(a.p), abs(b.p), 1) OR round(a.p / 100.0, 0) = round(b.p / 100.0, 0) THEN 'format'
+      WHEN abs(a.p - b.p) * 50 < greatest(abs(a.p), abs(b.p), 1) THEN 'doubtful' ELSE 'different' END AS price_verdict,
+    CASE WHEN a.net IS NULL OR b.net IS NULL OR a.net = b.net THEN 'ok' ELSE 'different' END AS net_verdict FROM a FULL JOIN b ON a.doc = b.doc AND a.ref = b.ref),
+  c AS (SELECT *, CASE WHEN NOT in_b THEN 'missing in b' WHEN NOT in_a THEN 'missing in a' WHEN coalesce(NOT quantity_equal, false) OR price_verdict = 'different' OR net_verdict = 'different' THEN 'different'
+    WHEN NOT unit_equal THEN 'doubtful' WHEN price_verdict <> 'ok' THEN price_verdict ELSE 'ok' END AS status FROM m) """
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    return compare.compare_items(frame(spark, d, ITEMS_A), frame(spark, d, ITEMS_B))
+
+
+@query("c01_compare_items", _MATCHED + "SELECT doc, ref, status, quantity_equal, unit_equal, price_verdict, net_verdict FROM c")
+def c01(spark: SparkSession, d: str) -> DataFrame:
+    return _compared(spark, d).drop("arithmetic_ok")
+
+
+_FOUND = _MATCHED + """, f AS (SELECT doc, ref, 'position' AS category, 'error' AS severity FROM c WHERE status LIKE 'missing%' UNION ALL SELECT doc, ref, 'quantity', 'error' FROM c WHERE NOT quantity_equal
+  UNION ALL SELECT doc, ref, 'unit', 'warning' FROM c WHERE NOT unit_equal AND status NOT LIKE 'missing%' UNION ALL SELECT doc, ref, 'price', CASE price_verdict WHEN 'different' THEN 'error' ELSE 'warning' END FROM c WHERE price_verdict IN ('different', 'doubtful') AND status NOT LIKE 'missing%'
+  UNION ALL SELECT doc, ref, 'value', 'error' FROM c WHERE net_verdict = 'different' AND status NOT LIKE 'missing%') """
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    return compare.item_findings(_compared(spark, d)).filter("category <> 'arithmetic'")
+
+
+@query("c07_findings", _FOUND + "SELECT * FROM f")
+def c07(spark: SparkSession, d: str) -> DataFrame:
+    return _findings(spark, d)
+
+
+@query("a12_risk", _FOUND + ", s AS (SELECT doc, count(*) FILTER (WHERE severity = 'error') AS n_errors, count(*) FILTER (WHERE severity = 'warning') AS n_warnings FROM f GROUP BY doc) SELECT c.doc, coalesce(any_value(n_errors), 0) AS n_errors, coalesce(any_value(n_warnings), 0) AS n_warnings, count(*) FILTER (WHERE status = 'format') AS n_formats, CASE WHEN coalesce(any_value(n_errors), 0) > 0 THEN 'error' WHEN coalesce(any_value(n_warnings), 0) > 0 THEN 'warning' WHEN count(*) FILTER (WHERE status = 'format') > 0 THEN 'format' ELSE 'ok' END AS risk FROM c LEFT JOIN s ON c.doc = s.doc GROUP BY c.doc")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    c = _compared(spark, d).drop("arithmetic_ok").withColumn("arithmetic_ok", F.lit(None).cast("boolean"))
+    missing = F.col("status").startswith("missing")
+    errors = missing.cast("int") + F.coalesce((~F.col("quantity_equal")).cast("int"), F.lit(0)) + (~missing & (F.col("price_verdict") == "different")).cast("int") + (~missing & (F.col("net_verdict") == "different")).cast("int")
+    warnings = (~missing & ~F.col("unit_equal")).cast("int") + (~missing & (F.col("price_verdict") == "doubtful")).cast("int")
+    sums = c.groupBy("doc").agg(F.sum(errors).alias("n_errors"), F.sum(warnings).alias("n_warnings"), F.count_if(F.col("status") == "format").alias("n_formats"))
+    return sums.withColumn("risk", compare.risk(F.col("n_errors"), F.col("n_warnings"), F.col("n_formats")))
+
+
+@query("a13_status_counts", _MATCHED + "SELECT doc, count(*) FILTER (WHERE status = 'different') AS n_different, count(*) FILTER (WHERE status = 'doubtful' OR status LIKE 'missing%') AS n_warnings, count(*) FILTER (WHERE status = 'format') AS n_formats, count(*) FILTER (WHERE status = 'ok') AS n_ok FROM c GROUP BY doc")
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("status")
+    return _compared(spark, d).groupBy("doc").agg(F.count_if(s == "different").alias("n_different"), F.count_if((s == "doubtful") | s.startswith("missing")).alias("n_warnings"), F.count_if(s == "format").alias("n_formats"), F.count_if(s == "ok").alias("n_ok"))
+
+
+@query("a16_distinct_findings", _FOUND + "SELECT doc, category, min(ref) AS ref, count(*) AS n FROM f GROUP BY doc, category")
+def a16(spark: SparkSession, d: str) -> DataFrame:
+    return _findings(spark, d).groupBy("doc", "category").agg(F.min("ref").alias("ref"), F.count(F.lit(1)).alias("n"))
+
+
+@query("f17_alert", _FOUND + ", s AS (SELECT doc, count(*) FILTER (WHERE severity = 'error') AS e, bool_or(category = 'quantity') AS q FROM f GROUP BY doc) SELECT doc, e AS n_errors, concat_ws(',', CASE WHEN e >= 2 THEN 'errors' END, CASE WHEN q THEN 'quantity' END) AS reasons FROM s WHERE e >= 2 OR q")
+def f17(spark: SparkSession, d: str) -> DataFrame:
+    sums = _findings(spark, d).groupBy("doc").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.bool_or(F.col("category") == "quantity").alias("q"))
+    reasons = F.concat_ws(",", F.when(F.col("n_errors") >= 2, "errors"), F.when(F.col("q"), "quantity"))
+    return sums.filter("n_errors >= 2 OR q").select("doc", "n_errors", reasons.alias("reasons"))
+
+
+_FIELDS = "SELECT o_orderkey AS doc, unnest(['status', 'priority', 'date']) AS field, unnest([o_orderstatus, CASE WHEN o_orderkey % 5 = {k} THEN '' WHEN o_orderkey % 7 = {k} THEN lower(o_orderpriority) ELSE o_orderpriority END, CAST(CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 11 = {k} THEN 1 ELSE 0 END AS VARCHAR)]) AS value FROM orders"
+
+
+@query("c02_header_fields", f"""WITH a AS ({_FIELDS.format(k=0)}), b AS ({_FIELDS.format(k=1)}), m AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.field, b.field) AS field, nullif(a.value, '') AS x, nullif(b.value, '') AS y FROM a FULL JOIN b ON a.doc = b.doc AND a.field = b.field)
+  SELECT doc, field, CASE WHEN x IS NULL AND y IS NULL THEN 'same' WHEN x IS NULL THEN 'missing in a' WHEN y IS NULL THEN 'missing in b' WHEN x = y THEN 'same' WHEN lower(x) = lower(y) THEN 'format' ELSE 'different' END AS verdict FROM m""")
+def c02(spark: SparkSession, d: str) -> DataFrame:
+    def fields(k: int) -> DataFrame:
+        o = F.col("o_orderkey")
+        priority = F.when(o % 5 == k, "").when(o % 7 == k, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority"))
+        day = F.date_add(F.col("o_orderdate").cast("date"), F.when(o % 11 == k, 1).otherwise(0)).cast("string")
+        pairs = F.array(*(F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in (("status", F.col("o_orderstatus")), ("priority", priority), ("date", day))))
+        return table(spark, d, "orders").select(o.alias("doc"), F.explode(pairs).alias("f")).select("doc", "f.field", "f.value")
+
+    return compare.compare_fields(fields(0), fields(1), ["doc"])
+
+
+@query("c12_master_check", "SELECT DISTINCT l_partkey, CASE WHEN p_partkey IS NULL THEN 'not in master' WHEN p_size % 7 = l_partkey % 7 THEN 'code differs' ELSE 'ok' END AS status FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) ON l_partkey = p_partkey")
+def c12(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "lineitem").select("l_partkey").distinct()
+    master = table(spark, d, "part").filter("p_partkey % 10 <> 0").select("p_partkey", "p_size")
+    status = F.when(F.col("p_partkey").isNull(), "not in master").when(F.col("p_size") % 7 == F.col("l_partkey") % 7, "code differs").otherwise("ok")
+    return items.join(master, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_partkey", status.alias("status"))
+
+
+_LINES = "SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS place, unnest(string_split(text, chr(10))) AS line FROM documents"
+
+
+@query("c14_line_comparison", f"WITH l AS ({_LINES}), a AS (SELECT doc_id // 2 AS pair, place, line FROM l WHERE doc_id % 2 = 0), b AS (SELECT doc_id // 2 AS pair, place, line FROM l WHERE doc_id % 2 = 1) SELECT pair, verdict, count(*) AS n FROM (SELECT coalesce(a.pair, b.pair) AS pair, CASE WHEN b.line IS NULL THEN 'only in a' WHEN a.line IS NULL THEN 'only in b' WHEN a.line = b.line THEN 'same' ELSE 'changed' END AS verdict FROM a FULL JOIN b ON a.pair = b.pair AND a.place = b.place) GROUP BY pair, verdict")
+def c14(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("pair", F.expr("doc_id div 2"))
+    a, b = lines.filter("doc_id % 2 = 0").select("pair", "place", F.col("line").alias("a")), lines.filter("doc_id % 2 = 1").select("pair", "place", F.col("line").alias("b"))
+    verdict = F.when(F.col("b").isNull(), "only in a").when(F.col("a").isNull(), "only in b").when(F.col("a") == F.col("b"), "same").otherwise("changed")
+    return a.join(b, ["pair", "place"], "full").groupBy("pair", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c16_consensus", "WITH v AS (SELECT l_orderkey AS doc, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT doc, value, sum(n) OVER (PARTITION BY doc) AS total, n, row_number() OVER (PARTITION BY doc ORDER BY n DESC, value) AS r FROM v) SELECT doc, value AS consensus, CAST(total - n AS BIGINT) AS n_other FROM m WHERE r = 1")
+def c16(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("doc")
+    best = counts.withColumn("total", F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "value")))
+    return best.filter("r = 1").select("doc", F.col("value").alias("consensus"), (F.col("total") - F.col("n")).alias("n_other"))
+
+
+@query("c23_price_tolerance", _MATCHED + "SELECT doc, ref, CASE WHEN status = 'different' AND quantity_equal AND price_verdict IN ('ok', 'format', 'doubtful') THEN 'format' ELSE status END AS status FROM c")
+def c23(spark: SparkSession, d: str) -> DataFrame:
+    lenient = (F.col("status") == "different") & F.col("quantity_equal") & F.col("price_verdict").isin("ok", "format", "doubtful")
+    return _compared(spark, d).select("doc", "ref", F.when(lenient, "format").otherwise(F.col("status")).alias("status"))
+
+
+@query("a28_changed_columns", "SELECT s_suppkey, 'city' AS \"column\", CAST(s_nationkey AS VARCHAR) AS old, CAST(s_nationkey + 1 AS VARCHAR) AS new FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'name', s_name, NULL FROM supplier WHERE s_suppkey % 5 = 0")
+def a28(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    old = s.select("s_suppkey", F.col("s_nationkey").alias("city"), F.col("s_name").alias("name"))
+    new = s.select("s_suppkey", (F.col("s_nationkey") + F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0)).alias("city"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name")).alias("name"))
+    return compare.changed_columns(old, new, "s_suppkey")

@@ -1 +1,158 @@
-"""."""
+"""Queries of record linkage (J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import linkage
+from .fixtures import ITEMS_A, ITEMS_B
+from .registry import frame, plain, query, table
+
+
+@query("j01_orders_with_containers", "SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey")
+def j01(spark: SparkSession, d: str) -> DataFrame:
+    customers = table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name", "c_mktsegment")
+    return table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
+
+
+@query("j02_creator_and_checker", "SELECT o_orderkey, a.c_name AS creator, b.c_name AS checker FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey LEFT JOIN customer b ON o_custkey + 1 = b.c_custkey ORDER BY o_orderkey DESC LIMIT 200")
+def j02(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "customer").select("c_custkey", "c_name")
+    top = table(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy(F.desc("o_orderkey")).limit(200)
+    a, b = people.select(F.col("c_custkey").alias("ka"), F.col("c_name").alias("creator")), people.select(F.col("c_custkey").alias("kb"), F.col("c_name").alias("checker"))
+    return top.join(a, F.col("o_custkey") == F.col("ka"), "left").join(b, F.col("o_custkey") + 1 == F.col("kb"), "left").select("o_orderkey", "creator", "checker")
+
+
+@query("j04_backfill", "SELECT o_orderkey, coalesce(CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderpriority END, c_mktsegment) AS department FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def j04(spark: SparkSession, d: str) -> DataFrame:
+    own = F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority"))
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce(own, "c_mktsegment").alias("department"))
+
+
+@query("j05_suppliers_with_stats", "SELECT s_suppkey, coalesce(n, 0) AS n_lines, coalesce(last, '') AS last_day FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) AS last FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey) ON s_suppkey = l_suppkey")
+def j05(spark: SparkSession, d: str) -> DataFrame:
+    stats = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_shipdate").cast("date").cast("string").alias("last"))
+    return table(spark, d, "supplier").join(stats, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("last", F.lit("")).alias("last_day"))
+
+
+_MASTER = "SELECT p_partkey AS code_id, concat('M', lpad(CAST(p_partkey % 997 AS STRING), 4, '0'), CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('-', CAST(p_size % 10 AS STRING)) END) AS ref_code, p_brand AS family FROM {part}"
+_LOOKED = "SELECT DISTINCT l_partkey AS item, CASE l_partkey % 4 WHEN 0 THEN concat('M', lpad(CAST(l_partkey % 997 AS STRING), 4, '0')) WHEN 1 THEN concat('m ', lpad(CAST(l_partkey % 997 AS STRING), 4, '0'), '/', CAST(l_partkey % 10 AS STRING)) WHEN 2 THEN concat('M', lpad(CAST(l_partkey % 99 AS STRING), 2, '0')) ELSE 'ZZ' END AS raw FROM {lineitem}"
+_STRICT = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
+
+
+@query("j07_two_tier_lookup", f"""WITH m AS ({plain(_MASTER)}), i AS ({plain(_LOOKED)}), n AS (SELECT *, {_STRICT.format('ref_code')} AS norm FROM m),
+  e AS (SELECT ref_code, min(code_id) AS code_id FROM m GROUP BY ref_code), l AS (SELECT norm, min(ref_code) AS ref_code FROM n GROUP BY norm)
+  SELECT item, CASE WHEN e.ref_code IS NOT NULL THEN 'exact' WHEN l.norm IS NOT NULL THEN 'loose' ELSE 'none' END AS tier, coalesce(e.ref_code, l.ref_code) AS ref_code FROM i LEFT JOIN e ON raw = e.ref_code LEFT JOIN l ON {_STRICT.format('raw')} = l.norm""")
+def j07(spark: SparkSession, d: str) -> DataFrame:
+    master = frame(spark, d, _MASTER).withColumn("norm", text.strict_ref(F.col("ref_code")))
+    items = frame(spark, d, _LOOKED).withColumn("raw_norm", text.strict_ref(F.col("raw")))
+    return linkage.two_tier(items, master, ("raw", "ref_code"), ("raw_norm", "norm"), "item").select("item", "tier", F.col("m.ref_code").alias("ref_code"))
+
+
+_CANDIDATES = f"""WITH m AS (SELECT DISTINCT {_STRICT.format('ref_code')} AS norm FROM ({plain(_MASTER)}) a), i AS (SELECT item, {_STRICT.format('raw')} AS raw FROM ({plain(_LOOKED)}) b),
+  c AS (SELECT item, norm FROM i JOIN m ON starts_with(norm, raw) AND regexp_matches(substring(norm, length(raw) + 1), '^[0-9]*$') AND regexp_replace(raw, '[0-9]+$', '') = regexp_replace(norm, '[0-9]+$', '')) """
+
+
+@query("j08_prefix_candidates", _CANDIDATES + "SELECT item, count(*) AS n, min(norm) AS first_ref FROM c GROUP BY item")
+def j08(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("first_ref"))
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    master = frame(spark, d, _MASTER).select(text.strict_ref(F.col("ref_code")).alias("norm")).distinct()
+    items = frame(spark, d, _LOOKED).select("item", text.strict_ref(F.col("raw")).alias("raw"))
+    return linkage.prefix_candidates(items, "raw", master, "norm")
+
+
+@query("j09_match_status", _CANDIDATES + ", n AS (SELECT item, count(*) AS n FROM c GROUP BY item) SELECT i.item, CASE WHEN coalesce(n, 0) = 1 THEN 'matched' WHEN coalesce(n, 0) > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM i LEFT JOIN n ON i.item = n.item")
+def j09(spark: SparkSession, d: str) -> DataFrame:
+    counted = _candidates(spark, d).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    return frame(spark, d, _LOOKED).select("item").join(counted, "item", "left").select("item", linkage.match_status(F.coalesce("n", F.lit(0))).alias("status"))
+
+
+@query("j10_first_line_draws_weight", "WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_quantity, l_extendedprice) AS k, sum(CAST(l_quantity AS DECIMAL(18,2))) OVER (PARTITION BY l_orderkey, l_partkey) AS total FROM lineitem) SELECT l_orderkey AS doc, l_partkey AS part, l_linenumber AS line, CASE WHEN k = 1 THEN total END AS weight FROM r", money=("weight",))
+def j10(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey", "l_partkey")
+    first = F.row_number().over(w.orderBy("l_linenumber", "l_quantity", "l_extendedprice")) == 1
+    total = F.sum(F.col("l_quantity").cast("decimal(18,2)")).over(w)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), F.when(first, total).alias("weight"))
+
+
+@query("j12_exact_pairs", f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY doc, unit ORDER BY line, part) AS k FROM ({plain(ITEMS_A)}) x), b AS (SELECT *, row_number() OVER (PARTITION BY doc, unit ORDER BY line, part) AS k FROM ({plain(ITEMS_B)}) y)
+  SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.unit, b.unit) AS unit, a.part AS part_a, b.part AS part_b FROM a FULL JOIN b ON a.doc = b.doc AND a.unit = b.unit AND a.k = b.k""")
+def j12(spark: SparkSession, d: str) -> DataFrame:
+    pairs = linkage.paired_in_order(frame(spark, d, ITEMS_A), frame(spark, d, ITEMS_B), ["doc", "unit"], ["line", "part"])
+    return pairs.select("doc", "unit", F.col("a.part").alias("part_a"), F.col("b.part").alias("part_b"))
+
+
+@query("j13_fuzzy_pairs")
+def j13(spark: SparkSession, d: str) -> DataFrame:
+    a, b = frame(spark, d, ITEMS_A), frame(spark, d, ITEMS_B)
+    left = a.join(b.select("doc", "ref"), ["doc", "ref"], "left_anti")
+    right = b.join(a.select("doc", "ref"), ["doc", "ref"], "left_anti")
+    return linkage.greedy_pairs(linkage.fuzzy_candidates(left, right, "doc", "ref", 80.0), "doc", "a", "b", "score")
+
+
+@query("j17_best_position", """WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS a FROM benchmark), p AS (SELECT doc_id % 40 AS item_id, doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS b FROM documents WHERE n_chars < 500),
+  s AS (SELECT w.item_id, doc_id, round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 9) AS score FROM w JOIN p ON w.item_id = p.item_id)
+  SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC NULLS LAST, doc_id) AS r FROM s WHERE score >= 0.02) WHERE r = 1""")
+def j17(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("a"))
+    docs = table(spark, d, "documents").filter("n_chars < 500").select((F.col("doc_id") % 40).alias("item_id"), "doc_id", text.tokens(F.col("text")).alias("b"))
+    scored = docs.join(items, "item_id").select("item_id", "doc_id", F.round(text.jaccard(F.col("a"), F.col("b")), 9).alias("score")).filter("score >= 0.02")
+    return linkage.latest(scored, ["item_id"], [F.desc("score"), F.col("doc_id")]).select("item_id", "doc_id")
+
+
+@query("j21_latest_revision", "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents) WHERE r = 1")
+def j21(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return docs.groupBy("source").agg(F.max(F.struct("n_chars", "doc_id")).alias("m")).select("source", F.col("m.doc_id").alias("doc_id"), F.col("m.n_chars").alias("n_chars"))
+
+
+@query("j22_suggest_by_text", """WITH t AS (SELECT p_partkey, unnest(list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS w FROM part),
+  q AS (SELECT * FROM t WHERE p_partkey % 200 = 0), c AS (SELECT q.p_partkey AS asked, t.p_partkey AS found, count(*) AS shared FROM q JOIN t ON q.w = t.w AND q.p_partkey <> t.p_partkey GROUP BY 1, 2 HAVING count(*) >= 2)
+  SELECT asked, found, shared FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY shared DESC, found) AS r FROM c) WHERE r <= 10""")
+def j22(spark: SparkSession, d: str) -> DataFrame:
+    words = text.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    every = table(spark, d, "part").select("p_partkey", F.explode(words).alias("w"))
+    asked = every.filter("p_partkey % 200 = 0").select(F.col("p_partkey").alias("asked"), "w")
+    shared = asked.join(every.select(F.col("p_partkey").alias("found"), "w"), "w").filter("asked <> found").groupBy("asked", "found").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 2")
+    return shared.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("shared"), "found"))).filter("r <= 10").drop("r")
+
+
+_RULES = "SELECT * FROM (VALUES ('*', 'CTN', 'PCS', 1000.0D), ('*', 'OP', 'PCS', 10.0D), ('AB000007', 'CTN', 'PCS', 500.0D), ('*', 'PCS', 'SET', 0.0D), ('AB000011', 'PCS', 'OP', 4.0D)) AS r(ref, unit_from, unit_to, factor)"
+_FACTOR = f"""WITH i AS ({plain(ITEMS_A)}), r AS (SELECT * FROM ({_RULES.replace('D)', ')')}) z WHERE factor <> 0), e AS (SELECT ref, unit_from, unit_to, factor, 0 AS way FROM r UNION ALL SELECT ref, unit_to, unit_from, 1 / factor, 1 FROM r),
+  f AS (SELECT i.doc, i.part, i.qty, i.unit, e.factor, row_number() OVER (PARTITION BY i.doc, i.part ORDER BY CASE WHEN e.ref = '*' THEN 1 ELSE 0 END, way) AS k FROM i LEFT JOIN e ON i.unit = e.unit_from AND e.unit_to = 'PCS' AND (e.ref = '*' OR e.ref = i.ref)) """
+
+
+def _factors(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.sql(_RULES)
+    return linkage.unit_factor(frame(spark, d, ITEMS_A).withColumn("to", F.lit("PCS")), rules, "ref", "unit", "to", "doc")
+
+
+@query("j26_unit_factor", _FACTOR + "SELECT doc, part, CASE WHEN unit = 'PCS' THEN 1.0 ELSE CAST(factor AS DOUBLE) END AS factor FROM f WHERE k = 1", money=("factor",))
+def j26(spark: SparkSession, d: str) -> DataFrame:
+    return _factors(spark, d).select("doc", "part", "factor")
+
+
+@query("j27_converted_quantity", _FACTOR + "SELECT unit, sum(CAST(qty * CAST(CASE WHEN unit = 'PCS' THEN 1.0 ELSE factor END AS DECIMAL(12,4)) AS DECIMAL(28,4))) AS pieces FROM f WHERE k = 1 GROUP BY unit", money=("pieces",))
+def j27(spark: SparkSession, d: str) -> DataFrame:
+    return _factors(spark, d).groupBy("unit").agg(F.sum((F.col("qty") * F.col("factor").cast("decimal(12,4)")).cast("decimal(28,4)")).alias("pieces"))
+
+
+@query("j33_latest_of_each_type", "SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderpriority < '4') WHERE r = 1")
+def j33(spark: SparkSession, d: str) -> DataFrame:
+    best = table(spark, d, "orders").filter("o_orderpriority < '4'").groupBy("o_custkey", "o_orderpriority").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m"))
+    return best.select("o_custkey", "o_orderpriority", F.col("m.o_orderkey").alias("o_orderkey"))
+
+
+@query("j36_backfill_alias", "SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN NULL ELSE p_brand END, (SELECT min(r_name) FROM region WHERE contains(p_name, substring(lower(r_name), 1, 2)))) AS ref FROM part")
+def j36(spark: SparkSession, d: str) -> DataFrame:
+    aliases = table(spark, d, "region").select("r_name", F.substring(F.lower("r_name"), 1, 2).alias("pattern"))
+    parts = table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") <= 25, F.col("p_brand")).alias("own"))
+    # Every region is a pattern: their number is fixed.
+    hits = parts.join(F.broadcast(aliases), F.col("p_name").contains(F.col("pattern"))).groupBy("p_partkey").agg(F.min("r_name").alias("alias"))
+    return parts.join(hits, "p_partkey", "left").select("p_partkey", F.coalesce("own", "alias").alias("ref"))
