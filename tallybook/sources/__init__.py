@@ -1 +1,65 @@
-"""See the package docstring."""
+"""Readers, writers and merges."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.numbers import safe_cell
+
+#: Separators that a text table may have.
+SEPARATORS = (",", ";", "\t")
+
+
+def separator(spark: SparkSession, path: str) -> str:
+    """The separator met most often in the file's first lines."""
+    head = "\n".join(r[0] for r in spark.read.text(path).limit(50).collect())[:8192]
+    return max(SEPARATORS, key=lambda c: (head.count(c), -SEPARATORS.index(c)))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A text table with a header, all columns as text; its separator is found out."""
+    return spark.read.option("header", True).option("sep", separator(spark, path)).option("encoding", "UTF-8").csv(path)
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str], keep_blank: Sequence[str] = ()) -> DataFrame:
+    """The old rows with the new ones put over them; of new rows of one key the last in the order counts.
+
+    Columns in ``keep_blank``: a blank or null new value does not replace an old one. Keys match null-safe.
+    """
+    values = [c for c in old.columns if c not in keys]
+    last = new.groupBy(*keys).agg(F.max(F.struct(*order, *(F.col(c).alias("_v_" + c) for c in values))).alias("n")).select(*(F.col(k).alias("_k_" + k) for k in keys), "n", F.lit(True).alias("_new"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_k_" + k))
+    joined = old.withColumn("_old", F.lit(True)).join(last, same, "full")
+    pick = lambda c: F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.coalesce(F.nullif(F.trim(F.col(f"n._v_{c}").cast("string")), F.lit("")).cast(old.schema[c].dataType), F.col(c)) if c in keep_blank else F.col(f"n._v_{c}"))
+    return joined.select(*(F.when(F.col("_old").isNull(), F.col("_k_" + k)).otherwise(F.col(k)).alias(k) for k in keys), *(pick(c).alias(c) for c in values))
+
+
+def changed_files(files: DataFrame, state: DataFrame, path: str = "path", digest: str = "digest") -> DataFrame:
+    """(path, change): new, changed or gone against the stored state."""
+    now, before = files.select(path, F.col(digest).alias("_now")), state.select(path, F.col(digest).alias("_before"))
+    change = F.when(F.col("_before").isNull(), "new").when(F.col("_now").isNull(), "gone").when(F.col("_now") != F.col("_before"), "changed")
+    return now.join(before, path, "full").select(path, change.alias("change")).filter("change is not null")
+
+
+def first_that_works(candidates: DataFrame, key: str, text: str, priority: str, least: int = 50) -> DataFrame:
+    """For each key the text of the first priority with over ``least`` characters."""
+    good = candidates.filter(F.length(F.trim(text)) > least)
+    return good.groupBy(key).agg(F.min(F.struct(priority, text)).alias("_m")).select(key, f"_m.{priority}", f"_m.{text}")
+
+
+def write_safe(df: DataFrame, path: str) -> None:
+    """A CSV table whose cells no spreadsheet takes for formulas."""
+    texts = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
+    df.select(*(safe_cell(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns)).write.mode("overwrite").option("header", True).csv(path)
+
+
+def pipe_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row_no, cells): the rows of a table drawn with pipes, without its rule lines."""
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).filter(F.trim("line").startswith("|") & ~F.col("line").rlike(r"^[\s|:\-]+$"))
+    inner = F.regexp_replace(F.trim("line"), r"^\||\|$", "")
+    return lines.select(key, F.col("line_no").alias("row_no"), F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells"))

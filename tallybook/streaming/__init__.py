@@ -1 +1 @@
-"""See the package docstring."""
+"""Structured Streaming twins of the time operators."""
