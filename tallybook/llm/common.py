@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes in a batch that goes to a Python worker. Rows of any length then need bounded memory.
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 4000
+BATCH_BYTES = 3 << 20
+BATCH_ROWS = 2000
 
 _own_folder: list[str] = []
 
@@ -57,6 +59,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task's function; at its end the worker, which lives on for later tasks, gives free memory back."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def utf8(column: str) -> Column:
     """The text's UTF-8 bytes; null counts as empty. Bytes reach Python without decoding."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

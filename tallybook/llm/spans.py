@@ -14,10 +14,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, utf8
+from .common import bounded_batches, stored, tidied, utf8
+from .sketches import _down, _up
 
 #: A run is the shortest stretch from its first sentence on that has so many sentences and so many words.
 RUN_SENTENCES = 3
@@ -35,12 +36,12 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     A sentence ends after . ! ? before white space, and at line ends. Where a long one is cut depends only
     on the words at the cut, so that a passage is cut alike wherever it stands.
     """
-    out, begin = [], 0
+    out, begin, lower = [], 0, text.lower()
     edges = [m.end() for m in _END.finditer(text)]
     if not edges or edges[-1] < len(text):
         edges.append(len(text))
     for end in edges:
-        words = text[begin:end].lower().split()
+        words = lower[begin:end].split()
         if len(words) <= LONG_SENTENCE:
             if words:
                 out.append((begin, end, words))
@@ -50,8 +51,8 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
                 continue
         else:
             at, held = begin, []
-            for m in re.finditer(rb"\S+\s*", text[begin:end]):
-                word = m.group().lower().rstrip()
+            for m in re.finditer(rb"\S+\s*", lower[begin:end]):
+                word = m.group().rstrip()
                 if held and zlib.crc32(held[-1] + b" " + word) % _CUT_EVERY == 0:
                     out.append((at, begin + m.start(), held))
                     at, held = begin + m.start(), []
@@ -61,60 +62,67 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     return out
 
 
-def runs(words: list[list[bytes]], least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> Iterator[tuple[int, int, int]]:
-    """(first, last, hash) of each run of sentences, by their numbers."""
-    joined = [b" ".join(w) for w in words]
-    last, have = -1, 0
-    for first in range(len(words)):
-        while last - first + 1 < least_sentences or have < least_words:
-            last += 1
-            if last >= len(words):
-                return
-            have += len(words[last])
-        yield first, last, xxhash.xxh3_64_intdigest(b" ".join(joined[first : last + 1]))
-        have -= len(words[first])
+def runs(words: list[list[bytes]], least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, hash) of each run of sentences, by their numbers.
 
-
-def _with_row_key(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return documents.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("row"), utf8(text_column).alias("text"))
-
-
-def spans(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
-    """(hash, id, row, first, last): every run of every document."""
+    A run's hash is a polynomial in its sentences' hashes, taken as a difference of prefix sums.
+    """
+    n = len(words)
+    total = np.zeros(n + 1, np.int64)
+    np.cumsum([len(w) for w in words], out=total[1:])
+    first = np.arange(n)
+    last = np.maximum(first + least_sentences, np.searchsorted(total, total[:-1] + least_words)) - 1
+    first = first[last < n]
+    last = last[: len(first)]
+    each = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(each * _up.upto(n)[:n], out=sums[1:])
+    h = (sums[last + 1] - sums[first]) * _down.upto(max(1, n))[first] + (last - first).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return first, last, h ^ (h >> np.uint64(31))
+
+
+def _row_key(documents: DataFrame, id_column: str, text_column: str) -> Column:
+    """What tells rows with equal ids apart: the hash of their text where there are such rows, else zero."""
+    again = documents.groupBy(id_column).count().filter("count > 1").limit(1).count()
+    return F.xxhash64(text_column) if again else F.lit(0).cast("long")
+
+
+def spans(documents: DataFrame, row_key: Column, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
+    """(hash, id, row, place): every run of every document; place is its first sentence's number x 2**32 + its last's."""
     bounded_batches(documents.sparkSession)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, first, last, hashes = [], [], [], []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                for f, l, h in runs([w for _, _, w in sentences(text)], least_sentences, least_words):
-                    at.append(k)
-                    first.append(f)
-                    last.append(l)
-                    hashes.append(h)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(hashes, np.uint64).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, pa.int32()), pa.array(last, pa.int32())],
-                names=["hash", "id", "row", "first", "last"],
-            )
-
-    return _with_row_key(documents, id_column, text_column).mapInArrow(run, "hash long, id long, row long, first int, last int")
-
-
-def repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
-    """(id, row, first, last): the runs that occurred before, in the order of ids, then of text hashes and places."""
-    every = spans(documents, id_column, text_column, least_sentences, least_words)
-    # Map-side minima: a run of many copies sends a row from each task.
-    seen = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "first")).alias("origin"))
-    seen = stored(seen.filter("n > 1").select("hash", "origin"), "repeated")
-    again = every.join(seen, "hash").filter(~F.struct("id", "row", "first").eqNullSafe(F.col("origin")))
-    return again.select("id", "row", "first", "last")
+            found = [runs([w for _, _, w in sentences(text)], least_sentences, least_words) for text in batch.column(2).to_pylist()]
+            if not found:
+                continue
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f, _, _ in found]))
+            hashes, places = (np.concatenate(c) for c in zip(*((h.view(np.int64), (f << 32) + l) for f, l, h in found), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places)], names=["hash", "id", "row", "place"])
+
+    return documents.select(F.col(id_column).cast("long").alias("id"), row_key.alias("row"), utf8(text_column).alias("text")).mapInArrow(run, "hash long, id long, row long, place long")
+
+
+def repeats(documents: DataFrame, row_key: Column, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
+    """(id, row, place): the runs that occurred before, in the order of ids, then of row keys and places.
+
+    First only the hashes are counted, with map-side sums; the places of those met once are never shuffled
+    with an origin. A hash of many copies sends a row from each task to the minimum, and adaptive execution
+    may split it in the joins.
+    """
+    every = spans(documents, row_key, id_column, text_column, least_sentences, least_words)
+    often = stored(every.groupBy("hash").count().filter("count > 1").select("hash"), "often")
+    met = stored(every.join(often, "hash", "left_semi"), "met")
+    origin = stored(met.groupBy("hash").agg(F.min(F.struct("id", "row", "place")).alias("origin")), "origins")
+    return met.join(origin, "hash").filter(~F.struct("id", "row", "place").eqNullSafe(F.col("origin"))).select("id", "row", "place")
 
 
 def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
     """The documents with the text freed of repeated passages, and n_sentences, n_removed, removed.
 
-    ``removed`` lists (begin, end) byte ranges of the original text. The first occurrence of a passage, by
+    ``n_sentences`` is counted where something repeats, else null. ``removed`` lists (begin, end) byte ranges of the original text. The first occurrence of a passage, by
     smallest id, stays. Runs of under three sentences or twenty words never count, so common short lines
     stay.
 
@@ -123,9 +131,10 @@ def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column
     are returned; any of the three result columns' names in the input are replaced.
     """
     documents = documents.drop("n_sentences", "n_removed", "removed")
-    marks = repeats(documents, id_column, text_column, least_sentences, least_words)
-    by_document = marks.groupBy("id", "row").agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")).alias("_marks")).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_marks")
-    keyed = documents.withColumn("_key", F.xxhash64(text_column))
+    row_key = _row_key(documents, id_column, text_column)
+    marks = repeats(documents, row_key, id_column, text_column, least_sentences, least_words)
+    by_document = marks.groupBy("id", "row").agg(F.collect_set("place").alias("_marks")).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_marks")
+    keyed = documents.withColumn("_key", row_key)
     joined = keyed.join(by_document, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
 
     @F.pandas_udf("text binary, n_sentences long, n_removed long, removed array<struct<begin:long,end:long>>")
@@ -137,15 +146,15 @@ def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column
     return done.select(*kept, "_cut.n_sentences", "_cut.n_removed", "_cut.removed")
 
 
-def _cut(text: bytes, marks: np.ndarray | None) -> tuple[bytes, int, int, list[dict[str, int]]]:
+def _cut(text: bytes, marks: np.ndarray | None) -> tuple[bytes, int | None, int, list[dict[str, int]]]:
+    if marks is None:
+        return text, None, 0, []
     parts = sentences(text)
     gone = np.zeros(len(parts) + 1, np.int64)
-    for code in () if marks is None else marks:
+    for code in marks:
         gone[code >> 32] += 1
         gone[(code & 0xFFFFFFFF) + 1] -= 1
     covered = np.cumsum(gone)[:-1] > 0
-    if not covered.any():
-        return text, len(parts), 0, []
     removed: list[dict[str, int]] = []
     for k in np.flatnonzero(covered):
         begin, end, _ = parts[k]
