@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, languages, mixing, packing, simhash, sketches, spans, toxicity, vectors, warc
+from . import html_text, languages, mixing, oracles, packing, simhash, sketches, spans, toxicity, vectors, warc
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -85,4 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_embeddings": oracles.EMBEDDINGS,
+    "op6_mixing": oracles.MIXING,
+    "op8_warc": oracles.WARC,
+}
