@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, tidied, utf8
 
 #: Cells of the hashed n-gram table.
 TABLE_BITS = 16
@@ -66,6 +66,7 @@ def train(documents: DataFrame, lang_column: str = "lang", text_column: str = "t
         limit = F.when(F.col("lang") == lang, int((1 << 30) * min(1.0, sample / n))).otherwise(limit)
     chosen = rows.filter(F.col("draw") < limit).select("lang", utf8("text").alias("text"))
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -128,6 +129,7 @@ def identified(documents: DataFrame, model: Model, id_column: str = "doc_id", te
     rows = documents.select(F.col(id_column).alias("id"), utf8(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [infer(model, t) for t in batch.column(1).to_pylist()]

@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, utf8
+from .common import bounded_batches, stored, tidied, utf8
 
 WINDOW = 4096
 END_ID = 2
 #: Words a worker keeps the ids of, twice over: when so many are held, those not met since the last turn go.
 #: It bounds memory and changes no result.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 120_000
 #: With so many stretches or fewer (some 200 bytes each) their offsets are broadcast; beyond it they are joined by shuffle.
 BROADCAST_STRETCHES = 200_000
 
@@ -115,6 +115,7 @@ def tokenized(documents: DataFrame, tokenizer_path: str, id_column: str = "doc_i
     schema = "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", stretch string, before long, n_tokens int, ids binary"
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part = word_tokenizer(tokenizer_path), TaskContext.get().partitionId()
         stretch, before = None, 0
@@ -158,6 +159,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
     placed = docs.join(F.broadcast(bases) if small else bases, "stretch").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "all_tokens", "ids")
     kind = placed.schema["doc_id"].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, start, length, ids, tokens, sequence, offset = [], [], [], [], [], [], []

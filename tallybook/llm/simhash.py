@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, utf8, whole_groups
+from .common import bounded_batches, stored, tidied, utf8, whole_groups
 from .components import components
 
 SEED = 42
@@ -72,16 +72,21 @@ def majority(hashes: np.ndarray, n_words: int) -> np.ndarray:
     return np.packbits((2 * votes > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def fingerprints(documents: DataFrame, shingle: int = 4, n_words: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, f0, f1, ...): each document's fingerprint as longs, bit for bit. Null and empty texts: zero."""
+def fingerprints(documents: DataFrame, shingle: int = 4, n_words: int = 1, distinct: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, f0, f1, ...): each document's fingerprint as longs, bit for bit. Null and empty texts: zero.
+
+    With ``distinct`` repeated shingles vote once.
+    """
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty((batch.num_rows, n_words), np.uint64)
             for k, text in enumerate(batch.column(1)):
-                out[k] = majority(shingle_hashes(words_of(text.as_py()), shingle), n_words)
+                hashes = shingle_hashes(words_of(text.as_py()), shingle)
+                out[k] = majority(np.unique(hashes) if distinct else hashes, n_words)
             columns = [pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(n_words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *(f"f{k}" for k in range(n_words))])
 
@@ -139,6 +144,7 @@ def near_edges(nodes: DataFrame, radius: int, masks: list[list[int]], n_words: i
         *words,
     )
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "unit", 16_384):
             prints = np.stack([table.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
@@ -275,6 +281,7 @@ def near_duplicates(
     radius: int = 4,
     n_words: int = 1,
     miss: float = 0.0,
+    distinct: bool = False,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -288,7 +295,7 @@ def near_duplicates(
     there is none. An empty table gives an empty result. Other columns are ignored.
     """
     words = [f"f{k}" for k in range(n_words)]
-    prints = stored(fingerprints(documents, shingle, n_words, id_column, text_column), "prints")
+    prints = stored(fingerprints(documents, shingle, n_words, distinct, id_column, text_column), "prints")
     nodes = stored(prints.groupBy(*words).agg(F.min("id").alias("rep")), "nodes")
     known = nodes.filter("rep is not null")
     if miss:
@@ -309,8 +316,8 @@ def hex_fingerprint(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-#: For whole shingle sets: five words, and 46 of 256 bits, the distance of texts that share about 0.77 of their shingles.
-WIDE = {"shingle": 5, "n_words": 4, "radius": 46, "miss": 0.05}
+#: For whole shingle sets: five words, and 44 of 256 bits, the distance of texts that share about three quarters of their shingles.
+WIDE = {"shingle": 5, "n_words": 4, "radius": 44, "miss": 0.05, "distinct": True}
 
 
 def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **found_by) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, tidied, utf8
 
 K = 128
 SHINGLE = 5
@@ -108,6 +108,7 @@ def sketched(documents: DataFrame, k: int = K, width: int = SHINGLE, id_column:
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).alias("id"), utf8(text_column).alias("text"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [sketch(t, k, width) for t in batch.column(1).to_pylist()]
@@ -124,6 +125,7 @@ def group_sketches(prints: DataFrame, group: str, fingerprint: str = "fingerprin
     """
     kind = prints.schema[group].dataType.simpleString()
 
+    @tidied
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
@@ -185,6 +187,7 @@ def edited_neighbours(documents: DataFrame, k: int = K, width: int = SHINGLE, id
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_containment", "n_shingles"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the document that waits for its next one
         for batch in batches:

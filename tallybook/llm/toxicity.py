@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, utf8
+from .common import bounded_batches, stored, tidied, utf8
 from .sketches import _down, _up
 
 TABLE_BITS = 18
@@ -87,6 +87,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_colu
 
     rows = documents.select(F.col(id_column).alias("id"), utf8(text_column).alias("text")).join(chosen, "id").select("y", "text")
 
+    @tidied
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = [terms(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
@@ -94,6 +95,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_colu
 
     features = stored(rows.mapInArrow(featured, "y int, cells binary"), "toxic-terms")
 
+    @tidied
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << TABLE_BITS), np.int64)
         for batch in batches:
@@ -107,6 +109,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_colu
     rows_of = {r["y"]: r["count"] for r in features.groupBy("y").count().collect()}
     cell = _strongest(*(seen.column(c).to_numpy() for c in ("cell", "toxic", "clean")), rows_of.get(1, 0), rows_of.get(0, 0))
 
+    @tidied
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [np.flatnonzero(np.isin(cell, np.frombuffer(c, np.int32), assume_unique=True)).astype(np.int32).tobytes() for c in batch.column(1).to_pylist()]
@@ -157,6 +160,7 @@ def scored(documents: DataFrame, model: Model, threshold: float = 0.7, id_column
     rows = documents.select(F.col(id_column).alias("id"), utf8(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.array([model.score(t) for t in batch.column(1).to_pylist()])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, stored, whole_groups
+from .common import bounded_batches, forget, stored, tidied, whole_groups
 from .components import components
 from .simhash import _join
 
@@ -43,6 +43,7 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     fit = F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.filter(fit).select(F.col(id_column).cast("long").alias("id"), F.concat_ws(":", F.col(label_column).cast("string"), F.size(v).cast("string")).alias("part"), v.alias("v"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, edges = batch.column(2).values.to_numpy(zero_copy_only=False).astype(number) + number.type(0), batch.column(2).offsets.to_numpy()
@@ -67,6 +68,7 @@ def _first_lists(nodes: DataFrame, wide: bool, threshold: float, tables: int) ->
     """(node, nbr, sim, link): for each vector its best among those beside it in random projections, and links."""
     bits = max(1, int(np.ceil(np.log2(max(2, nodes.count() / 500)))))
 
+    @tidied
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -89,6 +91,7 @@ def _first_lists(nodes: DataFrame, wide: bool, threshold: float, tables: int) ->
     dealt = _tiles(placed, "bucket", TILE).select(F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), F.col("tiles"))).alias("unit"), "place", "rep", "vec")
     reach, keep = 8, 4
 
+    @tidied
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "unit", 2048):
             unit, rep = table.column("unit").to_numpy(), table.column("rep").to_numpy()
@@ -147,6 +150,7 @@ def _local_joins(nodes: DataFrame, lists: DataFrame, wide: bool, threshold: floa
     near = both.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))).filter(F.col("rank") <= 2 * MOST_NEIGHBOURS)
     members = near.select(F.col("node").alias("center"), F.col("nbr").alias("rep"), "fresh").join(state, "rep").select("center", "rep", "fresh", F.coalesce("last", F.lit(-2.0)).alias("last"), "vec")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "center", 2048):
             center, rep, fresh, last = (table.column(c).to_numpy() for c in ("center", "rep", "fresh", "last"))
@@ -179,6 +183,7 @@ def _counted(nodes: DataFrame, groups: DataFrame, wide: bool, threshold: float)
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int")
     units = tiled.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.alias("side"), "rep", "copies", "vec")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "unit", 2048):
             unit, side, rep, copies = (table.column(c).to_numpy() for c in ("unit", "side", "rep", "copies"))
@@ -208,6 +213,7 @@ def audit(nodes: DataFrame, counted: DataFrame, wide: bool, threshold: float, sa
         own = [(r, v) for r, p, v in queries if p == part]
         parts[part] = (np.array([r for r, _ in own]), _matrix(pa.array([v for _, v in own], pa.binary()), wide))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = np.array(batch.column(1).to_pylist(), object)

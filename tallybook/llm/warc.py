@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_folder, stored, utf8
+from .common import bounded_batches, shared_folder, stored, tidied, utf8
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
@@ -104,6 +104,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     bounded_batches(spark)
     names = ["record_type", "record_id", "refers_to", "target_uri", "payload_digest"]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
