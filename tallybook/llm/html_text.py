@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, tidied, utf8
 from .labelled_pages import labelled_pages
 
 _TAG = re.compile(
@@ -53,7 +53,7 @@ _WORDS = (
     "article content main post entry body story text page wrapper container"
 ).split()
 _ROOMS = (3, 9, 24)
-FEATURES = {name: k for k, name in enumerate(["bias", "element", "block", *(f"<{t}>" for t in _TAGS), *_WORDS, *(f"words>{n}" for n in _ROOMS), "links>30%", "links>80%", "ends in . ! or ?"])}
+FEATURES = {name: k for k, name in enumerate(["bias", "element", "block", "header in an article", "body around an article", *(f"<{t}>" for t in _TAGS), *_WORDS, *(f"words>{n}" for n in _ROOMS), "links>30%", "links>80%", "ends in . ! or ?"])}
 
 
 @dataclass
@@ -88,7 +88,7 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = []  # open block elements and their nodes
     pieces: list[tuple[str, bool]] = []  # the open block's text, and whether it is in a link
     hidden: list[str] = []
-    links = 0
+    links = articles = 0
 
     def flush() -> None:
         if not pieces:
@@ -172,10 +172,15 @@ def parse(source: str) -> Page:
         if tag in _VOID:
             continue
         features, label = _element(tag, rest)
+        articles += tag in ("article", "main")
+        if tag == "header" and any(t in ("article", "main") for t, _ in stack):
+            features = tuple(FEATURES["header in an article"] if f == FEATURES["<header>"] else f for f in features)
         stack.append((tag, add(features, None, label)))
     if source[at:]:
         say(source[at:])
     flush()
+    if articles:
+        page.features = [(*f, FEATURES["body around an article"]) if FEATURES["<body>"] in f else f for f in page.features]
     return page
 
 
@@ -237,9 +242,12 @@ def train(pages: list[str] | None = None, steps: int = 500) -> Model:
     up = parent[child]
     seen = np.bincount(4 * kind[child] + 2 * y[up] + y[child], minlength=8).reshape(2, 2, 2).astype(float)
     seen_features = np.bincount(column, y[row], len(FEATURES))
+    # Where there is an article or a main element the body is not main text as a whole: this weight is given, not learned.
+    given = FEATURES["body around an article"]
     value = [np.zeros(len(FEATURES)), np.array([[[1.0, -1.0], [-1.0, 1.0]]] * 2)]
     first, second = [np.zeros_like(v) for v in value], [np.zeros_like(v) for v in value]
     for step in range(1, steps + 1):
+        value[0][given] = -20.0
         w, (e00, e01, e10, e11) = value[0], value[1].reshape(2, 4).T
         w00, w01, w10, w11 = (e[kind] for e in (e00, e01, e10, e11))
         below = np.bincount(row, w[column], len(y))
@@ -262,6 +270,7 @@ def train(pages: list[str] | None = None, steps: int = 500) -> Model:
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.99 * second[k] + 0.01 * grad * grad
             value[k] = value[k] - 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
+    value[0][given] = -20.0
     return Model(*value)
 
 
@@ -294,6 +303,7 @@ def extracted(pages: DataFrame, model: Model, least: float = 0.5, id_column: str
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), utf8(html_column).alias("html"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(model, h.decode("utf-8", "replace"), least) for h in batch.column(2).to_pylist()]
