@@ -98,8 +98,3 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, least_rows: int) -
             rows -= last
     if held:
         yield pa.Table.from_batches(held)
-
-
-def ids_of(documents: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that further columns of any name cannot clash with the operator's own."""
-    return documents.select(*columns)

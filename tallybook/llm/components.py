@@ -21,7 +21,7 @@ def _roots(links: DataFrame) -> DataFrame:
         forget(tree)
         tree, moved = step, step.filter("moved").limit(1).count()
         if not moved:
-            return tree.select("node", "root"), tree
+            return tree.select("node", "root")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a is not null and b is not null and a < b").distinct(), "links")
     maps: list[DataFrame] = []
     while links.limit(1).count():
-        roots, _ = _roots(links)
+        roots = _roots(links)
         maps.append(roots)
         left = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
