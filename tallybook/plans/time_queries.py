@@ -140,3 +140,9 @@ def r01_stream(spark: SparkSession, d: str) -> DataFrame:
 def r10_stream(spark: SparkSession, d: str) -> DataFrame:
     stream = limits.once_each(limits.event_stream(spark, f"{d}/events.parquet").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "3650 days")
     return limits.drained(stream, spark, _checkpoint(spark)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("r09_stream_closed_states", "SELECT event_type AS state, count(*) AS n, CAST(sum(epoch_us(nxt) - epoch_us(ts)) AS BIGINT) AS micros FROM (SELECT event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY event_type")
+def r09_stream(spark: SparkSession, d: str) -> DataFrame:
+    closed = limits.drained(limits.closed_states(limits.event_stream(spark, f"{d}/events.parquet"), "user_id"), spark, _checkpoint(spark))
+    return closed.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("until") - F.col("begin")).alias("micros"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -43,3 +46,26 @@ def drained(stream: DataFrame, spark: SparkSession, checkpoint: str, mode: str =
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/state-{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", out).parquet(out)
+
+
+def closed_states(events: DataFrame, key: str) -> DataFrame:
+    """(key, state, begin, until) of every state that its key's next row ended; times in microseconds.
+
+    A key's last row is kept between triggers. Rows of one trigger are put in order; a row older than the
+    key's last one comes too late and is left out, so triggers have to follow each other in time.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def follow(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
+        names, times, ids = rows["event_type"].tolist(), rows["at"].tolist(), rows["event_id"].tolist()
+        if state.exists:
+            name, at, number = state.get
+            late = sum((t, i) < (at, number) for t, i in zip(times, ids, strict=True))
+            names, times, ids = [name, *names[late:]], [at, *times[late:]], [number, *ids[late:]]
+        state.update((names[-1], times[-1], ids[-1]))
+        n = len(names) - 1
+        yield pd.DataFrame({"key": [k[0]] * n, "state": names[:-1], "begin": times[:-1], "until": times[1:]})
+
+    rows = events.select(key, "event_type", F.unix_micros("ts").alias("at"), "event_id")
+    return rows.groupBy(key).applyInPandasWithState(follow, f"key {kind}, state string, begin long, until long", "name string, at long, number long", "append", GroupStateTimeout.NoTimeout)
