@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = "decimal(38,10)"
-#: Typical rates of exchange that a ratio of two amounts is held against (fixed values).
-TYPICAL_RATES = (4.0, 4.3, 4.5, 3.8, 4.1, 1.1, 1.2, 0.85, 0.9, 25.0)
+#: Typical rates of exchange that a ratio of two amounts is held against.
+TYPICAL_RATES = (3.8, 3.9, 4.0, 4.1, 4.2, 4.3, 4.4, 4.5, 4.6, 5.0)
 #: Dashes that count as a minus sign (fixed values).
 DASHES = "‐‑‒–—−"
 
@@ -86,9 +86,9 @@ def number_change(a: Column, b: Column) -> Column:
 
 
 def typical_rate(a: Column, b: Column, margin: float = 0.15) -> Column:
-    """The first typical rate within ``margin`` of the larger amount over the smaller, or null."""
+    """The first typical rate within ``margin`` of the larger amount over the smaller, or null; ratios of 100 and more are none."""
     ratio = F.greatest(a, b).cast("double") / F.nullif(F.least(a, b).cast("double"), F.lit(0.0))
-    return F.get(F.filter(F.array(*map(F.lit, TYPICAL_RATES)), lambda r: F.abs(ratio - r) < margin), F.lit(0))
+    return F.when((ratio > 1) & (ratio < 100), F.get(F.filter(F.array(*map(F.lit, TYPICAL_RATES)), lambda r: F.abs(ratio - r) < margin), F.lit(0)))
 
 
 def numbers_in(text: Column) -> Column:

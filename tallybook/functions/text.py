@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from .numbers import plain_dashes
 
-#: Payment codes and their days (fixed values, a sample of the usual ones; callers pass their own).
-PAYMENT_CODES = {"IW04": "30 DAYS", "IW06": "60 DAYS", "IW09": "90 DAYS", "0001": "PREPAYMENT"}
-#: Unit spellings (fixed values).
+#: Payment codes and their meaning.
+PAYMENT_CODES = {
+    "IW04": "30 days", "IW07": "60 days", "IW30": "30 days after BL", "IW60": "60 days after BL", "IW90": "90 days", "NT30": "30 days net", "NT60": "60 days net", "NT90": "90 days net",
+    "N030": "30 days", "N060": "60 days", "0001": "14 days 2% / 30 days net", "ZB30": "30 days", "ZB60": "60 days",
+}
+#: Unit spellings and their unit.
 UNITS = {
-    "PCS": "PCS", "PC": "PCS", "PIECE": "PCS", "SZT": "PCS", "SZTUKA": "PCS", "EA": "PCS", "CTN": "CTN", "CARTON": "CTN", "KAR": "CTN", "KARTON": "CTN",
-    "BOX": "BOX", "OP": "OP", "OPAKOWANIE": "OP", "PACK": "OP", "SET": "SET", "KPL": "SET", "PAIR": "PAIR", "PARA": "PAIR",
+    "PCS": "PCS", "PC": "PCS", "PIECE": "PCS", "PIECES": "PCS", "SZT": "PCS", "SZTUKA": "PCS", "SZTUKI": "PCS", "SZTUK": "PCS", "EA": "PCS", "EACH": "PCS", "EACHES": "PCS", "UNIT": "PCS", "UNITS": "PCS",
+    "CTN": "CTN", "CARTON": "CTN", "CARTONS": "CTN", "KARTON": "CTN", "KARTONY": "CTN", "KAR": "CTN", "BOX": "CTN", "BOXES": "CTN",
+    "OP": "OP", "OPAKOWANIE": "OP", "OPAKOWANIA": "OP", "PACK": "OP", "PACKS": "OP", "PKG": "OP", "OPZ": "OPZ",
+    "PAL": "PAL", "PALLET": "PAL", "PALLETS": "PAL", "PALETA": "PAL", "PALETY": "PAL", "SET": "SET", "SETS": "SET", "KPL": "SET", "ZESTAW": "SET", "ZESTAWY": "SET",
 }
-#: Legal forms by their spelled form (fixed values); order matters.
+#: Legal forms by their spelled form; order matters.
 LEGAL_FORMS = (("SP Z O O", "SPZOO"), ("SP ZO O", "SPZOO"), ("S A", "SA"), ("LIMITED", "LTD"), ("CO KG", "COKG"))
-#: Characters that scans exchange (fixed values).
-CONFUSABLE = (("0", "O"), ("1", "I"), ("1", "L"), ("5", "S"), ("8", "B"), ("2", "Z"), ("6", "G"), ("I", "L"), ("U", "V"), ("0", "D"))
+#: Characters that scans exchange.
+CONFUSABLE = (("I", "1"), ("i", "1"), ("l", "1"), ("O", "0"), ("o", "0"), ("S", "5"), ("s", "5"), ("B", "8"), ("Z", "2"), ("G", "6"))
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -48,25 +53,27 @@ def company_name(s: Column) -> Column:
 
 
 def payment_terms(s: Column, codes: dict[str, str] | None = None) -> Column:
-    """A code's meaning, else "N DAYS" found in the text, else the text."""
-    codes = codes or PAYMENT_CODES
-    t = F.trim(s)
-    days = F.regexp_extract(F.upper(t), r"([0-9]+)\s*(?:DAYS|DAY|DNI|D)\b", 1)
-    return F.coalesce(F.try_element_at(_map(codes), F.upper(t)), F.when(days != "", F.concat(days, F.lit(" DAYS"))), t)
+    """A code's meaning, else "N days" found in the text, else the text; blank if there is none."""
+    named = _map(codes or PAYMENT_CODES)
+    t = F.trim(F.coalesce(s, F.lit("")))
+    days = F.regexp_extract(t, r"(?i)([0-9]+)\s*days?", 1)
+    return F.coalesce(F.try_element_at(named, t), F.try_element_at(named, F.upper(t)), F.when(days != "", F.concat(days, F.lit(" days"))), t)
 
 
 def payment_codes(s: Column, codes: dict[str, str] | None = None) -> Column:
-    """All codes that mean the text, sorted."""
+    """Sorted codes of a payment term: those that mean exactly it, else itself if it is a code, else those of its number of days."""
     codes = codes or PAYMENT_CODES
-    meant = [F.when(payment_terms(s, codes) == meaning, F.lit(code)) for code, meaning in sorted(codes.items())]
-    return F.array_compact(F.array(*meant))
+    of = lambda term: F.array_compact(F.array(*(F.when(F.lower(term) == meaning.lower(), F.lit(code)) for code, meaning in sorted(codes.items()))))
+    t = F.trim(F.coalesce(s, F.lit("")))
+    exact = of(t)
+    return F.when(F.size(exact) > 0, exact).when(F.upper(t).isin(*codes), F.array(F.upper(t))).otherwise(of(payment_terms(t, codes)))
 
 
 def canonical_unit(s: Column) -> Column:
     """A unit's canonical spelling; a plural's last letter may go; unknown units stay as letters."""
     u = F.regexp_replace(F.upper(F.coalesce(s, F.lit(""))), "[^A-Z]", "")
     names = _map(UNITS)
-    return F.coalesce(F.try_element_at(names, u), F.when(u.rlike("[SY]$"), F.try_element_at(names, F.regexp_replace(u, "[SY]$", ""))), u)
+    return F.coalesce(F.try_element_at(names, u), F.when((F.length(u) >= 3) & u.rlike("[SY]$"), F.try_element_at(names, F.regexp_replace(u, "[SY]$", ""))), u)
 
 
 def bare_text(s: Column) -> Column:
@@ -168,7 +175,7 @@ def scan_key(s: Column) -> Column:
 def confused_places(a: Column, b: Column) -> Column:
     """Places (from 1) at which two texts of one length differ by a confusable pair; null unless all differences are such."""
     pairs = F.array(*(F.lit(x + y) for p in CONFUSABLE for x, y in (p, p[::-1])))
-    x, y = F.split(F.upper(a), ""), F.split(F.upper(b), "")
+    x, y = F.split(a, ""), F.split(b, "")
     each = F.zip_with(x, y, lambda p, q: F.when(p == q, 0).when(F.array_contains(pairs, F.concat(p, q)), 1).otherwise(2))
     places = F.filter(F.transform(each, lambda v, i: F.when(v == 1, i + 1)), lambda v: v.isNotNull())
     fit = (F.length(a) == F.length(b)) & F.length(a).between(4, 30) & a.rlike("[A-Za-z]") & a.rlike("[0-9]") & ~F.array_contains(each, 2)

@@ -7,10 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Steps of a delivery in order (fixed values of this engine).
-STEPS = ("signup", "view", "click", "purchase", "error")
-#: Days that a step may last (fixed values of this engine).
-LIMITS = {"view": 3, "click": 5, "purchase": 10}
+#: The steps of a delivery in order, each with its statuses; a step's key is its first status
+#: but for the fifth, proforma_sprawdzona, and the seventh, artwork_sprawdzony.
+STEPS = (
+    ("utworzone",),
+    ("wyslane_do_dostawcy",),
+    ("proforma_oczekiwana",),
+    ("proforma_otrzymana", "proforma_zaladowana"),
+    ("zweryfikowane", "sprawdzone_zgodne", "sprawdzone_do_weryfikacji", "sprawdzone_niezgodne"),
+    ("artwork_oczekiwanie", "zatwierdzone_do_wyplyniecia", "artwork_master_zaladowany", "artwork_czeka_fabryczny", "artwork_brak_mastera"),
+    ("artwork_zgodne", "artwork_niezgodne", "artwork_bledne"),
+    ("etd_sap", "zaokretowane"),
+    ("zlecenie_spedycja",),
+    ("agent_przypisany", "w_transporcie"),
+    ("packing_list_oczekiwanie", "na_miejscu"),
+    ("packing_list_otrzymany",),
+    ("dokumenty_odprawa", "w_odprawie"),
+    ("dostawa_przychodzaca",),
+    ("dokumenty_wyslane_odprawa",),
+    ("sad_draft",),
+    ("pzc_agencja", "po_odprawie"),
+    ("dostawa_magazyn", "w_magazynie", "dostarczone"),
+    ("rozliczenie_fiori", "do_rozliczenia"),
+    ("rozliczenie_transportu", "rozliczone"),
+)
+#: The steps (from 0) that begin the eight phases order, proforma, artwork, forwarding, packing, clearance, warehouse, settlement.
+PHASE_STARTS = (0, 2, 5, 7, 10, 12, 17, 18)
+#: Days that a status may last.
+LIMITS = {
+    "proforma_oczekiwana": 7, "proforma_otrzymana": 5, "sprawdzone_do_weryfikacji": 5, "artwork_oczekiwanie": 7, "etd_sap": 3, "zlecenie_spedycja": 3,
+    "agent_przypisany": 5, "packing_list_oczekiwanie": 30, "dokumenty_odprawa": 5, "sad_draft": 5, "pzc_agencja": 7, "rozliczenie_fiori": 14,
+}
 
 
 def free_time(start: Column, stop: Column, free_days: int, warn_days: int, rate: float, today: Column) -> Column:
@@ -32,13 +59,22 @@ def worst(*levels: Column) -> Column:
     return F.when(has("red"), "red").when(has("amber"), "amber").otherwise("green")
 
 
-def step_index(status: Column, steps: Sequence[str] = STEPS) -> Column:
-    """The status's place in the steps from 0; -1 if it is none."""
-    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, steps)), status), F.lit(0)) - 1, F.lit(-1)).cast("int")
+def step_index(status: Column, steps: Sequence[Sequence[str]] = STEPS) -> Column:
+    """The place (from 0) of the status's step; -1 if it is none."""
+    places = F.create_map(*(F.lit(x) for k, statuses in enumerate(steps) for name in statuses for x in (name, k)))
+    return F.coalesce(F.try_element_at(places, status), F.lit(-1))
 
 
-def next_step(status: Column, steps: Sequence[str] = STEPS) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for p in zip(steps, steps[1:], strict=False) for x in p)), status)
+def phase_index(status: Column, starts: Sequence[int] = PHASE_STARTS) -> Column:
+    """The place (from 0) of the status's phase; 0 if it is none."""
+    step = step_index(status)
+    return F.greatest(F.lit(0), sum((step >= s).cast("int") for s in starts) - 1)
+
+
+def next_step(status: Column, steps: Sequence[Sequence[str]] = STEPS) -> Column:
+    """The first status of the step after the status's own; null after the last and for unknown ones."""
+    step = step_index(status, steps)
+    return F.when(step >= 0, F.get(F.array(*(F.lit(s[0]) for s in steps)), step + 1))
 
 
 def overdue(status: Column, days: Column, limits: dict[str, int] | None = None) -> Column:

@@ -220,10 +220,11 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
     return docs.filter("lang = 'de'").join(newest, "source").filter("doc_id <> newest").select("doc_id", "source").orderBy("doc_id").limit(1000)
 
 
-@query("w09_auto_advance", "SELECT event_id, CASE WHEN s < 2 THEN 'click' END AS target FROM (SELECT event_id, list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type) - 1 AS s FROM events)")
+@query("w09_auto_advance", "SELECT event_id, CASE WHEN event_type IN ('signup', 'view') THEN 'proforma_otrzymana' END AS target FROM events")
 def w09(spark: SparkSession, d: str) -> DataFrame:
-    target = timing.step_index(F.lit("click"))
-    return table(spark, d, "events").select("event_id", F.when(timing.step_index(F.col("event_type")) < target, "click").alias("target"))
+    status = F.when(F.col("event_type") == "signup", "utworzone").when(F.col("event_type") == "view", "proforma_oczekiwana").otherwise("sad_draft")
+    target = timing.step_index(F.lit("proforma_otrzymana"))
+    return table(spark, d, "events").select("event_id", F.when(timing.step_index(status) < target, "proforma_otrzymana").alias("target"))
 
 
 @query("w12_last_of_supplier", "SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, r FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS r FROM lineitem) WHERE r <= 50")

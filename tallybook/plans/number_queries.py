@@ -90,7 +90,7 @@ _RATES = ", ".join(map(str, numbers.TYPICAL_RATES))
 
 
 @query("n08_typical_rate", f"""WITH p AS (SELECT s_suppkey AS id, CAST(abs(s_acctbal) AS DECIMAL(18,2)) AS x, CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS y FROM supplier JOIN customer ON s_suppkey = c_custkey)
-  SELECT id, list_filter([{_RATES}]::DOUBLE[], lambda r: abs(CAST(greatest(x, y) AS DOUBLE) / nullif(CAST(least(x, y) AS DOUBLE), 0) - r) < 0.15)[1] AS rate FROM p""")
+  SELECT id, CASE WHEN CAST(greatest(x, y) AS DOUBLE) / nullif(CAST(least(x, y) AS DOUBLE), 0) BETWEEN 1.000000001 AND 99.999999999 THEN list_filter([{_RATES}]::DOUBLE[], lambda r: abs(CAST(greatest(x, y) AS DOUBLE) / nullif(CAST(least(x, y) AS DOUBLE), 0) - r) < 0.15)[1] END AS rate FROM p""")
 def n08(spark: SparkSession, d: str) -> DataFrame:
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     x, y = F.abs("s_acctbal").cast("decimal(18,2)"), F.abs("c_acctbal").cast("decimal(18,2)")

@@ -60,18 +60,18 @@ def _terms(k: Column) -> Column:
     return F.when(k % 4 == 0, "iw04").when(k % 4 == 1, "net 60 days").when(k % 4 == 2, "0001").otherwise("on delivery")
 
 
-_TERMS = "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN '30 DAYS' WHEN 1 THEN '60 DAYS' WHEN 2 THEN 'PREPAYMENT' ELSE 'on delivery' END AS terms, CASE s_suppkey % 3 WHEN 0 THEN '30 DAYS' WHEN 1 THEN '60 DAYS' ELSE 'PREPAYMENT' END AS other FROM supplier"
+_TERMS = "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN '30 days' WHEN 1 THEN '60 days' WHEN 2 THEN '14 days 2% / 30 days net' ELSE 'on delivery' END AS terms, CASE s_suppkey % 3 WHEN 0 THEN '30 days' WHEN 1 THEN '60 days' ELSE '14 days 2% / 30 days net' END AS other FROM supplier"
 
 
 @query("t06_payment_terms", f"SELECT id, terms, terms = other AS same FROM ({_TERMS})")
 def t06(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    other = F.when(k % 3 == 0, "IW04").when(k % 3 == 1, "60 DNI").otherwise("0001")
+    other = F.when(k % 3 == 0, "IW04").when(k % 3 == 1, "60 Days net").otherwise("0001")
     terms = text.payment_terms(_terms(k))
     return table(spark, d, "supplier").select(k.alias("id"), terms.alias("terms"), (terms == text.payment_terms(other)).alias("same"))
 
 
-@query("t08_payment_codes", f"SELECT id, CASE terms WHEN '30 DAYS' THEN 'IW04' WHEN '60 DAYS' THEN 'IW06' WHEN 'PREPAYMENT' THEN '0001' ELSE '' END AS codes FROM ({_TERMS})")
+@query("t08_payment_codes", f"SELECT id, CASE id % 4 WHEN 0 THEN 'IW04' WHEN 1 THEN 'IW07,N060,ZB60' WHEN 2 THEN '0001' ELSE '' END AS codes FROM ({_TERMS})")
 def t08(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array_join(text.payment_codes(_terms(F.col("s_suppkey"))), ",").alias("codes"))
 
@@ -103,11 +103,12 @@ def t32(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), text.currency(raw).alias("iso"))
 
 
-@query("t34_payment_severity", "SELECT id, CASE WHEN (a = 'PREPAYMENT') <> (b = 'PREPAYMENT') OR coalesce(abs(CAST(nullif(regexp_extract(a, '([0-9]+)', 1), '') AS INT) - CAST(nullif(regexp_extract(b, '([0-9]+)', 1), '') AS INT)), 0) > 30 THEN 'error' ELSE 'warning' END AS severity FROM (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN '30 DAYS' WHEN 1 THEN '60 DAYS' WHEN 2 THEN 'PREPAYMENT' ELSE 'on delivery' END AS a, CASE s_suppkey % 3 WHEN 0 THEN '45 DAYS' WHEN 1 THEN '90 DAYS' ELSE 'PREPAYMENT' END AS b FROM supplier)")
+@query("t34_payment_severity", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 2 AND s_suppkey % 3 = 2 THEN 'warning' WHEN s_suppkey % 4 = 2 OR s_suppkey % 3 = 2 THEN 'error' WHEN s_suppkey % 4 = 0 AND s_suppkey % 3 = 1 THEN 'error' ELSE 'warning' END AS severity FROM supplier")
 def t34(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
+    own = F.when(k % 4 == 0, "IW04").when(k % 4 == 1, "net 60 days").when(k % 4 == 2, "in advance").otherwise("on delivery")
     other = F.when(k % 3 == 0, "45 DAYS").when(k % 3 == 1, "90 DAYS").otherwise("PREPAYMENT")
-    return table(spark, d, "supplier").select(k.alias("id"), text.payment_severity(text.payment_terms(_terms(k)), other).alias("severity"))
+    return table(spark, d, "supplier").select(k.alias("id"), text.payment_severity(text.payment_terms(own), other).alias("severity"))
 
 
 @query("t36_line_sections", """SELECT section, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, CASE WHEN regexp_matches(line, '(?i)licen[cs]e|copyright') THEN 'legal' WHEN regexp_matches(line, '@|https?://') THEN 'contact' WHEN regexp_matches(line, '[0-9]{3}') THEN 'numbers' WHEN length(line) < 30 THEN 'title' ELSE 'text' END AS section

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import linkage, timing
 from ..streaming import limits
 from .registry import query, table
 
-_STEPS = "['signup', 'view', 'click', 'purchase', 'error']"
+#: Statuses that stand for the kinds of events.
+_STATUSES = {"signup": "utworzone", "view": "proforma_oczekiwana", "click": "etd_sap", "purchase": "rozliczenie_fiori", "error": "rozliczone"}
+
+
+def _status() -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for p in _STATUSES.items() for x in p)), "event_type")
 
 
 @query("w01_top_revisions", "SELECT source, doc_id, r FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents) WHERE r <= 50")
@@ -51,14 +56,15 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
     return c.select("container", timing.worst(F.col("a.level"), F.col("b.level")).alias("level"), (F.col("a.cost") + F.col("b.cost")).alias("total"))
 
 
-@query("w06_overdue", "SELECT event_id, CASE event_type WHEN 'view' THEN event_id % 12 >= 3 WHEN 'click' THEN event_id % 12 >= 5 WHEN 'purchase' THEN event_id % 12 >= 10 ELSE false END AS overdue FROM events")
+@query("w06_overdue", "SELECT event_id, CASE event_type WHEN 'view' THEN event_id % 16 >= 7 WHEN 'click' THEN event_id % 16 >= 3 WHEN 'purchase' THEN event_id % 16 >= 14 ELSE false END AS overdue FROM events")
 def w06(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", timing.overdue(F.col("event_type"), F.col("event_id") % 12).alias("overdue"))
+    return table(spark, d, "events").select("event_id", timing.overdue(_status(), F.col("event_id") % 16).alias("overdue"))
 
 
-@query("w07_steps", f"SELECT event_id, CAST(list_position({_STEPS}, event_type) - 1 AS INT) AS step, {_STEPS}[list_position({_STEPS}, event_type) + 1] AS next FROM events")
+@query("w07_steps", "SELECT event_id, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 2 WHEN 'click' THEN 7 WHEN 'purchase' THEN 18 ELSE 19 END AS step, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 3 ELSE 7 END AS phase, CASE event_type WHEN 'signup' THEN 'wyslane_do_dostawcy' WHEN 'view' THEN 'proforma_otrzymana' WHEN 'click' THEN 'zlecenie_spedycja' WHEN 'purchase' THEN 'rozliczenie_transportu' END AS next FROM events")
 def w07(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", timing.step_index(F.col("event_type")).alias("step"), timing.next_step(F.col("event_type")).alias("next"))
+    s = _status()
+    return table(spark, d, "events").select("event_id", timing.step_index(s).alias("step"), timing.phase_index(s).alias("phase"), timing.next_step(s).alias("next"))
 
 
 @query("w11_upcoming", "SELECT o_orderkey, arrival FROM (SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 7 END, CAST(o_orderdate AS DATE) + 14) AS arrival FROM orders WHERE o_orderstatus <> 'F') WHERE arrival BETWEEN DATE '1997-01-01' - 3 AND DATE '1997-01-01' + 30")
