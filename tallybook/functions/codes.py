@@ -54,8 +54,8 @@ def customs_code_check(raw: Column) -> Column:
     """(status, reason) of a customs code's structure."""
     d, letters = digits_only(raw), F.regexp_replace(F.coalesce(raw, F.lit("")), r"[0-9\s.\-]", "")
     chapter = F.substring(d, 1, 2)
-    status = F.when(F.coalesce(F.trim(raw), F.lit("")) == "", "missing").when(letters != "", "error").when(~F.length(d).isin(6, 8, 10), "error").when(chapter == "00", "error").when(chapter.isin("77", "98", "99"), "warning").otherwise("ok")
-    reason = F.when(status == "missing", "").when(letters != "", "characters").when(~F.length(d).isin(6, 8, 10), "length").when(chapter == "00", "chapter 00").when(status == "warning", "reserved chapter").otherwise("")
+    status = F.when(F.coalesce(F.trim(raw), F.lit("")) == "", "warning").when(letters != "", "error").when(~F.length(d).isin(6, 8, 10), "error").when(chapter == "00", "error").when(chapter.isin("77", "98", "99"), "warning").otherwise("ok")
+    reason = F.when(F.coalesce(F.trim(raw), F.lit("")) == "", "missing").when(letters != "", "characters").when(~F.length(d).isin(6, 8, 10), "length").when(chapter == "00", "chapter 00").when(status == "warning", "reserved chapter").otherwise("")
     return F.struct(status.alias("status"), reason.alias("reason"))
 
 

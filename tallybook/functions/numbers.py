@@ -108,13 +108,14 @@ def distinctive(v: Column) -> Column:
 
 
 def vat_code(s: Column) -> Column:
-    """23% and 23,0 as 23; exemptions (zw, np) lower case."""
-    lower = F.lower(F.trim(s))
-    return F.when(lower.isin("zw", "np"), lower).otherwise(F.regexp_extract(F.translate(lower, ",", "."), r"^([0-9]+)(?:\.0*)?\s*%?$", 1))
+    """23% and 23,0 as 23; exemptions in lower case without dots; other texts as their first ten characters."""
+    t = F.trim(F.translate(F.lower(F.trim(F.coalesce(s, F.lit("")))), ",%", "."))
+    rate = F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)", 1)
+    return F.when(t.isin("zw", "zw.", "zwolniony", "np", "n/p", "np."), F.replace(t, F.lit("."), F.lit(""))).when(rate != "", F.substring(F.regexp_replace(rate, r"\.0$", ""), 1, 10)).otherwise(F.substring(t, 1, 10))
 
 
 def truthy(s: Column) -> Column:
-    return F.lower(F.trim(s.cast("string"))).isin("1", "true", "yes", "y", "tak", "t", "x").cast("int")
+    return F.coalesce(F.lower(F.trim(s.cast("string"))).isin("1", "tak", "t", "yes", "y", "x", "true", "sent", "prawda"), F.lit(False)).cast("int")
 
 
 def roman(s: Column) -> Column:

@@ -99,25 +99,23 @@ def delivery_number(*sources: Column) -> Column:
 
 
 def currency(s: Column) -> Column:
-    t = F.upper(F.trim(s))
-    names = (("USD", ("USD", "US$", "$", "DOLLAR")), ("EUR", ("EUR", "€")), ("PLN", ("PLN", "ZL", "ZŁ")), ("CNY", ("CNY", "RMB", "¥")), ("GBP", ("GBP", "£")))
+    """The ISO code of a currency's spelling; others as their first six characters, upper case."""
+    t = F.regexp_replace(F.upper(s), r"[.\s]", "")
+    spellings = {"USD": ("USD", "USDOLLAR", "DOLLAR"), "EUR": ("EUR",), "PLN": ("PLN", "ZLOTY", "ZŁOTY"), "CNY": ("CNY", "RENMINBI", "YUAN", "RMB"), "GBP": ("GBP", "POUND"), "CHF": ("CHF",)}
     out = F.when(F.lit(False), "")
-    for iso, spellings in names:
-        hit = F.lit(False)
-        for spelling in spellings:
-            hit = hit | t.startswith(spelling)
-        out = out.when(hit, iso)
-    return out.otherwise(t)
+    for iso, starts in spellings.items():
+        out = out.when(t.rlike("^(" + "|".join(starts) + ")"), iso)
+    return out.otherwise(F.substring(F.upper(s), 1, 6))
 
 
 def day_counts(s: Column) -> Column:
     """All numbers of days in payment terms."""
-    return F.transform(F.regexp_extract_all(F.upper(s), F.lit("([0-9]+) DAYS"), F.lit(1)), lambda x: x.cast("int"))
+    return F.transform(F.regexp_extract_all(F.upper(s), F.lit(r"([0-9]+)\s*DAYS?"), F.lit(1)), lambda x: x.cast("int"))
 
 
 def payment_severity(a: Column, b: Column) -> Column:
     """error if one side pays in advance and the other not, or the days differ by over 30; else warning."""
-    advance = lambda s: F.upper(s).rlike("ADVANCE|PREPAY")
+    advance = lambda s: F.upper(s).rlike("ADV|PREPAY")
     gaps = F.flatten(F.transform(day_counts(a), lambda x: F.transform(day_counts(b), lambda y: F.abs(x - y))))
     return F.when((advance(a) != advance(b)) | (F.coalesce(F.array_max(gaps), F.lit(0)) > 30), "error").otherwise("warning")
 

@@ -91,7 +91,7 @@ def t37(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t44_header_fields", "SELECT o_orderkey AS doc, unnest(['number', 'date', 'currency']) AS field, unnest([CAST(o_orderkey AS VARCHAR), CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'USD']) AS value FROM orders")
 def t44(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("Invoice No: "), F.col("o_orderkey").cast("string"), F.lit(" ;\nDate: "), F.col("o_orderdate").cast("date").cast("string"), F.lit("\nCURRENCY us$ total"))
+    raw = F.concat(F.lit("Invoice No: "), F.col("o_orderkey").cast("string"), F.lit(" ;\nDate: "), F.col("o_orderdate").cast("date").cast("string"), F.lit("\nCURRENCY usd total"))
     fields = (("number", [r"(?i)invoice no\.?:\s*([0-9]+)"]), ("date", [r"(?im)^date:\s*([0-9\-]+)$"]), ("currency", [r"(?i)currency\s+(\S+)"]))
     found = F.array(*(F.struct(F.lit(n).alias("field"), (text.currency(text.first_match(raw, p)) if n == "currency" else text.first_match(raw, p)).alias("value")) for n, p in fields))
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(found).alias("f")).select("doc", "f.field", "f.value")

@@ -136,7 +136,7 @@ def n18(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter("p_size >= 0").select(F.col("p_partkey").alias("id"), (numbers.distinctive(size) | numbers.distinctive(size / 4)).alias("whole_or_large"))
 
 
-@query("n20_vat_code", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '23' WHEN 1 THEN '8' WHEN 2 THEN 'zw' ELSE '' END AS vat FROM part")
+@query("n20_vat_code", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '23' WHEN 1 THEN '8' WHEN 2 THEN 'zw' ELSE 'brak' END AS vat FROM part")
 def n20(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("p_size") % 4 == 0, "23%").when(F.col("p_size") % 4 == 1, "8,0").when(F.col("p_size") % 4 == 2, " ZW ").otherwise("brak")
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), numbers.vat_code(raw).alias("vat"))

@@ -96,10 +96,10 @@ def t31(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.delivery_number(first, second).alias("number"))
 
 
-@query("t32_currency", "SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'PLN' WHEN 3 THEN 'CNY' WHEN 4 THEN 'GBP' ELSE 'CHF' END AS iso FROM supplier")
+@query("t32_currency", "SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'PLN' WHEN 3 THEN 'CNY' WHEN 4 THEN 'GBP' ELSE 'UNKNOW' END AS iso FROM supplier")
 def t32(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey") % 6
-    raw = F.when(k == 0, "us$").when(k == 1, " €").when(k == 2, "zl").when(k == 3, "rmb").when(k == 4, "£ 5").otherwise("chf")
+    raw = F.when(k == 0, "U.S. Dollars").when(k == 1, " euro").when(k == 2, "zloty").when(k == 3, "rmb").when(k == 4, "Pounds").otherwise("unknown")
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), text.currency(raw).alias("iso"))
 
 
