@@ -17,10 +17,10 @@ def n09(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, AMOUNTS).select("id", numbers.parse_amount(F.concat("b", F.lit(" kg")), 6).cast("decimal(28,6)").alias("v"))
 
 
-@query("t13_single_pass_replace", "SELECT p_partkey AS id, regexp_replace(regexp_replace(regexp_replace(p_type, 'STEEL', '<1>', 'g'), 'BRASS', '<2>', 'g'), 'COPPER', '<3>', 'g') AS s FROM part")
+@query("t13_single_pass_replace", "SELECT p_partkey AS id, regexp_replace(regexp_replace(regexp_replace(p_type, 'ECONOMY', '<1>', 'g'), 'SMALL', '<2>', 'g'), 'LARGE', '<3>', 'g') AS s FROM part")
 def t13(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_type")
-    for k, word in enumerate(("STEEL", "BRASS", "COPPER")):
+    for k, word in enumerate(("ECONOMY", "SMALL", "LARGE")):
         s = F.replace(s, F.lit(word), F.lit(f"<{k + 1}>"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), s.alias("s"))
 
@@ -32,10 +32,10 @@ def t35(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, REFS).select("id", F.coalesce(text.first_match(s, [r"(?i)lot[:\s]+([A-Z0-9]+)", r"(?i)batch\s+([A-Z0-9]+)"]), F.lit("-")).alias("lot"))
 
 
-@query("t39_package_type", "SELECT p_partkey AS id, CASE WHEN contains(lower(p_name), 'box') THEN 'box' WHEN contains(lower(p_name), 'part 1') THEN 'pouch' WHEN contains(lower(p_type), 'steel') THEN 'tin' ELSE 'unknown' END AS kind FROM part")
+@query("t39_package_type", "SELECT p_partkey AS id, CASE WHEN contains(lower(p_name), 'bolt') THEN 'box' WHEN contains(lower(p_name), 'ring') THEN 'pouch' WHEN contains(lower(p_type), 'economy') THEN 'tin' ELSE 'unknown' END AS kind FROM part")
 def t39(spark: SparkSession, d: str) -> DataFrame:
     n, t = F.lower("p_name"), F.lower("p_type")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(n.contains("box"), "box").when(n.contains("part 1"), "pouch").when(t.contains("steel"), "tin").otherwise("unknown").alias("kind"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(n.contains("bolt"), "box").when(n.contains("ring"), "pouch").when(t.contains("economy"), "tin").otherwise("unknown").alias("kind"))
 
 
 @query("t42_invoice_number", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'A' || CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN 'B' || CAST(o_custkey AS VARCHAR) ELSE '' END AS number FROM orders")
