@@ -43,6 +43,8 @@ def drained(stream: DataFrame, spark: SparkSession, checkpoint: str, mode: str =
         # A batch that is run again overwrites its own folder.
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    # A stream without files gives an empty table.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/state-{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", out).parquet(out)
