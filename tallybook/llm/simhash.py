@@ -6,9 +6,9 @@ A fingerprint's bits are majority votes of its shingles' hashes. Distances are n
 themselves bit planes, so one instruction advances 64 distances. After each eight planes every block of
 64 in which all counters exceed the radius is abandoned.
 
-Who is compared with whom: pairs that share a bucket. For few bits of radius the buckets are disjoint
-bit fields, one more than the radius, so no pair within it is lost (pigeonhole). For a wide radius they
-are random bit sets, as many as a stated recall needs. Equal fingerprints are one node. Large buckets are
+Who is compared with whom: pairs that share a bucket. For few bits of radius the buckets are choices of
+disjoint bit fields, so that no pair within the radius is lost (pigeonhole); more rows take finer choices.
+For a wide radius they are random bit sets, as many as a stated recall needs. Equal fingerprints are one node. Large buckets are
 cut into tiles and compared tile against tile, so no task holds a bucket.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,10 +93,18 @@ def fingerprints(documents: DataFrame, shingle: int = 4, n_words: int = 1, disti
     return rows.mapInArrow(run, "id long, " + ", ".join(f"f{k} long" for k in range(n_words)))
 
 
-def exact_masks(radius: int) -> list[list[int]]:
-    """Masks of radius + 1 disjoint bit fields of one word: two words within the radius agree on one of them at least."""
-    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    return [[((1 << b) - 1) ^ ((1 << a) - 1)] for a, b in zip(edges, edges[1:], strict=False)]
+def exact_masks(radius: int, n_rows: int) -> list[list[int]]:
+    """Masks of one word such that two words within the radius agree under one of them at least.
+
+    Of radius + m disjoint bit fields such words agree on m at least: there is a mask for each choice of m.
+    m is the smallest for which evenly spread rows fill a bucket with one tile at most.
+    """
+    m = 1
+    while n_rows / 2 ** (64 * m / (radius + m)) > TILE:
+        m += 1
+    edges = [round(64 * k / (radius + m)) for k in range(radius + m + 1)]
+    fields = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [[sum(chosen)] for chosen in combinations(fields, m)]
 
 
 def sampled_masks(n_words: int, distance_share: float, miss: float, n_rows: int) -> list[list[int]]:
@@ -298,10 +306,8 @@ def near_duplicates(
     prints = stored(fingerprints(documents, shingle, n_words, distinct, id_column, text_column), "prints")
     nodes = stored(prints.groupBy(*words).agg(F.min("id").alias("rep")), "nodes")
     known = nodes.filter("rep is not null")
-    if miss:
-        masks = sampled_masks(n_words, radius / (64 * n_words), miss, nodes.count())
-    else:
-        masks = exact_masks(radius)
+    n_nodes = nodes.count()
+    masks = sampled_masks(n_words, radius / (64 * n_words), miss, n_nodes) if miss else exact_masks(radius, n_nodes)
     own = prints.join(nodes.withColumnRenamed("rep", "b"), words).select(F.col("id").alias("a"), "b") if prints.groupBy("id").count().filter("count > 1").limit(1).count() else None
     edges = near_edges(known, radius, masks, n_words)
     if own is not None:

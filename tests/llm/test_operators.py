@@ -133,6 +133,19 @@ def test_simhash_tiles(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == label.tolist()
 
 
+@pytest.mark.parametrize("rows_", [10, 10**6, 10**8, 10**11])
+def test_exact_masks_lose_no_pair(rows_):
+    masks, draw = simhash.exact_masks(4, rows_), random.Random(rows_)
+    assert min(m.bit_count() for (m,) in masks) >= min(12, 64)
+    assert max(rows_ / 2 ** m.bit_count() for (m,) in masks) < 2 * simhash.TILE
+    for _ in range(500):
+        x = draw.getrandbits(64)
+        y = x
+        for b in draw.sample(range(64), 4):
+            y ^= 1 << b
+        assert any(x & m == y & m for (m,) in masks)
+
+
 def test_simhash_odd(odd, empty):
     got = rows(simhash.near_duplicates(odd))
     assert len(got) == 13
