@@ -26,7 +26,7 @@ WINDOW = 4096
 END_ID = 2
 #: Words a worker keeps the ids of, twice over: when so many are held, those not met since the last turn go.
 #: It bounds memory and changes no result.
-CACHED_WORDS = 120_000
+CACHED_WORDS = 200_000
 #: With so many stretches or fewer (some 200 bytes each) their offsets are broadcast; beyond it they are joined by shuffle.
 BROADCAST_STRETCHES = 200_000
 
@@ -150,7 +150,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
     Null texts count as empty and are one end id; repeated rows and ids are packed each; an empty table
     gives no piece. ``ids`` are little-endian 32-bit integers.
     """
-    docs = stored(tokenized(documents, tokenizer_path, id_column, text_column, end_id), "tokens")
+    docs = stored(tokenized(documents, tokenizer_path, id_column, text_column, end_id), "tokens", "snappy")
     totals = stored(docs.groupBy("stretch").agg(F.sum("n_tokens").alias("total")), "totals")
     upto = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each stretch: a few bytes for megabytes of input.
