@@ -26,7 +26,7 @@ WINDOW = 4096
 END_ID = 2
 #: Words a worker keeps the ids of, twice over: when so many are held, those not met since the last turn go.
 #: It bounds memory and changes no result.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 120_000
 #: With so many stretches or fewer (some 200 bytes each) their offsets are broadcast; beyond it they are joined by shuffle.
 BROADCAST_STRETCHES = 200_000
 
@@ -100,6 +100,12 @@ def word_tokenizer(path: str) -> Callable[[str], bytes]:
             kept.turn()
         return b"".join(map(words.__getitem__, text.split()))
 
+    def rest() -> None:
+        """Between tasks a worker holds one generation only."""
+        for kept in (cores, tails, words):
+            kept.older = {}
+
+    ids_of.rest = rest
     return ids_of
 
 
@@ -136,6 +142,7 @@ def tokenized(documents: DataFrame, tokenizer_path: str, id_column: str = "doc_i
                 [batch.column(0), pa.array(stretches, pa.string()), pa.array(befores, pa.int64()), pa.array(counts, pa.int32()), pa.array(all_ids, pa.binary())],
                 names=["doc_id", "stretch", "before", "n_tokens", "ids"],
             )
+        ids_of.rest()
 
     return rows.mapInArrow(run, schema)
 
