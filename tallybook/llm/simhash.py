@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations, repeat
 
 import numpy as np
@@ -72,13 +72,13 @@ def majority(hashes: np.ndarray, n_words: int) -> np.ndarray:
     return np.packbits((2 * votes > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def fingerprints(documents: DataFrame, shingle: int = 4, n_words: int = 1, distinct: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fingerprints(documents: DataFrame, shingle: int = 4, n_words: int = 1, distinct: bool = False, id_column: str = "doc_id", text_column: str = "text", carried: Sequence[str] = ()) -> DataFrame:
     """(id, f0, f1, ...): each document's fingerprint as longs, bit for bit. Null and empty texts: zero.
 
-    With ``distinct`` repeated shingles vote once.
+    With ``distinct`` repeated shingles vote once. ``carried``: columns of longs that come along, last.
     """
     bounded_batches(documents.sparkSession)
-    rows = documents.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"))
+    rows = documents.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"), *carried)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +88,10 @@ def fingerprints(documents: DataFrame, shingle: int = 4, n_words: int = 1, disti
                 hashes = shingle_hashes(words_of(text.as_py()), shingle)
                 out[k] = majority(np.unique(hashes) if distinct else hashes, n_words)
             columns = [pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(n_words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *(f"f{k}" for k in range(n_words))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=names)
 
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"f{k} long" for k in range(n_words)))
+    names = ["id", *(f"f{k}" for k in range(n_words)), *carried]
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def exact_masks(radius: int, n_rows: int) -> list[list[int]]:
@@ -327,14 +328,30 @@ WIDE = {"shingle": 5, "n_words": 4, "radius": 44, "miss": 0.05, "distinct": True
 
 
 def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **found_by) -> DataFrame:
-    """The documents, all columns, without those linked to one of a smaller id; of rows with one id one stays.
+    """The documents, all columns, without all but one row of each group of linked texts.
+
+    Texts are linked, not ids: of a group the row of the smallest id stays, null ids last, and of rows with
+    that id the one of the smallest hash of its text. So rows that share an id, or have none, all stay where
+    their texts are not linked.
 
     ``found_by``: parameters of ``near_duplicates``, by default a similarity of about 0.8 on five-word
-    shingles. A null id stays where nothing with an id is linked to it.
+    shingles.
     """
-    found = near_duplicates(documents, id_column=id_column, text_column=text_column, **(found_by or WIDE))
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_gone")).distinct()
-    kept = documents.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    if documents.groupBy(id_column).count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_column])
-    return kept
+    keys = ["_id", "_text1", "_text2"]
+    by = {"shingle": 4, "n_words": 1, "radius": 4, "miss": 0.0, "distinct": False} | (found_by or WIDE)
+    words = [f"f{k}" for k in range(by["n_words"])]
+    keyed = documents.select("*", F.col(id_column).cast("long").alias("_id"), F.xxhash64(text_column).alias("_text1"), F.xxhash64(F.lit(1), text_column).alias("_text2"))
+    prints = stored(fingerprints(keyed, by["shingle"], by["n_words"], by["distinct"], "_id", text_column, keys[1:]).withColumnRenamed("id", "_id"), "prints")
+    order = F.struct(F.col("_id").isNull().alias("no_id"), *keys)
+    nodes = stored(prints.groupBy(*words).agg(F.min(order).alias("first")).withColumn("rep", F.monotonically_increasing_id()), "nodes")
+    n_nodes = nodes.count()
+    masks = sampled_masks(by["n_words"], by["radius"] / (64 * by["n_words"]), by["miss"], n_nodes) if by["miss"] else exact_masks(by["radius"], n_nodes)
+    groups = stored(components(near_edges(nodes, by["radius"], masks, by["n_words"])).withColumnRenamed("node", "rep"), "groups")
+    firsts = nodes.join(groups, "rep").groupBy("component").agg(F.min("first").alias("group_first"))
+    moved = groups.join(firsts, "component").select("rep", "group_first")
+    mapped = stored(nodes.join(moved, "rep", "left").select(*words, F.coalesce("group_first", "first").alias("first")), "firsts")
+    gone = prints.join(mapped, words).filter(order != F.col("first")).select(*(F.col(c).alias(f"{c}_gone") for c in keys)).distinct()
+    kept = keyed.join(gone, [F.col(c).eqNullSafe(F.col(f"{c}_gone")) for c in keys], "left_anti")
+    if prints.groupBy(*keys).count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(keys)
+    return kept.select(*(F.col(c) for c in documents.columns))

@@ -158,6 +158,15 @@ def test_simhash_odd(odd, empty):
     assert rows(simhash.first_of_each_group(empty)) == []
 
 
+def test_first_of_each_group_decides_by_row(spark):
+    texts = [words(80, k) for k in range(8)]
+    near = texts[4] + " zz"
+    table = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (3, near), (4, texts[3]), (5, texts[5]), (5, texts[5]), (5, texts[6]), (6, texts[6]), (6, texts[7]), (None, texts[7] + " zz")]
+    kept = rows(simhash.first_of_each_group(spark.createDataFrame(table, "doc_id long, text string")))
+    want = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (5, texts[5]), (5, texts[6]), (6, texts[7])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, want))
+
+
 def odd_as_dict(odd):
     return dict.fromkeys(odd.columns)
 
