@@ -1,12 +1,11 @@
-"""Substring deduplication by sliding sentence spans.
+"""Substring deduplication by sliding spans of pieces of sentences.
 
-Every run of several consecutive sentences is hashed and met with all others of the corpus; a sentence
-covered by any repeated run that is not the run's first occurrence is removed.
+Every run of consecutive pieces is hashed and met with all others of the corpus; a piece covered by any
+repeated run that is not the run's first occurrence is removed.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,52 +19,53 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored, tidied, utf8
 from .sketches import _down, _up
 
-#: A run is the shortest stretch from its first sentence on that has so many sentences and so many words.
-RUN_SENTENCES = 3
+#: A run is the shortest stretch from its first piece on that has so many pieces and so many words.
+RUN_SENTENCES = 1
 RUN_WORDS = 20
-#: Sentences of more words are cut into pieces where two neighbouring words' checksum says so.
-LONG_SENTENCE = 24
-_CUT_EVERY = 6
+#: Of so many gaps between words in a row at least one is a cut. Two texts that share RUN_WORDS + 2 * CUT_WITHIN words have a run in common.
+CUT_WITHIN = 12
 
-_END = re.compile(rb"[.!?]+(?=[\s\"')\]]|$)[\"')\]]*\s*|\s*\n\s*")
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_STOP = np.isin(np.arange(256), list(b".!?"))
+_QUOTE = np.isin(np.arange(256), list(b"\"')]"))
 
 
 def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
-    """(begin, end, words): the sentences in order, their byte ranges covering the whole text.
+    """(begin, end, words): the pieces of sentences in order, their byte ranges covering the whole text.
 
-    A sentence ends after . ! ? before white space, and at line ends. Where a long one is cut depends only
-    on the words at the cut, so that a passage is cut alike wherever it stands.
+    A piece ends with a sentence (after . ! ? before white space), at a blank line, and at the least hash of
+    every CUT_WITHIN neighbouring gaps. A gap's hash is that of its two words, so where a passage is cut
+    depends, but for its first and last words, on itself alone, wherever it stands and its lines end.
     """
-    out, begin, lower = [], 0, text.lower()
-    edges = [m.end() for m in _END.finditer(text)]
-    if not edges or edges[-1] < len(text):
-        edges.append(len(text))
-    for end in edges:
-        words = lower[begin:end].split()
-        if len(words) <= LONG_SENTENCE:
-            if words:
-                out.append((begin, end, words))
-            elif out:
-                out[-1] = (out[-1][0], end, out[-1][2])
-            else:
-                continue
-        else:
-            at, held = begin, []
-            for m in re.finditer(rb"\S+\s*", lower[begin:end]):
-                word = m.group().rstrip()
-                if held and zlib.crc32(held[-1] + b" " + word) % _CUT_EVERY == 0:
-                    out.append((at, begin + m.start(), held))
-                    at, held = begin + m.start(), []
-                held.append(word)
-            out.append((at, end, held))
-        begin = end
-    return out
+    words = text.lower().split()
+    if not words:
+        return []
+    data = np.frombuffer(text, np.uint8)
+    blank = np.r_[True, _SPACE[data], True]
+    begins, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    cut = _STOP[data[ends - 1]]
+    for k in np.flatnonzero(_QUOTE[data[ends - 1]]):
+        cut[k] = words[k].rstrip(b"\"')]").endswith((b".", b"!", b"?"))
+    cut = cut[:-1]
+    lines = np.flatnonzero(data == 10)
+    cut |= np.diff(np.searchsorted(lines, begins)) > 1
+    each = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    gaps = each[:-1] * np.uint64(0x9E3779B97F4A7C15) + each[1:]
+    gaps = (gaps ^ (gaps >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    gaps ^= gaps >> np.uint64(27)
+    if len(gaps) >= CUT_WITHIN:
+        # The last of equal hashes, by looking from the end.
+        least = np.lib.stride_tricks.sliding_window_view(gaps[::-1], CUT_WITHIN).argmin(axis=1)
+        cut[len(gaps) - 1 - (np.arange(len(least)) + least)] = True
+    edges = [0, *(np.flatnonzero(cut) + 1).tolist(), len(words)]
+    places = [0, *begins[edges[1:-1]].tolist(), len(text)]
+    return [(places[k], places[k + 1], words[edges[k] : edges[k + 1]]) for k in range(len(edges) - 1)]
 
 
 def runs(words: list[list[bytes]], least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, hash) of each run of sentences, by their numbers.
+    """(first, last, hash) of each run of pieces, by their numbers.
 
-    A run's hash is a polynomial in its sentences' hashes, taken as a difference of prefix sums.
+    A run's hash is a polynomial in its pieces' hashes, taken as a difference of prefix sums.
     """
     n = len(words)
     total = np.zeros(n + 1, np.int64)
@@ -74,6 +74,9 @@ def runs(words: list[list[bytes]], least_sentences: int = RUN_SENTENCES, least_w
     last = np.maximum(first + least_sentences, np.searchsorted(total, total[:-1] + least_words)) - 1
     first = first[last < n]
     last = last[: len(first)]
+    if len(last) and last[-1] < n - 1:
+        # To the end, so that a whole copy leaves nothing.
+        first, last = np.r_[first, first[-1]], np.r_[last, n - 1]
     each = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(each * _up.upto(n)[:n], out=sums[1:])
@@ -89,7 +92,7 @@ def _row_key(documents: DataFrame, id_column: str, text_column: str) -> Column:
 
 
 def spans(documents: DataFrame, row_key: Column, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
-    """(hash, id, row, place): every run of every document; place is its first sentence's number x 2**32 + its last's."""
+    """(hash, id, row, place): every run of every document; place is its first piece's number x 2**32 + its last's."""
     bounded_batches(documents.sparkSession)
 
     @tidied
@@ -123,8 +126,8 @@ def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column
     """The documents with the text freed of repeated passages, and n_sentences, n_removed, removed.
 
     ``n_sentences`` is counted where something repeats, else null. ``removed`` lists (begin, end) byte ranges of the original text. The first occurrence of a passage, by
-    smallest id, stays. Runs of under three sentences or twenty words never count, so common short lines
-    stay.
+    smallest id, stays. Runs of under twenty words never count, so common short lines stay. ``n_sentences``
+    and ``n_removed`` count pieces (see ``sentences``); up to a piece at each end of a passage may stay.
 
     Null texts have no sentence and stay null, empty ones stay empty; rows that repeat id and text are
     one document and keep or lose the same sentences; null ids come before all others. All input columns

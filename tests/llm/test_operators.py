@@ -233,6 +233,25 @@ def test_spans_against_brute_force(spark):
     assert passage[60:200] not in got[9]["text"] and passage in got[3]["text"]
 
 
+def test_spans_meet_wherever_a_passage_begins(spark):
+    draw, hosts = random.Random(3), [prose(100, 900 + k) for k in range(120)]
+    passages = [words(51, 600 + k) for k in range(20)]
+    for k in range(20, 40):  # three sentences of 17 to 24 words
+        w = words(60, 600 + k).split()
+        passages.append(" ".join(w[:20]) + ". " + " ".join(w[20:40]) + ". " + " ".join(w[40:]) + ".")
+    texts = []
+    for k, p in enumerate(passages):
+        w = p.split()
+        wrapped = " ".join(w[:7]) + "\n" + " ".join(w[7:22]) + "\n" + " ".join(w[22:])
+        for host, form in zip(hosts[3 * k : 3 * k + 3], (p, p, wrapped), strict=True):
+            at = draw.choice([i for i in range(100, 300) if host[i] == " "])
+            texts.append(host[:at] + " " + form + host[at:])
+    got = {r["doc_id"]: r for r in rows(spans.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for d, text in enumerate(texts):
+        lost = len(text.split()) - len(got[d]["text"].split())
+        assert lost == 0 if d % 3 == 0 else 20 <= lost <= 60, d
+
+
 def test_spans_odd(odd, empty):
     got = rows(spans.without_repeats(odd))
     assert len(got) == 13
