@@ -38,6 +38,9 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 _HIDDEN = frozenset("head title script style noscript template iframe object svg math canvas audio video select option optgroup datalist button textarea input map noembed noframes".split())
+# What a head may hold, and whose start ends a drawing or formula.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+_ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
 _ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul center".split())
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
@@ -87,7 +90,8 @@ def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = []  # open block elements and their nodes
     pieces: list[tuple[str, bool]] = []  # the open block's text, and whether it is in a link
-    hidden: list[str] = []
+    hidden: list[tuple[str, int]] = []  # open hidden elements, and how many elements were open inside when they began
+    inside: list[str] = []  # open elements inside hidden ones
     links = articles = 0
 
     def flush() -> None:
@@ -122,7 +126,34 @@ def parse(source: str) -> Page:
             if stack[k][0] in walls:
                 return
 
+    def show(k: int) -> None:
+        """End the hidden elements from number k on."""
+        if k < len(hidden):
+            del inside[hidden[k][1] :]
+            del hidden[k:]
+
+    def within(tag: str, closing: bool) -> bool:
+        """Whether a tag between hidden elements is theirs; if it ends them instead they are shown."""
+        if not closing:
+            drawing = hidden[-1][0] in ("svg", "math")
+            if drawing and tag in _ENDS_FOREIGN and "foreignobject" not in inside[hidden[-1][1] :]:
+                show(len(hidden) - 1)
+            elif tag not in _VOID and tag not in _INLINE:
+                inside.append(tag)
+            return bool(hidden)
+        for k in range(len(inside) - 1, -1, -1):
+            if inside[k] == tag:
+                del inside[k:]
+                while hidden[-1][1] > k:
+                    hidden.pop()
+                return True
+        if any(t == tag for t, _ in stack):
+            show(0)
+        return bool(hidden)
+
     def say(text: str) -> None:
+        if len(hidden) == 1 and hidden[0][0] == "head" and text.strip():
+            show(0)
         if text and not hidden:
             pieces.append((html.unescape(text) if "&" in text else text, links > 0))
 
@@ -134,6 +165,8 @@ def parse(source: str) -> Page:
         if not tag:
             continue
         closing, rest = bool(m["close"] or m["close2"]), m["rest"] or m["rest2"] or ""
+        if hidden and hidden[-1][0] == "head" and not closing and tag not in _IN_HEAD:
+            show(len(hidden) - 1)
         if tag in _HIDDEN:
             if not closing and tag in _RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(source, at)
@@ -141,16 +174,16 @@ def parse(source: str) -> Page:
             elif tag in _VOID or rest.endswith("/"):
                 pass
             elif not closing:
-                hidden.append(tag)
-            elif tag in hidden:
-                del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                hidden.append((tag, len(inside)))
+            else:
+                show(max((k for k, (t, _) in enumerate(hidden) if t == tag), default=len(hidden)))
             if not hidden:
                 say(" ")
             continue
         if hidden:
-            if tag == "body" and "head" in hidden:
-                hidden.clear()
-            else:
+            if tag == "body" and any(t == "head" for t, _ in hidden):
+                show(0)
+            elif rest.endswith("/") or within(tag, closing):
                 continue
         if tag in _INLINE and not (tag == "ins" and _ATTRIBUTE.search(rest)):
             if tag == "a":

@@ -315,6 +315,33 @@ def test_broken_pages(page_model, source):
     assert isinstance(html_text.main_text(page_model, source), str)
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<head><title>x</title>{}",
+        "<html><head><meta charset=utf-8><link href=a><script>var x</script>{}",
+        "<head><template><p>no</p></template><svg><g></g></svg>{}",
+        "<body><div><button>Go</div>{}",
+        "<body><div><button><div>Go</div> on</div>{}",
+        "<body><div><svg><path d=x></div>{}",
+        "<body><svg><path d=x><div>{}",
+        "<body><form><select><option>a<option>b</form>{}",
+        "<body><section><object><p>no</p><video></section>{}",
+    ],
+)
+def test_unclosed_hidden_elements_end(page_model, around):
+    text = "<article><h1>A head line</h1><p>The first paragraph is long enough to be one of the article.</p><p>The second one is about as long as the first, and ends here.</p></article>"
+    shown = " ".join(t for t in html_text.parse(around.format(text)).text if t)
+    assert shown == "A head line The first paragraph is long enough to be one of the article. The second one is about as long as the first, and ends here."
+    assert html_text.main_text(page_model, around.format(text)) == shown.replace("article. The", "article.\nThe").replace("line The", "line\nThe")
+
+
+def test_hidden_elements_stay_hidden():
+    shown = [t for t in html_text.parse("<head>\n<title>x</title></head><div><button><div>no</div> no</button>yes<svg><foreignObject><p>no</p></foreignObject><text>no</text></svg></div>").text if t]
+    assert shown == ["yes"]
+    assert [t for t in html_text.parse("<head><title>x</title>Bare text").text if t] == ["Bare text"]
+
+
 def test_html_odd(spark, page_model):
     frame = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<article><p>Some text of the article.</p></article>", "x"), (1, None, "", "y")], "page_id long, url string, html string, text string")
     got = rows(html_text.extracted(frame, page_model))
