@@ -13,13 +13,13 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id"""
 
-MIXING = """WITH RECURSIVE n AS (SELECT '=' || source AS key, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT key, CAST(greatest(1, round(sqrt(n) * 1000 / sum(sqrt(n)) OVER ())) AS BIGINT) AS share FROM n),
-one AS (SELECT list(key ORDER BY key) AS keys, list(share ORDER BY key) AS shares, CAST(sum(share) AS BIGINT) AS period FROM s),
-edf AS (SELECT CAST(-1 AS BIGINT) AS slot, list_transform(shares, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM one
-  UNION ALL SELECT slot + 1, list_transform(done, lambda x, i: x + CASE WHEN i = k THEN 1 ELSE 0 END), k FROM (SELECT slot, done,
-    list_sort(list_filter(list_transform(list_zip(done, shares), lambda z, i: [(CAST(z[1] AS BIGINT) + 1) * period // z[2] + CASE WHEN (CAST(z[1] AS BIGINT) + 1) * period % z[2] > 0 THEN 1 ELSE 0 END, i,
-      CASE WHEN CAST(z[1] AS BIGINT) * period // z[2] <= slot + 1 AND z[1] < z[2] THEN 1 ELSE 0 END]), lambda b: b[3] = 1))[1][2] AS k FROM edf, one WHERE slot + 1 < period) q),
-t AS (SELECT keys[pick] AS key, shares[pick] AS share, period, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM edf, one WHERE slot >= 0),
+MIXING = """WITH RECURSIVE n AS (SELECT '=' || source AS key, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT key, n, (n + 63) // 64 AS blocks, CAST(greatest(1, round(sqrt(n) * 1024)) AS BIGINT) AS weight FROM n),
+t AS (SELECT CAST(sum(weight) AS BIGINT) AS total FROM s), one AS (SELECT list(key ORDER BY key) AS keys, list(weight ORDER BY key) AS w, any_value(total) AS total, least(any_value(total), max(CAST(ceil(blocks * total / weight) AS BIGINT) + 1)) AS span FROM s, t),
+edf AS (SELECT CAST(-1 AS BIGINT) AS slot, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS lag, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS turn FROM one
+  UNION ALL SELECT slot, list_transform(lag, lambda x, i: x - CASE WHEN i = k THEN total ELSE 0 END), list_transform(done, lambda x, i: x + CASE WHEN i = k THEN 1 ELSE 0 END), k, done[k] FROM (SELECT slot, lag, done, total,
+    list_sort(list_filter(list_transform(list_zip(lag, w), lambda z, i: [CAST(z[1] > 0 AS BIGINT), (total - z[1] + z[2] - 1) // z[2], i]), lambda b: b[1] = 1))[1][3] AS k
+    FROM (SELECT slot + 1 AS slot, list_transform(list_zip(lag, w), lambda z: z[1] + z[2]) AS lag, done, w, total FROM edf, one WHERE slot + 1 < span) p) q),
+r AS (SELECT keys[pick] AS key, turn, slot, span, CASE WHEN span = total THEN w[pick] ELSE 1099511627776 END AS share FROM edf, one WHERE slot >= 0),
 d AS (SELECT doc_id, source, '=' || source AS key, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS number FROM documents),
-b AS (SELECT doc_id, source, number // 64 AS block, number, t.period * ((number // 64) // t.share) + t.slot AS slot FROM d JOIN t ON d.key = t.key AND (number // 64) % t.share = t.turn)
+b AS (SELECT doc_id, source, number // 64 AS block, number, r.span * ((number // 64) // r.share) + r.slot AS slot FROM d JOIN r ON d.key = r.key AND (number // 64) % r.share = r.turn)
 SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot, CAST(row_number() OVER (ORDER BY slot, number) - 1 AS BIGINT) AS position FROM b"""

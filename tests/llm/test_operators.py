@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -387,38 +389,57 @@ def test_embeddings(spark):
 # 6 Mixing
 
 
-def test_schedule_is_pfair(spark):
-    counts = spark.createDataFrame([("=a", 500), ("=b", 40), ("=c", 7), ("-", 1000)], "key string, n long")
-    slots = rows(mixing.schedule(mixing.shares(counts, {"a": 0.31, "b": 0.2, "c": 0.07}, 300)))
-    period = slots[0]["period"]
-    assert sorted(r["slot"] for r in slots) == list(range(period))
-    share, done = {r["key"]: r["share"] for r in slots}, collections.Counter()
-    for t, r in enumerate(sorted(slots, key=lambda r: r["slot"])):
+@pytest.mark.parametrize(
+    "weights,n",
+    [
+        ({"a": 0.31, "b": 0.2, "c": 0.07}, {"a": 500, "b": 40, "c": 7, None: 1000}),
+        ({"a": 0.5004, "b": 0.4996}, {"a": 6000, "b": 6000}),
+        ({"a": 1e-5, "b": 0.3333, "c": 0.66669}, {"a": 2, "b": 3333, "c": 6667}),
+        (None, {"a": 4000, "b": 3, "c": 900, None: 77}),
+    ],
+)
+def test_schedule_keeps_to_the_target_weights(spark, weights, n):
+    """Less than one block from the given weights, over up to 10,000 blocks, and every block within its window."""
+    counts = spark.createDataFrame([("-" if k is None else f"={k}", v) for k, v in n.items()], "key string, n long")
+    slots = sorted(rows(mixing.schedule(mixing.weighed(counts, weights), block=1)), key=lambda r: r["slot"])
+    assert [r["slot"] for r in slots] == list(range(slots[0]["span"]))
+    given = {f"={k}": Fraction(str(w)) for k, w in weights.items()} if weights else {("-" if k is None else f"={k}"): Fraction(round(v**0.5 * mixing.UNIT)) for k, v in n.items()}
+    if weights and None in n:
+        given["-"] = sum(given.values()) / len(given)
+    total = sum(given.values())
+    done = collections.Counter()
+    for t, r in enumerate(slots[:10_000]):
+        w = given[r["key"]] / total
+        assert r["turn"] == done[r["key"]] and math.floor(r["turn"] / w) <= t < math.ceil((r["turn"] + 1) / w)
         done[r["key"]] += 1
-        assert all(abs(done[k] - share[k] * (t + 1) / period) < 1 for k in share)
+        assert all(abs(done[k] - x * (t + 1) / total) < 1 for k, x in given.items())
 
 
-def test_mixture_by_brute_force(spark):
+def test_mixture_by_brute_force(spark, monkeypatch):
+    """Stretches shorter than the schedule, a schedule that repeats, and sources that end."""
+    monkeypatch.setattr(mixing, "STRETCH", 7)
     docs = [(k, "big" if k % 3 else None if k % 5 else "tiny") for k in range(1500)]
-    got = rows(mixing.mixed(spark.createDataFrame(docs, "doc_id long, source string"), {"big": 0.5, "tiny": 0.25}, block=8, period=64))
-    assert sorted(r["position"] for r in got) == list(range(1500)) and sorted(r["doc_id"] for r in got) == list(range(1500))
-    by = sorted(got, key=lambda r: r["position"])
-    assert [r["slot"] for r in by] == sorted(r["slot"] for r in by)
-    for source in ("big", "tiny", None):
-        own = [r["doc_id"] for r in by if r["source"] == source]
-        assert own == sorted(own, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
-    last = min(max(r["position"] for r in got if r["source"] == s) for s in ("big", "tiny", None))
-    taken, weight = collections.Counter(), {"big": 2 / 3.5, "tiny": 1 / 3.5, None: 0.5 / 3.5}
-    share = collections.Counter({s: 0 for s in weight})
-    blocks = []
-    for r in by[: last + 1]:
-        if (r["source"], r["block"]) not in taken:
-            taken[(r["source"], r["block"])] = 1
-            blocks.append(r["source"])
-    final = collections.Counter(blocks)
-    for t in range(1, len(blocks) - 1):
-        share[blocks[t - 1]] += 1
-        assert all(abs(share[s] - t * final[s] / len(blocks)) < 3 for s in final)
+    got = rows(mixing.mixed(spark.createDataFrame(docs, "doc_id long, source string"), {"big": 0.5, "tiny": 0.25}, block=8))
+    whole = {"big": 4, "tiny": 2, None: 3}  # a source without a weight has the mean
+    keys, own = sorted(whole, key=lambda s: "-" if s is None else f"={s}"), collections.defaultdict(list)
+    for i, s in sorted(docs, key=lambda d: (hashlib.md5(str(d[0]).encode()).hexdigest(), d[0])):
+        own[s].append(i)
+    done, want, t = collections.Counter(), [], 0
+    while len(want) < len(docs):
+        ready = [(-(-(done[s] + 1) * 9 // whole[s]), k) for k, s in enumerate(keys) if done[s] * 9 // whole[s] <= t]
+        s = keys[min(ready)[1]]
+        want += [(i, s, done[s], t, len(want) + k) for k, i in enumerate(own[s][8 * done[s] : 8 * done[s] + 8])]
+        done[s] += 1
+        t += 1
+    assert sorted((r["doc_id"], r["source"], r["block"], r["slot"], r["position"]) for r in got) == sorted(want)
+
+
+def test_weights_are_held_exactly():
+    assert mixing.whole_weights({"a": 0.5, "b": 0.3, "c": 0.2}) == ({"a": 15, "b": 9, "c": 6}, 10)
+    whole, mean = mixing.whole_weights({"a": 1 / 3, "b": 1.2345678901234567e-19, "c": 7e12})
+    assert sum(whole.values()) + mean <= 1 << 60 and whole["b"] == 1
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": 0.0})
 
 
 def test_mixing_odd(odd, empty):
