@@ -9,6 +9,7 @@ total a stretch is gathered.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored, tidied, utf8
@@ -26,14 +27,30 @@ WINDOW = 4096
 END_ID = 2
 #: Words a worker keeps the ids of, twice over: when so many are held, those not met since the last turn go.
 #: It bounds memory and changes no result.
-CACHED_WORDS = 120_000
+CACHED_WORDS = 200_000
 #: With so many stretches or fewer (some 200 bytes each) their offsets are broadcast; beyond it they are joined by shuffle.
 BROADCAST_STRETCHES = 200_000
 
 #: Control characters that Python's split() takes as white space and the tokenizer does not; openings of special tokens.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-#: Latin letters whose lower case and canonical form are one letter each, then ASCII punctuation.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Latin letters whose lower case and canonical form are one letter each.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: ASCII punctuation between a letter and white space, a token or tokens of its own.
+_ENDING = re.compile(r"[!-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)[!-/:-@\[-`{-~]*(?!\S)")
+#: The tokenizers that take words apart alike: lower case, no token over white space, letters and punctuation apart.
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+    "post_processor": None,
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -66,49 +83,65 @@ class _Kept(dict):
 def word_tokenizer(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids (little-endian 32 bits), equal to the tokenizer's on the whole text.
 
-    For byte-level tokenizers with lower case whose tokens never span white space: each distinct word is
-    encoded once and kept, in a worker's later tasks too. Letters and the punctuation after them are
-    separate tokens and kept apart.
+    For tokenizers that take words apart as ``_WORDWISE`` says each distinct word is encoded once and kept, in
+    a worker's later tasks too; punctuation that ends a word is kept apart. Any other tokenizer encodes each
+    text as a whole.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    merge, letters = tokenizer.model.tokenize, _byte_letters()
 
     def encode(text: str) -> bytes:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode_letters(word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(letters)
-        return array("I", [t.id for t in merge(word)]).tobytes()
+    if not _is_wordwise(path):
+        encode.rest = lambda: None
+        return encode
+    merge, letters = tokenizer.model.tokenize, _byte_letters()
 
     def encode_word(word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word)
-        if not plain:
+        if word.isascii():
+            if not word.isalpha():
+                return encode(word)
+            word = word.lower()
+        elif _LETTERS.fullmatch(word):
+            word = word.lower().encode().decode("latin-1").translate(letters)
+        else:
             return encode(word)
-        ids = cores[plain[1].lower()]
-        return ids + tails[plain[2]] if plain[2] else ids
+        return array("I", [t.id for t in merge(word)]).tobytes()
 
-    cores, tails, words = _Kept(encode_letters), _Kept(encode), _Kept(encode_word)
+    words = _Kept(encode_word)
 
     def ids_of(text: str) -> bytes:
         for odd in _ODD:
             if odd in text:
                 return encode(text)
-        for kept in (cores, tails, words):
-            kept.turn()
-        return b"".join(map(words.__getitem__, text.split()))
+        words.turn()
+        try:
+            # Case matters nowhere in Latin-1, whose lower case is letter by letter.
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return b"".join(map(words.__getitem__, _ENDING.sub(r" \g<0>", text).split()))
 
     def rest() -> None:
         """Between tasks a worker holds one generation only."""
-        for kept in (cores, tails, words):
-            kept.older = {}
+        words.older = {}
 
     ids_of.rest = rest
     return ids_of
 
 
+def _is_wordwise(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        tokenizer = json.load(file)
+    model = tokenizer["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    special = all(any(odd in t["content"] for odd in _ODD) for t in tokenizer["added_tokens"])
+    return plain and special and all(tokenizer.get(k) == v for k, v in _WORDWISE.items())
+
+
 def tokenized(documents: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID) -> DataFrame:
     """(doc_id, stretch, before, n_tokens, ids): each document's ids with the end id, and the tokens before it in its stretch."""
     bounded_batches(documents.sparkSession)
@@ -159,50 +192,34 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
     """
     docs = stored(tokenized(documents, tokenizer_path, id_column, text_column, end_id), "tokens", "snappy")
     totals = stored(docs.groupBy("stretch").agg(F.sum("n_tokens").alias("total")), "totals")
-    upto = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    n_stretches, every = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("total"), F.lit(0))).first()
     # One row for each stretch: a few bytes for megabytes of input.
-    bases = totals.select("stretch", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"), F.sum("total").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_tokens"))
-    small = totals.count() <= BROADCAST_STRETCHES
-    placed = docs.join(F.broadcast(bases) if small else bases, "stretch").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "all_tokens", "ids")
-    kind = placed.schema["doc_id"].dataType.simpleString()
-
-    @tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, start, length, ids, tokens, sequence, offset = [], [], [], [], [], [], []
-            for r, (at, every, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                n, done = len(own) // 4, 0
-                while done < n:
-                    seq, off, room = _place(at + done, every, window)
-                    take = min(room, n - done)
-                    row.append(r)
-                    start.append(done)
-                    length.append(take)
-                    ids.append(own[4 * done : 4 * (done + take)])
-                    tokens.append(n)
-                    sequence.append(seq)
-                    offset.append(off)
-                    done += take
-            longs = [pa.array(x, pa.int64()) for x in (start, length, tokens, sequence, offset)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), *longs[:2], pa.array(ids, pa.binary()), *longs[2:]],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    return placed.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def _place(at: int, every: int, window: int) -> tuple[int, int, int]:
-    """The sequence of the token at ``at``, its offset there and the room from it on; ``every``: tokens of all documents."""
+    upto = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("stretch", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))
+    placed = docs.join(F.broadcast(bases) if n_stretches <= BROADCAST_STRETCHES else bases, "stretch")
+    placed = placed.select("doc_id", (F.col("base") + F.col("before")).alias("at"), F.col("n_tokens").cast("long").alias("doc_tokens"), "ids")
+    pieces = placed.select("*", F.explode(_windows(F.col("at"), F.col("at") + F.col("doc_tokens"), every, window)).alias("w"))
+    begin = F.greatest("at", "w.begin")
+    pieces = pieces.withColumn("start", begin - F.col("at")).withColumn("length", F.least(F.col("at") + F.col("doc_tokens"), F.col("w.end")) - begin)
+    own = F.substring("ids", (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    return pieces.select("doc_id", "start", "length", own.alias("ids"), "doc_tokens", F.col("w.sequence").alias("sequence_id"), (begin - F.col("w.begin")).alias("offset"))
+
+
+def _windows(at: Column, end: Column, every: int, window: int) -> Column:
+    """The sequences (sequence, begin, end) that the tokens from ``at`` to before ``end`` lie in; ``every``: tokens of all documents."""
     full = every // window
-    if at < full * window:
-        return at // window, at % window, window - at % window
-    rest, sequence, begin = every - full * window, full, full * window
-    while True:
-        size = 1 << (rest.bit_length() - 1)
-        if at < begin + size:
-            return sequence, at - begin, begin + size - at
-        begin, rest, sequence = begin + size, rest - size, sequence + 1
+    kind = "array<struct<sequence:bigint,begin:bigint,end:bigint>>"
+    whole = F.transform(
+        F.sequence(F.floor(at / window), F.floor((F.least(end, F.lit(full * window)) - 1) / window)),
+        lambda s: F.struct(s.alias("sequence"), (s * window).alias("begin"), ((s + 1) * window).alias("end")),
+    )
+    rest, tail = full * window, []
+    for bit in reversed(range((every - rest).bit_length())):
+        if (every - rest) >> bit & 1:
+            tail.append(F.struct(F.lit(full + len(tail)).cast("long").alias("sequence"), F.lit(rest).cast("long").alias("begin"), F.lit(rest + (1 << bit)).cast("long").alias("end")))
+            rest += 1 << bit
+    last = F.filter(F.array(*tail).cast(kind), lambda w: (w["begin"] < end) & (w["end"] > at))
+    return F.concat(F.when(at < full * window, whole).otherwise(F.array().cast(kind)), last)
 
 
 def with_checksums(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
