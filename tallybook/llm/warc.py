@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,16 +19,15 @@ DATE = "2024-01-01T00:00:00Z"
 
 @dataclass(frozen=True)
 class Archive:
-    """``payloads``: (digest, payload); ``headers``: (page_id, digest, record_type, refers_to, warc_header, http_header)."""
+    """``payloads``: (digest, payload); ``headers``: (digest, warc_header, http_header), the records' exact header bytes."""
 
     payloads: DataFrame
     headers: DataFrame
 
 
 def _record_id(page: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("/", F.coalesce(page.cast("string"), F.lit("")), digest))
-    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+    """A record's name: its page's id and its payload's digest."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":sha256:"), digest, F.lit(">"))
 
 
 def _lines(*fields: tuple[str, Column]) -> Column:
@@ -70,36 +70,55 @@ def write(pages: DataFrame, least_revisit: int = LEAST_REVISIT, date: str = DATE
         ),
         F.lit("\r\n"),
     )
-    headers = found.withColumn("http_header", http).withColumn("warc_header", header).select("page_id", "digest", "record_type", "refers_to", "warc_header", "http_header")
+    headers = found.withColumn("http_header", http).withColumn("warc_header", header).select("digest", F.col("warc_header").cast("binary"), F.col("http_header").cast("binary"))
     # Equal digests meet on the map side first: a payload of many copies crosses the shuffle once from each task.
     payloads = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
     return Archive(stored(payloads, "warc-payloads"), stored(headers, "warc-headers"))
 
 
-def read_back(archive: Archive) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): sizes and digests taken anew from the stored bytes."""
-    payloads = archive.payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    return archive.headers.join(payloads, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+def _field(header: Column, name: str) -> Column:
+    """A header field's value; null without such a field."""
+    return F.nullif(F.regexp_extract(header, rf"(?m)^{name}: (.*)$", 1), F.lit(""))
 
 
 def records(archive: Archive) -> DataFrame:
-    """(page_id, record_type, record, payload): each original record's bytes, and its payload, also where it revisits another."""
+    """(record, payload): each original record's bytes, and its payload, also where it revisits another.
+
+    The headers meet the payloads by digest; what belongs in a record follows from its own header.
+    """
     joined = archive.headers.join(archive.payloads, "digest")
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    record = F.concat(F.col("warc_header").cast("binary"), F.col("http_header").cast("binary"), block, F.lit(b"\r\n\r\n"))
-    return joined.select("page_id", "record_type", record.alias("record"), "payload")
+    block = F.when(_field(F.col("warc_header").cast("string"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return joined.select(F.concat("warc_header", "http_header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+
+
+def read_back(archive: Archive, id_type: str = "long") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): what the rebuilt records themselves say.
+
+    Page ids, types and references are parsed from the header bytes of each record; sizes and digests are
+    taken anew from the payload bytes. A record whose payload, its own or the one it refers to, has not the
+    digest that its header states, or whose length is not as stated, fails the reading.
+    """
+    parts = records(archive).withColumn("header", F.split_part(F.col("record").cast("string"), F.lit("\r\n\r\n"), F.lit(1)))
+    # A record is its header and two line ends, the block as long as stated, and two line ends again.
+    block = F.octet_length("record") - F.octet_length("header") - 4 - 4
+    whole = F.col("header").startswith("WARC/1.1\r\n") & (block == _field(F.col("header"), "Content-Length").cast("long")) & (F.concat(F.lit("sha256:"), F.col("payload_digest")) == _field(F.col("header"), "WARC-Payload-Digest"))
+    page = lambda name: F.nullif(F.regexp_extract(_field(F.col("header"), name), "^<urn:page:(.*):sha256:", 1), F.lit("")).cast(id_type)
+    parts = parts.withColumn("payload_digest", F.sha2("payload", 256))
+    kind = F.when(F.coalesce(whole, F.lit(False)), _field(F.col("header"), "WARC-Type")).otherwise(F.raise_error(F.lit("a record is not as its header says")))
+    return parts.select(page("WARC-Record-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", kind.alias("record_type"), page("WARC-Refers-To").alias("refers_to"))
 
 
-def export(archive: Archive, path: str, compression: str = "gzip") -> None:
+def export(archive: Archive, path: str, compression: str = "gzip", records_in_file: int = 10_000) -> None:
     """Write the records as WARC files: each is followed by two line ends, the text writer's separator."""
     text = F.expr("cast(substring(record, 1, octet_length(record) - 4) as string)")
-    records(archive).select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    written = records(archive).select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression)
+    written.option("maxRecordsPerFile", records_in_file).text(path)
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(record_type, record_id, refers_to, target_uri, payload_digest, payload): the records of uncompressed WARC files.
+    """(record_type, record_id, refers_to, target_uri, payload_digest, payload): the records of WARC files, plain or gzip.
 
-    One task reads a file whole: files are as large as the writer's partitions.
+    One task reads a file whole: files hold as many records as ``export`` was asked for.
     """
     bounded_batches(spark)
     names = ["record_type", "record_id", "refers_to", "target_uri", "payload_digest"]
@@ -108,6 +127,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
+                if content[:2] == b"\x1f\x8b":
+                    content = gzip.decompress(content)
                 rows: list[tuple] = []
                 at = 0
                 while at < len(content):
