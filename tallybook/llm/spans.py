@@ -63,9 +63,9 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
 
 
 def runs(words: list[list[bytes]], least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, hash) of each run of pieces, by their numbers.
+    """(first, last, hash) of each run of pieces, by their numbers; a hash is a row of two 64-bit words.
 
-    A run's hash is a polynomial in its pieces' hashes, taken as a difference of prefix sums.
+    Each word is a polynomial in half of the pieces' 128-bit hashes, taken as a difference of prefix sums.
     """
     n = len(words)
     total = np.zeros(n + 1, np.int64)
@@ -77,10 +77,10 @@ def runs(words: list[list[bytes]], least_sentences: int = RUN_SENTENCES, least_w
     if len(last) and last[-1] < n - 1:
         # To the end, so that a whole copy leaves nothing.
         first, last = np.r_[first, first[-1]], np.r_[last, n - 1]
-    each = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(each * _up.upto(n)[:n], out=sums[1:])
-    h = (sums[last + 1] - sums[first]) * _down.upto(max(1, n))[first] + (last - first).astype(np.uint64)
+    each = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), ">u8").astype(np.uint64).reshape(-1, 2)
+    sums = np.zeros((n + 1, 2), np.uint64)
+    np.cumsum(each * _up.upto(n)[:n, None], axis=0, out=sums[1:])
+    h = (sums[last + 1] - sums[first]) * _down.upto(max(1, n))[first, None] + (last - first).astype(np.uint64)[:, None]
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return first, last, h ^ (h >> np.uint64(31))
 
@@ -92,42 +92,51 @@ def _row_key(documents: DataFrame, id_column: str, text_column: str) -> Column:
 
 
 def spans(documents: DataFrame, row_key: Column, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
-    """(hash, id, row, place): every run of every document; place is its first piece's number x 2**32 + its last's."""
+    """(h1, h2, id, row, place): every run of every document; place is its first piece's number x 2**32 + its last's.
+
+    Each document has one more row, without a hash, whose place is its number of pieces.
+    """
     bounded_batches(documents.sparkSession)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [runs([w for _, _, w in sentences(text)], least_sentences, least_words) for text in batch.column(2).to_pylist()]
-            if not found:
+            parts = [[w for _, _, w in sentences(text)] for text in batch.column(2).to_pylist()]
+            if not parts:
                 continue
+            found = [runs(p, least_sentences, least_words) for p in parts]
             rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f, _, _ in found]))
-            hashes, places = (np.concatenate(c) for c in zip(*((h.view(np.int64), (f << 32) + l) for f, l, h in found), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places)], names=["hash", "id", "row", "place"])
+            hashes = np.concatenate([h for _, _, h in found]).view(np.int64)
+            places = np.concatenate([(f << 32) + l for f, l, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places)], names=names)
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, batch.column(0), batch.column(1), pa.array([len(p) for p in parts], pa.int64())], names=names)
 
-    return documents.select(F.col(id_column).cast("long").alias("id"), row_key.alias("row"), utf8(text_column).alias("text")).mapInArrow(run, "hash long, id long, row long, place long")
+    names = ["h1", "h2", "id", "row", "place"]
+    return documents.select(F.col(id_column).cast("long").alias("id"), row_key.alias("row"), utf8(text_column).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeats(documents: DataFrame, row_key: Column, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
-    """(id, row, place): the runs that occurred before, in the order of ids, then of row keys and places.
+def repeats(every: DataFrame) -> DataFrame:
+    """(id, row, place): the runs of ``spans`` that occurred before, in the order of ids, then of row keys and places.
 
     First only the hashes are counted, with map-side sums; the places of those met once are never shuffled
     with an origin. A hash of many copies sends a row from each task to the minimum, and adaptive execution
-    may split it in the joins.
+    may split it in the joins. Hashes have 128 bits, so that no two runs of any corpus share one by chance.
     """
-    every = spans(documents, row_key, id_column, text_column, least_sentences, least_words)
-    often = stored(every.groupBy("hash").count().filter("count > 1").select("hash"), "often")
-    met = stored(every.join(often, "hash", "left_semi"), "met")
-    origin = stored(met.groupBy("hash").agg(F.min(F.struct("id", "row", "place")).alias("origin")), "origins")
-    return met.join(origin, "hash").filter(~F.struct("id", "row", "place").eqNullSafe(F.col("origin"))).select("id", "row", "place")
+    hashed = every.filter("h1 is not null")
+    often = stored(hashed.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "often")
+    met = stored(hashed.join(often, ["h1", "h2"], "left_semi"), "met")
+    origin = stored(met.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "place")).alias("origin")), "origins")
+    return met.join(origin, ["h1", "h2"]).filter(~F.struct("id", "row", "place").eqNullSafe(F.col("origin"))).select("id", "row", "place")
 
 
 def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
     """The documents with the text freed of repeated passages, and n_sentences, n_removed, removed.
 
-    ``n_sentences`` is counted where something repeats, else null. ``removed`` lists (begin, end) byte ranges of the original text. The first occurrence of a passage, by
-    smallest id, stays. Runs of under twenty words never count, so common short lines stay. ``n_sentences``
-    and ``n_removed`` count pieces (see ``sentences``); up to a piece at each end of a passage may stay.
+    ``removed`` lists (begin, end) byte ranges of the original text. The first occurrence of a passage, by
+    smallest id, stays. Runs of under ``least_words`` words never count, so common short lines stay.
+    ``n_sentences`` and ``n_removed`` count pieces (see ``sentences``); up to a piece at each end of a
+    passage may stay.
 
     Null texts have no sentence and stay null, empty ones stay empty; rows that repeat id and text are
     one document and keep or lose the same sentences; null ids come before all others. All input columns
@@ -135,23 +144,27 @@ def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column
     """
     documents = documents.drop("n_sentences", "n_removed", "removed")
     row_key = _row_key(documents, id_column, text_column)
-    marks = repeats(documents, row_key, id_column, text_column, least_sentences, least_words)
-    by_document = marks.groupBy("id", "row").agg(F.collect_set("place").alias("_marks")).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_marks")
+    # Texts are taken apart once; both passes over the runs read the table.
+    every = stored(spans(documents, row_key, id_column, text_column, least_sentences, least_words), "runs")
+    none = F.lit(None).cast("long")
+    marks = repeats(every).select("id", "row", F.col("place").alias("mark"), none.alias("n"))
+    counts = every.filter("h1 is null").select("id", "row", none.alias("mark"), F.col("place").alias("n"))
+    by_document = marks.union(counts).groupBy("id", "row").agg(F.collect_set("mark").alias("_marks"), F.max("n").alias("_n")).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_marks", "_n")
     keyed = documents.withColumn("_key", row_key)
-    joined = keyed.join(by_document, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
+    joined = keyed.join(by_document, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_row")), "left")
 
-    @F.pandas_udf("text binary, n_sentences long, n_removed long, removed array<struct<begin:long,end:long>>")
+    @F.pandas_udf("text binary, n_removed long, removed array<struct<begin:long,end:long>>")
     def cut(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_cut(t, m) for t, m in zip(texts, marks, strict=True)], columns=["text", "n_sentences", "n_removed", "removed"])
+        return pd.DataFrame([_cut(t, m) for t, m in zip(texts, marks, strict=True)], columns=["text", "n_removed", "removed"])
 
     done = joined.withColumn("_cut", cut(utf8(text_column), F.col("_marks")))
     kept = [F.when(F.col(c).isNotNull(), F.col("_cut.text").cast("string")).alias(c) if c == text_column else F.col(c) for c in documents.columns]
-    return done.select(*kept, "_cut.n_sentences", "_cut.n_removed", "_cut.removed")
+    return done.select(*kept, F.col("_n").alias("n_sentences"), "_cut.n_removed", "_cut.removed")
 
 
-def _cut(text: bytes, marks: np.ndarray | None) -> tuple[bytes, int | None, int, list[dict[str, int]]]:
-    if marks is None:
-        return text, None, 0, []
+def _cut(text: bytes, marks: np.ndarray) -> tuple[bytes, int, list[dict[str, int]]]:
+    if not len(marks):
+        return text, 0, []
     parts = sentences(text)
     gone = np.zeros(len(parts) + 1, np.int64)
     for code in marks:
@@ -169,7 +182,7 @@ def _cut(text: bytes, marks: np.ndarray | None) -> tuple[bytes, int | None, int,
     for piece in removed:
         kept.append(text[at : piece["begin"]])
         at = piece["end"]
-    return b"".join([*kept, text[at:]]), len(parts), int(covered.sum()), removed
+    return b"".join([*kept, text[at:]]), int(covered.sum()), removed
 
 
 def rid_of_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
