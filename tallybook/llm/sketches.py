@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, tidied, utf8
@@ -171,17 +171,11 @@ def edited_neighbours(documents: DataFrame, k: int = K, width: int = SHINGLE, id
         return pd.Series(np.where(missing, len(bounds) + 1, len(bounds) - np.searchsorted(bounds, ids.fillna(0).astype("int64"), "left"))).astype("int32")
 
     dealt = rows.withColumn("range", range_of("id"))
-    # One row for each range: its first document's id.
-    firsts = sorted((r["range"], r["first"]) for r in rows.select("id").withColumn("range", range_of("id")).groupBy("range").agg(F.max("id").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    at_edge = F.col("id").isin([x for x in before if x is not None])
-    if None in before:
-        at_edge = F.coalesce(at_edge, F.lit(True))
-    goes_to = F.lit(before.get(None)).cast("int")
-    for first, to in before.items():
-        if first is not None:
-            goes_to = F.when(F.col("id") == first, F.lit(to)).otherwise(goes_to)
-    guests = rows.filter(at_edge).select("id", "text", goes_to.alias("range")).withColumn("guest", F.lit(True))
+    # One row for each range (as many as the shuffle has partitions): its first document's id and the range before it.
+    firsts = dealt.select("id", "range").groupBy("range").agg(F.max("id").alias("first"))
+    last = F.max("range").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    edges = firsts.select("first", F.coalesce(F.lag("range").over(Window.orderBy("range")), last).alias("before"))
+    guests = rows.join(F.broadcast(edges), F.col("id").eqNullSafe(F.col("first"))).select("id", "text", F.col("before").alias("range"), F.lit(True).alias("guest"))
     both = dealt.withColumn("guest", F.lit(False)).union(guests)
     ordered = both.repartitionById(max(n, len(bounds) + 2), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("id"), F.xxhash64("text"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_containment", "n_shingles"]
