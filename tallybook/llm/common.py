@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,19 +16,17 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 3 << 20
 BATCH_ROWS = 2000
 
-_own_folder: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else one in the warehouse, which is shared too.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made.
+    Where both are unset the session's warehouse is a folder of the working folder: only a session on one
+    machine may do with that, and any other is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="tallybook-"))
-        folder = _own_folder[0]
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.tallybook"
+        if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{folder.rstrip('/')}/tallybook-{spark.sparkContext.applicationId}"
 
 
@@ -73,7 +71,19 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
-def utf8(column: str) -> Column:
+_NO_WORDS = re.compile(r"[\W\d_]+")
+
+
+def letters_of(text: bytes) -> str:
+    """The text's letters in lower case, all else between them as one blank; empty if there is no letter."""
+    letters = _NO_WORDS.sub(" ", text.decode("utf-8", "replace").lower()).strip()
+    if not letters.replace(" ", "").isalpha():
+        # Number signs like ½ and Ⅷ are words to a pattern, but no letters.
+        letters = " ".join("".join(c if c.isalpha() else " " for c in letters).split())
+    return letters
+
+
+def utf8(column: str)def utf8(column: str) -> Column:
     """The text's UTF-8 bytes; null counts as empty. Bytes reach Python without decoding."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 

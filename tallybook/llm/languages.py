@@ -1,40 +1,40 @@
 """Language identification as a mixture of languages.
 
-A document's byte 4-grams are draws from a mixture of the languages' n-gram distributions.
-Expectation-maximisation finds the proportions; which languages are in the mixture at all is chosen by
-penalised likelihood. The main language is the prediction and its proportion the score.
+A document's byte 4-grams are draws from a mixture of the languages' n-gram distributions and of noise, in
+which all grams are alike. Expectation-maximisation finds the proportions; which languages are in the
+mixture at all is chosen by penalised likelihood. The main language is the prediction and its proportion
+the score, so what no language explains lowers it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidied, utf8
+from .common import bounded_batches, letters_of, tidied, utf8
 
 #: Cells of the hashed n-gram table.
 TABLE_BITS = 16
 #: Documents of a language that its distribution is learned from, about; a bounded sample by hash of the id.
 SAMPLE = 2000
 SMOOTHING = 0.3
-STEPS = 12
-#: Languages in a mixture at most, and what a further one must gain in log likelihood for each gram's logarithm.
-MOST_LANGUAGES = 3
+#: Expectation-maximisation ends when no proportion moves by more, or after so many steps.
+SETTLED = 1e-4
+STEPS = 300
+#: What a further language must gain in log likelihood for the logarithm of the number of grams.
 PENALTY = 6.0
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
-
 
 def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the text's 4-grams over letters and single blanks, lower case, and their counts; none without a letter."""
-    letters = _OTHER.sub(" ", text.decode("utf-8", "replace").lower()).strip()
+    letters = letters_of(text)
     if not letters:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     b = np.frombuffer(f"  {letters}  ".encode(), np.uint8).astype(np.uint32)
@@ -86,53 +86,60 @@ def train(documents: DataFrame, lang_column: str = "lang", text_column: str = "t
     return Model(languages, (counts / counts.sum(axis=0)).astype(np.float32))
 
 
-def _mixture(likelihood: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+def mixture(likelihood: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions of the columns by expectation-maximisation, and the log likelihood."""
     k = likelihood.shape[1]
-    share = np.full(k, 1 / k, np.float32)
-    if k > 1:
-        total = n.sum()
-        for _ in range(STEPS):
-            share = share * (likelihood.T @ (n / (likelihood @ share))) / total
+    share, total = np.full(k, 1 / k), n.sum()
+    for _ in range(STEPS):
+        old, share = share, share * (likelihood.T @ (n / (likelihood @ share))) / total
+        if np.abs(share - old).max() < SETTLED:
+            break
     return share, float(n @ np.log(likelihood @ share))
 
 
 def infer(model: Model, text: bytes) -> tuple[str, float, dict[str, float]]:
-    """(main language, its proportion, proportions of the chosen set); ``und`` and 0 without a letter or a language."""
+    """(main language, its proportion, proportions of the chosen set); ``und`` and 0 without a letter or a language.
+
+    Noise is always in the mixture. Sets are tried in the order of the languages' proportions in the
+    mixture of all, up to those that have half a gram; a further language is not tried once even the fit of
+    all languages could not pay its penalty.
+    """
     cells, n = grams(text)
     if not len(cells) or not model.languages:
         return UNKNOWN, 0.0, {}
-    likelihood = model.likelihood[cells]
-    n = n.astype(np.float32)
-    share, _ = _mixture(likelihood, n)
-    order = np.argsort(-share, kind="stable")
+    n = n.astype(np.float64)
+    likelihood = np.c_[model.likelihood[cells], np.full(len(cells), 1 / (1 << TABLE_BITS))]
+    share, most = mixture(likelihood, n)
+    order = np.argsort(-share[:-1], kind="stable")
+    price = PENALTY * np.log(1 + n.sum())
     best = None
-    for size in range(1, min(MOST_LANGUAGES, len(order)) + 1):
-        chosen = order[:size]
-        own, fit = _mixture(likelihood[:, chosen], n)
-        value = fit - PENALTY * size * np.log(1 + n.sum())
-        if best is not None and value <= best[0]:
+    for size in range(1, max(1, int((share[:-1] * n.sum() >= 0.5).sum())) + 1):
+        if best is not None and best[0] >= most - price * size:
             break
-        best = (value, chosen, own)
+        chosen = order[:size]
+        own, fit = mixture(likelihood[:, [*chosen, -1]], n)
+        if best is None or fit - price * size > best[0]:
+            best = (fit - price * size, chosen, own)
     _, chosen, own = best
-    top = int(np.argmax(own))
-    return model.languages[chosen[top]], float(min(1.0, own[top])), {model.languages[c]: float(p) for c, p in zip(chosen, own, strict=True)}
+    top = int(np.argmax(own[:-1]))
+    return model.languages[chosen[top]], float(min(1.0, own[top])), {model.languages[c]: float(p) for c, p in zip(chosen, own, strict=False)}
 
 
 def identified(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, lang_pred, score, mixture): the prediction for each row from its whole text alone.
 
-    ``mixture`` maps the chosen languages to their proportions. Null texts and texts without a letter are
+    ``mixture`` maps the chosen languages to their proportions; what is left to one is noise. Null texts and texts without a letter are
     ``und`` with score 0 and an empty map; rows are kept as they are, repeated ones included.
     """
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).alias("id"), utf8(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [infer(model, t) for t in batch.column(1).to_pylist()]
+            each = [infer(shared.value, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([e[0] for e in each], pa.string()), pa.array([e[1] for e in each], pa.float64()), pa.array([list(e[2].items()) for e in each], pa.map_(pa.string(), pa.float64()))],
                 names=["id", "lang_pred", "score", "mixture"],
@@ -144,12 +151,11 @@ def identified(documents: DataFrame, model: Model, id_column: str = "doc_id", te
 def accepted(documents: DataFrame, model: Model, least: float = 0.0, text_column: str = "text") -> DataFrame:
     """The documents, all columns, whose language is known and has more than ``least`` of the mixture."""
     bounded_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def proportion(texts):
-        import pandas as pd
-
-        return pd.Series([infer(model, t)[1] for t in texts])
+    def proportion(texts: pd.Series) -> pd.Series:
+        return pd.Series([infer(shared.value, t)[1] for t in texts], dtype="float64")
 
     return documents.filter(proportion(utf8(text_column)) > least)
 
@@ -157,5 +163,3 @@ def accepted(documents: DataFrame, model: Model, least: float = 0.0, text_column
 def held_out(column: str, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves ``part`` when divided by ``parts``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts == part
-
-

@@ -6,7 +6,6 @@ vectors, so that an insult beside a group's name may count for more than both on
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, tidied, utf8
+from .common import bounded_batches, letters_of, stored, tidied, utf8
 from .sketches import _down, _up
 
 TABLE_BITS = 18
@@ -25,17 +24,21 @@ SAMPLE = 6000
 TERMS = 2048
 CHI_SQUARE = 15.0
 LEAST_ROWS = 3
+#: Beside them those of the strongest pairs: of all pairs of the FREQUENT terms that stand in most rows (or are
+#: missing in most), the first PAIRS by the chi-square of both together, if over PAIR_CHI_SQUARE and this many times either term's own.
+FREQUENT = 2048
+PAIRS = 256
+PAIR_CHI_SQUARE = 40.0
+PAIR_OVER_TERM = 2.0
 RANK = 8
 STEPS = 400
 #: First bytes of a word that are terms too, so that endings do not hide a stem.
 STEMS = (4, 6)
 
-_OTHER = re.compile(r"[\W\d_]+")
-
 
 def terms(text: bytes) -> np.ndarray:
     """Distinct cells of the text's words and their stems: letters only, lower case, ascending."""
-    joined = np.frombuffer(_OTHER.sub(" ", text.decode("utf-8", "replace").lower()).strip().encode(), np.uint8)
+    joined = np.frombuffer(letters_of(text).encode(), np.uint8)
     if not len(joined):
         return np.empty(0, np.int64)
     sums = np.zeros(len(joined) + 1, np.uint64)
@@ -107,34 +110,75 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_colu
 
     seen = features.mapInArrow(counted, "y int, cell int, n long").groupBy("cell").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean")).filter(F.col("toxic") + F.col("clean") >= LEAST_ROWS).toArrow()
     rows_of = {r["y"]: r["count"] for r in features.groupBy("y").count().collect()}
-    cell = _strongest(*(seen.column(c).to_numpy() for c in ("cell", "toxic", "clean")), rows_of.get(1, 0), rows_of.get(0, 0))
+    n_toxic, n_clean = rows_of.get(1, 0), rows_of.get(0, 0)
+    cells, toxic, clean = (seen.column(c).to_numpy() for c in ("cell", "toxic", "clean"))
+    alone, many = _strongest(cells, toxic, clean, n_toxic, n_clean), _frequent(cells, toxic + clean, n_toxic + n_clean)
+    looked = np.union1d(alone, many)
 
     @tidied
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [np.flatnonzero(np.isin(cell, np.frombuffer(c, np.int32), assume_unique=True)).astype(np.int32).tobytes() for c in batch.column(1).to_pylist()]
+            kept = [np.flatnonzero(np.isin(looked, np.frombuffer(c, np.int32), assume_unique=True)).astype(np.int32).tobytes() for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["y", "at"])
 
     data = features.mapInArrow(narrowed, "y int, at binary").toArrow().combine_chunks()
-    y = data.column("y").to_numpy()
-    x = np.zeros((len(y), len(cell)), np.float32)
-    for k, at in enumerate(data.column("at").to_pylist()):
-        x[k, np.frombuffer(at, np.int32)] = 1
+    y, at = data.column("y").to_numpy(), [np.frombuffer(a, np.int32) for a in data.column("at").to_pylist()]
+    cell = np.union1d(alone, many[_of_pairs(_columns(at, looked, many), y)])
+    x = np.concatenate([*_columns(at, looked, cell)]) if len(y) else np.zeros((0, len(cell)), np.float32)
     order = np.lexsort((x @ np.arange(1, len(cell) + 1), y))  # the same fit whatever the order of rows
     x, y = x[order], y[order]
     weight = np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum()))
     return Model(cell, *_fit(x, y.astype(np.float32), (weight / weight.sum()).astype(np.float32)))
 
 
-def _strongest(cell: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+def _chi_square(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Of what stands in so many toxic and clean rows."""
     a, b = toxic.astype(float), clean.astype(float)
     n, both = n_toxic + n_clean, a + b
-    chi = n * (a * (n_clean - b) - b * (n_toxic - a)) ** 2 / np.maximum(1.0, n_toxic * n_clean * both * (n - both))
+    return n * (a * (n_clean - b) - b * (n_toxic - a)) ** 2 / np.maximum(1.0, float(n_toxic) * n_clean * both * (n - both))
+
+
+def _strongest(cell: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    chi = _chi_square(toxic, clean, n_toxic, n_clean)
     good = np.flatnonzero(chi > CHI_SQUARE)
     good = good[np.lexsort((cell[good], -chi[good]))][:TERMS]
     return np.sort(cell[good]).astype(np.int64)
 
 
+def _frequent(cell: np.ndarray, rows: np.ndarray, every: int) -> np.ndarray:
+    """The terms that part the rows most evenly."""
+    smaller = np.minimum(rows, every - rows)
+    return np.sort(cell[np.lexsort((cell, -smaller))][:FREQUENT]).astype(np.int64)
+
+
+def _columns(at: list[np.ndarray], looked: np.ndarray, wanted: np.ndarray, step: int = 1000) -> Iterator[np.ndarray]:
+    """The rows' terms as zeros and ones of the wanted cells, some rows at a time. ``at``: places in ``looked``."""
+    for begin in range(0, len(at), step):
+        x = np.zeros((min(step, len(at) - begin), len(looked)), np.float32)
+        for k, a in enumerate(at[begin : begin + step]):
+            x[k, a] = 1
+        yield x[:, np.searchsorted(looked, wanted)]
+
+
+def _of_pairs(x: Iterator[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Columns of the pairs that tell much more together than either alone."""
+    together, begin = {0: 0, 1: 0}, 0
+    for part in x:
+        own = y[begin : begin + len(part)]
+        for label in (0, 1):
+            together[label] = together[label] + part[own == label].T @ part[own == label]
+        begin += len(part)
+    if not begin or not np.shape(together[0])[0]:
+        return np.empty(0, np.int64)
+    n_toxic, n_clean = int((y == 1).sum()), int((y == 0).sum())
+    each = _chi_square(np.diag(together[1]), np.diag(together[0]), n_toxic, n_clean)
+    a, b = np.triu_indices(len(each), 1)
+    chi = _chi_square(together[1][a, b], together[0][a, b], n_toxic, n_clean)
+    good = np.flatnonzero((chi > PAIR_CHI_SQUARE) & (chi > PAIR_OVER_TERM * np.maximum(each[a], each[b])))
+    good = good[np.argsort(-chi[good], kind="stable")][:PAIRS]
+    return np.unique(np.r_[a[good], b[good]])
+
+
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Weighted logistic loss with ridge terms, by Adam on the whole (bounded) sample."""
     draw = np.random.default_rng(1)
@@ -159,11 +203,12 @@ def scored(documents: DataFrame, model: Model, threshold: float = 0.7, id_column
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).alias("id"), utf8(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.array([model.score(t) for t in batch.column(1).to_pylist()])
+            score = np.array([shared.value.score(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
     return rows.mapInArrow(run, f"id {kind}, score double, predicted int")
