@@ -85,13 +85,33 @@ def _element(tag: str, rest: str) -> tuple[tuple[int, ...], int | None]:
     return tuple(dict.fromkeys(found)), label
 
 
+class _Open(list):
+    """Names of open elements, the last one innermost, and where each name stands, so that no search walks the list."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self))
+        self.append(name)
+
+    def cut(self, k: int) -> None:
+        """Close all from number k on; each element is closed once."""
+        while len(self) > k:
+            self.places[self.pop()].pop()
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """The number of the innermost element of these names, -1 if none is open."""
+        return max((places[-1] for n in names if (places := self.places.get(n))), default=-1)
+
+
 def parse(source: str) -> Page:
     """The page's tree. Unclosed elements end where HTML ends them; a missing or broken tag never fails."""
     page = Page()
-    stack: list[tuple[str, int]] = []  # open block elements and their nodes
+    stack, nodes = _Open(), []  # open block elements and their nodes
     pieces: list[tuple[str, bool]] = []  # the open block's text, and whether it is in a link
     hidden: list[tuple[str, int]] = []  # open hidden elements, and how many elements were open inside when they began
-    inside: list[str] = []  # open elements inside hidden ones
+    inside = _Open()  # open elements inside hidden ones
     links = articles = 0
 
     def flush() -> None:
@@ -110,7 +130,7 @@ def parse(source: str) -> Page:
         pieces.clear()
 
     def add(features: list[int] | tuple[int, ...], text: str | None, label: int | None) -> int:
-        page.parent.append(stack[-1][1] if stack else -1)
+        page.parent.append(nodes[-1] if nodes else -1)
         page.features.append(features)
         page.text.append(text)
         page.label.append(label)
@@ -118,36 +138,34 @@ def parse(source: str) -> Page:
 
     def end(names: tuple[str, ...], walls: tuple[str, ...]) -> None:
         """Close the nearest open element of these names, and all in it, unless a wall stands before it."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in walls:
-                return
+        k = stack.last(names)
+        if k > stack.last(walls) or k >= 0 and stack[k] in walls:
+            flush()
+            stack.cut(k)
+            del nodes[k:]
 
     def show(k: int) -> None:
         """End the hidden elements from number k on."""
         if k < len(hidden):
-            del inside[hidden[k][1] :]
+            inside.cut(hidden[k][1])
             del hidden[k:]
 
     def within(tag: str, closing: bool) -> bool:
         """Whether a tag between hidden elements is theirs; if it ends them instead they are shown."""
         if not closing:
             drawing = hidden[-1][0] in ("svg", "math")
-            if drawing and tag in _ENDS_FOREIGN and "foreignobject" not in inside[hidden[-1][1] :]:
+            if drawing and tag in _ENDS_FOREIGN and inside.last(("foreignobject",)) < hidden[-1][1]:
                 show(len(hidden) - 1)
             elif tag not in _VOID and tag not in _INLINE:
-                inside.append(tag)
+                inside.push(tag)
             return bool(hidden)
-        for k in range(len(inside) - 1, -1, -1):
-            if inside[k] == tag:
-                del inside[k:]
-                while hidden[-1][1] > k:
-                    hidden.pop()
-                return True
-        if any(t == tag for t, _ in stack):
+        k = inside.last((tag,))
+        if k >= 0:
+            inside.cut(k)
+            while hidden[-1][1] > k:
+                hidden.pop()
+            return True
+        if stack.last((tag,)) >= 0:
             show(0)
         return bool(hidden)
 
@@ -195,7 +213,7 @@ def parse(source: str) -> Page:
         if closing:
             end((tag,), ())
             continue
-        if tag == "html" or (tag == "body" and any(t == "body" for t, _ in stack)):
+        if tag == "html" or (tag == "body" and stack.last(("body",)) >= 0):
             continue
         if tag in _ENDS_P:
             end(("p",), _SCOPE["p"])
@@ -206,9 +224,10 @@ def parse(source: str) -> Page:
             continue
         features, label = _element(tag, rest)
         articles += tag in ("article", "main")
-        if tag == "header" and any(t in ("article", "main") for t, _ in stack):
+        if tag == "header" and stack.last(("article", "main")) >= 0:
             features = tuple(FEATURES["header in an article"] if f == FEATURES["<header>"] else f for f in features)
-        stack.append((tag, add(features, None, label)))
+        nodes.append(add(features, None, label))
+        stack.push(tag)
     if source[at:]:
         say(source[at:])
     flush()
@@ -275,12 +294,9 @@ def train(pages: list[str] | None = None, steps: int = 500) -> Model:
     up = parent[child]
     seen = np.bincount(4 * kind[child] + 2 * y[up] + y[child], minlength=8).reshape(2, 2, 2).astype(float)
     seen_features = np.bincount(column, y[row], len(FEATURES))
-    # Where there is an article or a main element the body is not main text as a whole: this weight is given, not learned.
-    given = FEATURES["body around an article"]
     value = [np.zeros(len(FEATURES)), np.array([[[1.0, -1.0], [-1.0, 1.0]]] * 2)]
     first, second = [np.zeros_like(v) for v in value], [np.zeros_like(v) for v in value]
     for step in range(1, steps + 1):
-        value[0][given] = -20.0
         w, (e00, e01, e10, e11) = value[0], value[1].reshape(2, 4).T
         w00, w01, w10, w11 = (e[kind] for e in (e00, e01, e10, e11))
         below = np.bincount(row, w[column], len(y))
@@ -303,7 +319,6 @@ def train(pages: list[str] | None = None, steps: int = 500) -> Model:
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.99 * second[k] + 0.01 * grad * grad
             value[k] = value[k] - 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
-    value[0][given] = -20.0
     return Model(*value)
 
 
