@@ -4,7 +4,8 @@ A graph of each vector's nearest neighbours starts from random projections and i
 every vector's neighbours, and those it is a neighbour of, with each other. Lists full of links are
 enlarged. Every link met on the way joins two groups; in the end all pairs inside a group are compared in
 tiles, so that numbers of links do not depend on the lists' lengths. An audit measures the recall against
-brute force, and the descent goes on with longer lists while it is too low.
+brute force, and the descent goes on with longer lists while it is too low; if it stays too low all vectors
+of a label are compared in tiles.
 """
 
 from __future__ import annotations
@@ -29,8 +30,14 @@ ROUNDS = 5
 SETTLED = 0.02
 #: Vectors of one bucket or group that meet in one tile.
 TILE = 1024
-#: Audited vectors, compared with all others by brute force, and the share of their links that must be found.
+#: Vectors in a tile of the exact comparison; a vector is sent to as many tiles as its group has.
+WIDE_TILE = 4096
+#: Vectors audited in each of two draws, from all and from those of few links, by brute force. A draw is doubled up to
+#: MOST_AUDITED until LINKED of its vectors have a link. RECALL of them must have all of their links found.
 AUDIT = 400
+MOST_AUDITED = 6400
+LINKED = 100
+FEW_LINKS = 64
 RECALL = 0.99
 
 
@@ -175,10 +182,13 @@ def _local_joins(nodes: DataFrame, lists: DataFrame, wide: bool, threshold: floa
     return members.repartition("center").sortWithinPartitions("center").mapInArrow(run, _FOUND)
 
 
-def _counted(nodes: DataFrame, groups: DataFrame, wide: bool, threshold: float) -> DataFrame:
-    """(node, n): for each node in a group the copies of the other nodes of the group that it links to."""
-    members = stored(nodes.join(groups, F.col("rep") == F.col("node")).select(F.col("component").alias("group"), "rep", "copies", "vec"), "members")
-    tiled = _tiles(members, "group", TILE).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int"))
+def _compared(members: DataFrame, wide: bool, threshold: float) -> DataFrame:
+    """(node, n, other): all pairs of each group of ``members`` (group, rep, copies, vec), in tiles.
+
+    Rows with ``n`` add up to the copies of the other nodes of the group that the node links to; those with
+    ``other`` are links that span the group's parts.
+    """
+    tiled = _tiles(members, "group", WIDE_TILE).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int")
     units = tiled.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.alias("side"), "rep", "copies", "vec")
@@ -187,48 +197,76 @@ def _counted(nodes: DataFrame, groups: DataFrame, wide: bool, threshold: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "unit", 2048):
             unit, side, rep, copies = (table.column(c).to_numpy() for c in ("unit", "side", "rep", "copies"))
-            edges, n = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True]), np.zeros(len(rep), np.int64)
+            edges, n, label = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True]), np.zeros(len(rep), np.int64), np.arange(len(rep))
             for a, b in zip(edges, edges[1:], strict=False):
-                m, c = _matrix(table.column("vec").slice(a, b - a), wide), copies[a:b]
-                if side[a] == 2:
-                    s = m @ m.T >= threshold
-                    np.fill_diagonal(s, False)
-                    n[a:b] = s @ c
-                else:
-                    k = int((side[a:b] == 0).sum())
-                    s = m[:k] @ m[k:].T >= threshold
-                    n[a : a + k], n[a + k : b] = s @ c[k:], s.T @ c[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n)], names=["node", "n"])
+                m = _matrix(table.column("vec").slice(a, b - a), wide)
+                k = int((side[a:b] == 0).sum())
+                rows = b - a if side[a] == 2 else k
+                for begin in range(0, rows, 512):
+                    end = min(rows, begin + 512)
+                    at = 0 if side[a] == 2 else k
+                    s = m[begin:end] @ m[at:].T >= threshold
+                    if side[a] == 2:
+                        s[np.arange(end - begin), np.arange(begin, end)] = False
+                    else:
+                        n[a + k : b] += s.T @ copies[a + begin : a + end]
+                    n[a + begin : a + end] += s @ copies[a + at : b]
+                    i, j = np.nonzero(s)
+                    _join(label, i + a + begin, j + a + at)
+            moved = np.flatnonzero(label != np.arange(len(rep)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n), pa.nulls(len(rep), pa.int64())], names=["node", "n", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.nulls(len(moved), pa.int64()), pa.array(rep[label[moved]])], names=["node", "n", "other"])
 
-    found = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "node long, n long")
-    return found.groupBy("node").agg(F.sum("n").alias("n"))
+    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "node long, n long, other long")
 
 
 def audit(nodes: DataFrame, counted: DataFrame, wide: bool, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of ``sample`` vectors (first by a hash of their ids), found by brute force, that ``counted`` has."""
-    asked = nodes.orderBy(F.xxhash64("rep", F.lit("audit")), "rep").limit(sample).select("rep", "part", "vec").toArrow()
+    """Of sampled vectors that have a link by brute force the share whose links ``counted`` has all, the lesser of two draws.
+
+    One draw is from all vectors, one from those with few links in ``counted`` or none, so that a large
+    group cannot hide what is lost elsewhere; a vector counts once however many copies its links have.
+    Vectors come in the order of a hash of their ids. 1 where no drawn vector has a link.
+    """
+    known = nodes.join(counted, F.col("rep") == F.col("node"), "left").select("rep", "part", "vec", F.coalesce("n", F.lit(0)).alias("n"))
+    return min(_drawn_recall(nodes, drawn, wide, threshold, sample) for drawn in (known, known.filter(F.col("n") <= FEW_LINKS)))
+
+
+def _drawn_recall(nodes: DataFrame, drawn: DataFrame, wide: bool, threshold: float, sample: int) -> float:
+    while True:
+        asked = drawn.orderBy(F.xxhash64("rep", F.lit("audit")), "rep").limit(sample).toArrow()
+        true = _true_links(nodes, asked, wide, threshold)
+        linked = [true.get(r, 0) == n for r, n in zip(asked.column("rep").to_pylist(), asked.column("n").to_pylist(), strict=True) if true.get(r, 0)]
+        if len(linked) >= LINKED or asked.num_rows < sample or sample >= MOST_AUDITED:
+            return sum(linked) / len(linked) if linked else 1.0
+        sample *= 4
+
+
+def _true_links(nodes: DataFrame, asked: pa.Table, wide: bool, threshold: float) -> dict[int, int]:
+    """The copies that each asked vector (rep, part, vec) links to, by brute force over all nodes; at most MOST_AUDITED numbers."""
     queries = list(zip(*(asked.column(c).to_pylist() for c in ("rep", "part", "vec")), strict=True))
     parts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for part in {p for _, p, _ in queries}:
         own = [(r, v) for r, p, v in queries if p == part]
         parts[part] = (np.array([r for r, _ in own]), _matrix(pa.array([v for _, v in own], pa.binary()), wide))
+    shared = nodes.sparkSession.sparkContext.broadcast(parts)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = np.array(batch.column(1).to_pylist(), object)
-            for name, (ids, q) in parts.items():
+            for name, (ids, q) in shared.value.items():
                 at = np.flatnonzero(part == name)
                 if not len(at):
                     continue
                 rep, copies = batch.column(0).to_numpy()[at], batch.column(3).to_numpy()[at]
-                s = q @ _matrix(batch.column(2).take(pa.array(at)), wide).T >= threshold
-                s &= ids[:, None] != rep[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s @ copies)], names=["node", "n"])
+                m = _matrix(batch.column(2).take(pa.array(at)), wide)
+                for begin in range(0, len(ids), 1000):
+                    own = ids[begin : begin + 1000]
+                    s = (q[begin : begin + 1000] @ m.T >= threshold) & (own[:, None] != rep[None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(s @ copies)], names=["node", "n"])
 
-    true = nodes.select("rep", "part", "vec", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("true"))
-    sums = true.join(counted, "node", "left").agg(F.sum("true").alias("true"), F.sum(F.least("n", "true")).alias("found")).first()
-    return 1.0 if not sums["true"] else (sums["found"] or 0) / sums["true"]
+    found = nodes.select("rep", "part", "vec", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found.column("node").to_pylist(), found.column("n").to_pylist(), strict=True))
 
 
 def linked(
@@ -272,11 +310,18 @@ def linked(
             if share < SETTLED:
                 break
         groups = stored(components(edges.toDF("a", "b")), "groups")
-        counted = stored(_counted(nodes, groups, wide, threshold), "counted")
-        if k >= MOST_NEIGHBOURS or audit(nodes, counted, wide, threshold) >= recall:
+        members = nodes.join(groups, F.col("rep") == F.col("node")).select(F.col("component").alias("group"), "rep", "copies", "vec")
+        counted = stored(_compared(stored(members, "members"), wide, threshold).filter("n is not null").groupBy("node").agg(F.sum("n").alias("n")), "counted")
+        if audit(nodes, counted, wide, threshold) >= recall:
+            break
+        if k >= MOST_NEIGHBOURS:
+            # The descent does not find enough: the exact way, all vectors of a label and dimension as one group.
+            found = stored(_compared(nodes.select(F.col("part").alias("group"), "rep", "copies", "vec"), wide, threshold), "exact")
+            counted = stored(found.filter("n is not null").groupBy("node").agg(F.sum("n").alias("n")), "counted")
+            groups = stored(components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))), "groups")
             break
         k = min(MOST_NEIGHBOURS, 2 * k)
-        lists = lists.withColumn("fresh", F.lit(True))
+        lists = stored(lists.withColumn("fresh", F.lit(True)), "lists")
     of_node = nodes.join(counted, F.col("rep") == F.col("node"), "left").drop("node").join(groups, F.col("rep") == F.col("node"), "left")
     of_node = stored(of_node.select("part", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "of-node")
     of_id = base.join(of_node, ["part", "vec"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
