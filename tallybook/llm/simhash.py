@@ -10,6 +10,9 @@ Who is compared with whom: pairs that share a bucket. For few bits of radius the
 disjoint bit fields, so that no pair within the radius is lost (pigeonhole); more rows take finer choices.
 For a wide radius they are random bit sets, as many as a stated recall needs. Equal fingerprints are one node. Large buckets are
 cut into tiles and compared tile against tile, so no task holds a bucket.
+
+Where texts and not fingerprints decide, a wide radius only proposes pairs, the nearest first, and the texts'
+shingle sets are compared before a pair counts as a link.
 """
 
 from __future__ import annotations
@@ -72,10 +75,11 @@ def majority(hashes: np.ndarray, n_words: int) -> np.ndarray:
     return np.packbits((2 * votes > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def fingerprints(documents: DataFrame, shingle: int = 4, n_words: int = 1, distinct: bool = False, id_column: str = "doc_id", text_column: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+def fingerprints(documents: DataFrame, shingle: int = 4, n_words: int = 1, distinct: bool = False, id_column: str = "doc_id", text_column: str = "text", carried: Sequence[str] = (), with_sets: bool = False) -> DataFrame:
     """(id, f0, f1, ...): each document's fingerprint as longs, bit for bit. Null and empty texts: zero.
 
-    With ``distinct`` repeated shingles vote once. ``carried``: columns of longs that come along, last.
+    With ``distinct`` repeated shingles vote once. ``carried``: columns of longs that come along. ``with_sets``:
+    a last column ``shingles``, the distinct 32-bit hashes of the text's shingles in ascending order.
     """
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"), *carried)
@@ -83,15 +87,20 @@ def fingerprints(documents: DataFrame, shingle: int = 4, n_words: int = 1, disti
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.empty((batch.num_rows, n_words), np.uint64)
+            out, sets = np.empty((batch.num_rows, n_words), np.uint64), []
             for k, text in enumerate(batch.column(1)):
                 hashes = shingle_hashes(words_of(text.as_py()), shingle)
-                out[k] = majority(np.unique(hashes) if distinct else hashes, n_words)
+                if distinct:
+                    hashes = np.unique(hashes)
+                out[k] = majority(hashes, n_words)
+                if with_sets:
+                    sets.append(np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes())
             columns = [pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(n_words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=names)
+            last = [pa.array(sets, pa.binary())] if with_sets else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:], *last], names=[*names, "shingles"] if with_sets else names)
 
     names = ["id", *(f"f{k}" for k in range(n_words)), *carried]
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names) + (", shingles binary" if with_sets else ""))
 
 
 def exact_masks(radius: int, n_rows: int) -> list[list[int]]:
@@ -133,10 +142,12 @@ def _bucket_keys(masks: list[list[int]]) -> Column:
     return F.explode(F.array(*keys)).alias("bucket")
 
 
-def near_edges(nodes: DataFrame, radius: int, masks: list[list[int]], n_words: int = 1) -> DataFrame:
-    """(a, b): links between ``nodes`` (rep, f0, ...) that span, in each tile, the same groups as all pairs within the radius.
+def near_edges(nodes: DataFrame, levels: Sequence[int], masks: list[list[int]], n_words: int = 1) -> DataFrame:
+    """(a, b, level): links between ``nodes`` (rep, f0, ...) that span, in each tile, the same groups as all pairs within the radius.
 
-    A tile's links come as a forest, at most one row for each member, however many pairs there are.
+    ``levels``: ascending distances, the last one the radius. A tile's links come as a forest, at most one
+    row for each member, however many pairs there are; each is a pair within its level, and pairs of a lower
+    level are taken first.
     """
     words = [f"f{k}" for k in range(n_words)]
     rows = nodes.select("rep", *words, _bucket_keys(masks))
@@ -158,14 +169,14 @@ def near_edges(nodes: DataFrame, radius: int, masks: list[list[int]], n_words: i
         for table in whole_groups(batches, "unit", 16_384):
             prints = np.stack([table.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
             rep = table.column("rep").to_numpy()
-            a, b = forest(table.column("unit").to_numpy(), table.column("side").to_numpy(), prints, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
+            a, b, level = forest(table.column("unit").to_numpy(), table.column("side").to_numpy(), prints, levels)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(level, pa.int32())], names=["a", "b", "level"])
 
-    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long, level int")
 
 
-def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (a, b) of a spanning forest of the links within the radius; rows are sorted by unit and side.
+def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, levels: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers (a, b) and levels of a spanning forest of the links within the last level; rows are sorted by unit and side.
 
     Side 2: all of the unit are compared; sides 0 and 1: those of 0 with those of 1.
     """
@@ -177,7 +188,7 @@ def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int)
     within = side[starts] == 2
     label = np.arange(len(unit))
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     t_begin, q_end = np.where(within, starts, starts + ones), np.where(within, ends, starts + ones)
     n_words = -(-(ends - t_begin) // 64)
     first_word = np.r_[0, np.cumsum(n_words)]
@@ -195,21 +206,25 @@ def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int)
     n_queries = q_end - starts
     per = n_queries * n_words
     total = np.r_[0, np.cumsum(per)]
-    for begin in range(0, int(total[-1]), 1 << 17):
-        k = np.arange(begin, min(int(total[-1]), begin + (1 << 17)))
-        u = np.searchsorted(total, k, "right") - 1
-        within_unit = k - total[u]
-        q, w = starts[u] + within_unit // n_words[u], first_word[u] + within_unit % n_words[u]
-        later = ~within[u] | (row_of[64 * w] >= 0) & (t_begin[u] + 64 * (w - first_word[u]) + 63 > q)
-        q, w = q[later], w[later]
-        q, w, hits = near_lanes(prints, planes, valid, q, w, radius)
-        if not len(q):
-            continue
-        lanes = np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at, bit = np.nonzero(lanes)
-        _join(label, q[at], row_of[64 * w[at] + bit])
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    return moved, label[moved]
+    found: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for radius in levels:
+        for begin in range(0, int(total[-1]), 1 << 16):
+            k = np.arange(begin, min(int(total[-1]), begin + (1 << 16)))
+            u = np.searchsorted(total, k, "right") - 1
+            within_unit = k - total[u]
+            q, w = starts[u] + within_unit // n_words[u], first_word[u] + within_unit % n_words[u]
+            later = ~within[u] | (row_of[64 * w] >= 0) & (t_begin[u] + 64 * (w - first_word[u]) + 63 > q)
+            q, w = q[later], w[later]
+            q, w, hits = near_lanes(prints, planes, valid, q, w, radius)
+            if not len(q):
+                continue
+            lanes = np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            at, bit = np.nonzero(lanes)
+            found.append((*_hook(label, q[at], row_of[64 * w[at] + bit]), radius))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+    return a, b, np.repeat([f[2] for f in found], [len(f[0]) for f in found])
 
 
 def _planes(prints: np.ndarray) -> np.ndarray:
@@ -270,13 +285,23 @@ def _over(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the groups of linked rows; a group's label is its smallest row."""
+    _hook(label, a, b)
+
+
+def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the groups of linked rows; those of the links (a, b) that did it, a forest."""
+    kept_a, kept_b = [a[:0]], [b[:0]]
     while True:
         la, lb = label[a], label[b]
         apart = la != lb
         if not apart.any():
-            return
+            return np.concatenate(kept_a), np.concatenate(kept_b)
         a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        # Each group with a smaller one beside it joins the first such: labels only fall, so no circle closes.
+        high, first = np.unique(np.maximum(la, lb), return_index=True)
+        label[high] = np.minimum(la, lb)[first]
+        kept_a.append(a[first])
+        kept_b.append(b[first])
         while True:
             up = label[label]
             if np.array_equal(up, label):
@@ -310,7 +335,7 @@ def near_duplicates(
     n_nodes = nodes.count()
     masks = sampled_masks(n_words, radius / (64 * n_words), miss, n_nodes) if miss else exact_masks(radius, n_nodes)
     own = prints.join(nodes.withColumnRenamed("rep", "b"), words).select(F.col("id").alias("a"), "b") if prints.groupBy("id").count().filter("count > 1").limit(1).count() else None
-    edges = near_edges(known, radius, masks, n_words)
+    edges = near_edges(known, [radius], masks, n_words).select("a", "b")
     if own is not None:
         # Rows that share an id join the groups of their fingerprints.
         edges = edges.union(own)
@@ -323,35 +348,71 @@ def hex_fingerprint(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-#: For whole shingle sets: five words, and 44 of 256 bits, the distance of texts that share about three quarters of their shingles.
-WIDE = {"shingle": 5, "n_words": 4, "radius": 44, "miss": 0.05, "distinct": True}
+#: For whole shingle sets of five words: texts that share 0.8 of their shingles differ in about 39 of 256 bits, give or
+#: take 6. Pairs of 56 bits or less are proposed; of those of 44 bits 1 in 50 shares no bucket.
+SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
+LEVELS, BUCKET_DISTANCE, MISS = (32, 44, 50, 56), 44, 0.02
 
 
-def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **found_by) -> DataFrame:
-    """The documents, all columns, without all but one row of each group of linked texts.
+def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): those of the pairs (a, b) whose sets (rep, shingles) have a Jaccard similarity of ``least`` or more; two empty sets are equal."""
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                small, large = min(len(x), len(y)), max(len(x), len(y))
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if small >= least * large else 0
+                good.append(shared >= least * (small + large - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    Texts are linked, not ids: of a group the row of the smallest id stays, null ids last, and of rows with
-    that id the one of the smallest hash of its text. So rows that share an id, or have none, all stay where
-    their texts are not linked.
+    return both.mapInArrow(run, "a long, b long")
 
-    ``found_by``: parameters of ``near_duplicates``, by default a similarity of about 0.8 on five-word
-    shingles.
+
+def verified_links(proposed: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): links that span the same groups as all proposed pairs (a, b, level) that are similar.
+
+    Each node's nearest proposal is compared first; of the others only those whose ends the links so far
+    leave apart.
+    """
+    ends = proposed.select(F.col("a").alias("node"), "level", "a", "b").union(proposed.select(F.col("b"), "level", "a", "b"))
+    nearest = ends.groupBy("node").agg(F.min(F.struct("level", "a", "b")).alias("n")).select("n.a", "n.b").distinct()
+    first = stored(similar(nearest, sets, least), "links")
+    groups = stored(components(first), "groups")
+    group_of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
+    apart = proposed.select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti").join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
+    apart = apart.filter(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
+    return first.union(similar(apart, sets, least))
+
+
+def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """The documents, all columns, without all but one row of each group of linked texts.
+
+    Texts are linked where their sets of ``shingle`` words have a Jaccard similarity of ``least`` or more;
+    those with equal fingerprints of 256 bits count as equal. Texts are linked, not ids: of a group the row
+    of the smallest id stays, null ids last, and of rows with that id the one of the smallest hash of its
+    text. So rows that share an id, or have none, all stay where their texts are not linked. Null and empty
+    texts are equal to each other.
     """
     keys = ["_id", "_text1", "_text2"]
-    by = {"shingle": 4, "n_words": 1, "radius": 4, "miss": 0.0, "distinct": False} | (found_by or WIDE)
-    words = [f"f{k}" for k in range(by["n_words"])]
+    words = [f"f{k}" for k in range(WORDS)]
     keyed = documents.select("*", F.col(id_column).cast("long").alias("_id"), F.xxhash64(text_column).alias("_text1"), F.xxhash64(F.lit(1), text_column).alias("_text2"))
-    prints = stored(fingerprints(keyed, by["shingle"], by["n_words"], by["distinct"], "_id", text_column, keys[1:]).withColumnRenamed("id", "_id"), "prints")
+    prints = stored(fingerprints(keyed, shingle, WORDS, True, "_id", text_column, keys[1:], with_sets=True).withColumnRenamed("id", "_id"), "prints")
     order = F.struct(F.col("_id").isNull().alias("no_id"), *keys)
     nodes = stored(prints.groupBy(*words).agg(F.min(order).alias("first")).withColumn("rep", F.monotonically_increasing_id()), "nodes")
-    n_nodes = nodes.count()
-    masks = sampled_masks(by["n_words"], by["radius"] / (64 * by["n_words"]), by["miss"], n_nodes) if by["miss"] else exact_masks(by["radius"], n_nodes)
-    groups = stored(components(near_edges(nodes, by["radius"], masks, by["n_words"])).withColumnRenamed("node", "rep"), "groups")
+    proposed = stored(near_edges(nodes, LEVELS, sampled_masks(WORDS, BUCKET_DISTANCE / (64 * WORDS), MISS, nodes.count()), WORDS), "proposed")
+    asked = proposed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = stored(prints.select(*words, "shingles").join(nodes.join(asked, "rep", "left_semi").select(*words, "rep"), words).dropDuplicates(words).select("rep", "shingles"), "sets")
+    groups = stored(components(verified_links(proposed, sets, least)).withColumnRenamed("node", "rep"), "groups")
     firsts = nodes.join(groups, "rep").groupBy("component").agg(F.min("first").alias("group_first"))
     moved = groups.join(firsts, "component").select("rep", "group_first")
     mapped = stored(nodes.join(moved, "rep", "left").select(*words, F.coalesce("group_first", "first").alias("first")), "firsts")
-    gone = prints.join(mapped, words).filter(order != F.col("first")).select(*(F.col(c).alias(f"{c}_gone") for c in keys)).distinct()
+    own = prints.select(*words, *keys)
+    gone = own.join(mapped, words).filter(order != F.col("first")).select(*(F.col(c).alias(f"{c}_gone") for c in keys)).distinct()
     kept = keyed.join(gone, [F.col(c).eqNullSafe(F.col(f"{c}_gone")) for c in keys], "left_anti")
-    if prints.groupBy(*keys).count().filter("count > 1").limit(1).count():
+    if own.groupBy(*keys).count().filter("count > 1").limit(1).count():
         kept = kept.dropDuplicates(keys)
     return kept.select(*(F.col(c) for c in documents.columns))

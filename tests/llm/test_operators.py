@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
+import time
 import zlib
 from fractions import Fraction
 
@@ -114,7 +116,9 @@ def test_bit_planes_find_all_pairs():
     for side in (np.full(len(prints), 2), (np.arange(len(prints)) % 2).astype(int)):
         order = np.argsort(side, kind="stable")
         p, s = prints[order], side[order]
-        a, b = simhash.forest(np.zeros(len(p), np.int64), s, p, 44)
+        a, b, level = simhash.forest(np.zeros(len(p), np.int64), s, p, (20, 44))
+        distance = np.bitwise_count(p[a] ^ p[b]).sum(axis=1)
+        assert (distance <= level).all() and set(level) == {20, 44}
         near = np.bitwise_count(p[:, None] ^ p[None]).sum(axis=2) <= 44
         if s[0] != 2:
             near &= s[:, None] != s[None]
@@ -169,6 +173,27 @@ def test_first_of_each_group_decides_by_row(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, want))
 
 
+def test_first_of_each_group_against_brute_force(spark):
+    """Copies with one word in so many changed: whose shingle sets are similar goes, and no other."""
+    draw = random.Random(12)
+    texts = []
+    for k in range(60):
+        base = words(200, 4000 + k).split()
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 5, 6, 8, 12):
+            w = base[:]
+            for at in draw.sample(range(200), changes):
+                w[at] = f"w{draw.randrange(10**6)}"
+            texts.append(" ".join(w))
+    kept = {r["doc_id"] for r in rows(simhash.first_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    sets = [brute_shingles(t) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a + 1, min(len(texts), a + 9)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = np.arange(len(texts))
+    simhash._join(label, *(np.array(x) for x in zip(*near, strict=True)))
+    firsts = set(np.flatnonzero(label == np.arange(len(label))).tolist())
+    assert firsts <= kept and len(kept - firsts) <= 0.02 * (len(texts) - len(firsts))
+
+
 def odd_as_dict(odd):
     return dict.fromkeys(odd.columns)
 
@@ -207,6 +232,36 @@ def test_factorization_machine_learns_pairs():
     assert ((z > 0) == (y > 0)).mean() > 0.98
 
 
+def test_toxicity_of_pairs_alone(spark):
+    """No term tells anything alone: a text is toxic if it has one of two words but not both."""
+    draw = random.Random(9)
+    texts = []
+    for k in range(1600):
+        w = words(30, 5000 + k).split()
+        first, second = bool(k & 1), bool(k & 2)
+        for there, word in ((first, "quipped"), (second, "grollian")):
+            if there:
+                w.insert(draw.randrange(30), word)
+        texts.append((k, " ".join(w), int(first != second)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame, frame.filter("doc_id % 3 <> 1").select("doc_id", "toxic"))
+    got = {r["id"]: r["score"] for r in rows(toxicity.scored(frame, model))}
+    assert sum((got[k] >= 0.5) == y for k, _, y in texts if k % 3 == 1) / sum(k % 3 == 1 for k, _, _ in texts) > 0.9
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    draw = np.random.default_rng(2)
+    texts = [words(50, k) for k in range(20)] + ["", None]
+    cells = np.unique(np.concatenate([toxicity.terms(t.encode()) for t in texts[:10]]))[::2]
+    model = toxicity.Model(cells, -0.3, draw.standard_normal(len(cells)) * 0.2, draw.standard_normal((len(cells), toxicity.RANK)) * 0.2)
+    got = {r["id"]: r for r in rows(toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model))}
+    place = {c: k for k, c in enumerate(cells.tolist())}
+    for k, t in enumerate(texts):
+        own = [place[c] for c in toxicity.terms((t or "").encode()).tolist() if c in place]
+        z = model.bias + sum(model.weight[a] for a in own) + sum(float(model.factor[a] @ model.factor[b]) for i, a in enumerate(own) for b in own[:i])
+        assert abs(got[k]["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and got[k]["predicted"] == (got[k]["score"] >= 0.7)
+
+
 # 3 Substrings
 
 
@@ -230,7 +285,7 @@ def test_spans_against_brute_force(spark):
                     gone[d].update(range(f, l + 1))
     for d, p in enumerate(parts):
         left = b"".join(texts[d].encode()[b:e] for k, (b, e, _) in enumerate(p) if k not in gone[d])
-        assert got[d]["text"].encode() == left and got[d]["n_removed"] == len(gone[d])
+        assert got[d]["text"].encode() == left and got[d]["n_removed"] == len(gone[d]) and got[d]["n_sentences"] == len(p)
     assert {d for d in gone if gone[d]} == {9, 15}
     assert passage[60:200] not in got[9]["text"] and passage in got[3]["text"]
 
@@ -338,6 +393,46 @@ def test_unclosed_hidden_elements_end(page_model, around):
     assert html_text.main_text(page_model, around.format(text)) == shown.replace("article. The", "article.\nThe").replace("line The", "line\nThe")
 
 
+@pytest.mark.parametrize("hostile", ["<div>{n}</foo>", "<foo>{n}</bar>", "<p><li>{n}<h1>", "<svg>{n}<g></x>", "<button>{n}<div></x>"])
+def test_hostile_pages_take_linear_time(hostile):
+    first, second = hostile.split("{n}")
+    begin = time.process_time()
+    html_text.parse(first * 60_000 + second * 60_000 + "text")
+    assert time.process_time() - begin < 10
+
+
+# Pages of other layouts than the model was fitted on, with their articles.
+_STRANGE = [
+    (
+        "<html><body><div class=top-bar><a href=/>Daily</a> <a href=/w>World</a> <a href=/s>Sport</a></div><center><h1>Rain comes late</h1><p>Farmers in the valley waited six weeks for rain that came on Monday night.<p>By morning the river had risen by a metre and the bridge was closed.</center><hr><small><a href=/a>About</a> | <a href=/c>Contact</a> | <a href=/p>Privacy</a></small></body></html>",
+        ["Rain comes late", "Farmers in the valley waited six weeks for rain that came on Monday night.", "By morning the river had risen by a metre and the bridge was closed."],
+    ),
+    (
+        "<body><table width=100%><tr><td class=leftnav><ul><li><a href=1>Home</a><li><a href=2>Archive</a><li><a href=3>Links</a></ul><td><h2>Notes on a mill</h2><p>The mill was built in 1790 and ground corn for three villages around it.</p><blockquote>It never stood still, not even on Sundays, said the last miller.</blockquote><p>Its wheel can be seen in the museum.</p></table><p class=copyright>(c) 1999 all rights reserved</p>",
+        ["Notes on a mill", "The mill was built in 1790 and ground corn for three villages around it.", "It never stood still, not even on Sundays, said the last miller.", "Its wheel can be seen in the museum."],
+    ),
+    (
+        "<div id=root><header class='Site__header'><span>Menu</span></header><div class='Layout'><div class='Layout__main'><div class='RichText'><h1>How to prune a pear tree</h1><p>Prune in winter, when the tree is at rest and its form is easy to see.</p><ol><li>Cut out dead wood first.</li><li>Shorten the leaders by a third.</li></ol><p>Burn what is diseased.</p></div></div><aside class='Layout__rail'><h4>Related</h4><a href=/x>Apple trees</a><a href=/y>Plum trees</a></aside></div><div class='CookieBanner'>We store cookies on your device. <button>Accept</button></div></div>",
+        ["How to prune a pear tree", "Prune in winter, when the tree is at rest and its form is easy to see.", "Cut out dead wood first.", "Shorten the leaders by a third.", "Burn what is diseased."],
+    ),
+]
+
+
+def test_pages_of_other_layouts(page_model):
+    right = every = 0
+    for source, article in _STRANGE:
+        for text, marginal in html_text.blocks(page_model, source):
+            right, every = right + ((marginal >= 0.5) == (text in article)), every + 1
+    assert every > 20 and right / every >= 0.85
+
+
+def test_very_long_and_deep_pages(spark, page_model):
+    long_page = "<article>" + "<p>A sentence of the article that goes on for some words.</p>" * 30_000 + "</article>"
+    deep = "<div>" * 20_000 + "<p>One text of the deepest element, of some words.</p>"
+    got = rows(html_text.extracted(spark.createDataFrame([(1, "u", long_page), (2, "u", deep)], "page_id long, url string, html string"), page_model))
+    assert {r["page_id"]: r["text"].count("\n") for r in got} == {1: 29_999, 2: 0}
+
+
 def test_hidden_elements_stay_hidden():
     shown = [t for t in html_text.parse("<head>\n<title>x</title></head><div><button><div>no</div> no</button>yes<svg><foreignObject><p>no</p></foreignObject><text>no</text></svg></div>").text if t]
     assert shown == ["yes"]
@@ -386,6 +481,26 @@ def test_embeddings(spark):
     assert rows(vectors.linked(frame.limit(0))) == []
 
 
+def test_embeddings_fall_back_to_the_exact_way(spark, monkeypatch):
+    """A descent that finds nothing, null and repeated ids: the audit notices, and all links are found."""
+    monkeypatch.setattr(vectors, "WIDE_TILE", 40)
+    monkeypatch.setattr(vectors, "_first_lists", lambda nodes, *_: nodes.limit(0).select(F.col("rep").alias("node"), F.col("rep").alias("nbr"), F.lit(0.0).alias("sim"), F.lit(True).alias("link")))
+    draw = np.random.default_rng(8)
+    data = [(c + 0.1 * draw.standard_normal(8)).astype(np.float32).tolist() for c in draw.standard_normal((12, 8)) * 2 for _ in range(10)]
+    ids = [*range(len(data) - 2), None, 5]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in zip(ids, data, strict=True)], "vec_id long, embedding array<float>, label int")
+    got = rows(vectors.linked(frame))
+    near = brute_links(data, [None if i is None else 1 for i in ids])
+    assert len(got) == len(data) and [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, False)]
+    by = {r["vec_id"]: r for r in got}
+    label = np.arange(len(data))
+    near[5, -1] = near[-1, 5] = True  # one id, one component
+    simhash._join(label, *np.nonzero(near))
+    want = near.sum(axis=1)
+    assert all(by[k]["n_links"] == want[k] for k in range(len(data) - 2) if k != 5)
+    assert [by[k]["component_id"] for k in range(len(data) - 2)] == label[:-2].tolist()
+
+
 # 6 Mixing
 
 
@@ -467,6 +582,7 @@ def test_languages(spark, odd, empty):
     got = {r["id"]: r for r in rows(languages.identified(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model))}
     assert [got[i]["lang_pred"] for i, _, _ in asked] == [lang for _, _, lang in asked]
     assert 0.6 < got[1001]["score"] < 0.9 and set(got[1001]["mixture"]) == {"xa", "xb"}
+    assert got[1000]["score"] > 0.9
     assert got[1003]["score"] == 0.0
     assert len(rows(languages.identified(odd, model))) == 13 and rows(languages.identified(empty, model)) == []
     nothing = languages.train(empty)
@@ -474,6 +590,48 @@ def test_languages(spark, odd, empty):
     assert languages.accepted(odd, model).columns == odd.columns
 
 
+def test_language_mixtures_by_brute_force():
+    """Proportions and the chosen set against plain loops over all sets, for texts of one to four languages and noise."""
+    draw = np.random.default_rng(6)
+    likelihood = draw.dirichlet(np.full(1 << languages.TABLE_BITS, 0.002), 5).T + 1e-9
+    model = languages.Model(list("abcde"), (likelihood / likelihood.sum(axis=0)).astype(np.float32))
+    pieces = [" ".join("".join(draw.choice(list("abcdefghijklmnop"), 5)) for _ in range(40)) for _ in range(5)]
+    for k, p in enumerate(pieces):  # each language knows the grams of its piece
+        cells, n = languages.grams(p.encode())
+        model.likelihood[cells, k] += n / n.sum()
+    model = languages.Model(model.languages, model.likelihood / model.likelihood.sum(axis=0))
+    for own in ((0,), (1, 3), (0, 2, 4), (0, 1, 2, 3), ()):
+        text = " ".join([*(pieces[k] for k in own), " ".join("".join(draw.choice(list("qrstuvwxyz"), 6)) for _ in range(12))]).encode()
+        cells, n = languages.grams(text)
+        rows_ = [[*model.likelihood[c].tolist(), 1 / (1 << languages.TABLE_BITS)] for c in cells]
+        best = None
+        for chosen in (c for size in range(1, 6) for c in itertools.combinations(range(5), size)):
+            share = [1 / (len(chosen) + 1)] * (len(chosen) + 1)
+            for _ in range(60):
+                sums = [0.0] * len(share)
+                for row, m in zip(rows_, n, strict=True):
+                    parts = [s * row[c] for s, c in zip(share, (*chosen, 5), strict=True)]
+                    whole = sum(parts)
+                    for j, x in enumerate(parts):
+                        sums[j] += m * x / whole
+                share = [x / n.sum() for x in sums]
+            fit = sum(m * math.log(sum(s * row[c] for s, c in zip(share, (*chosen, 5), strict=True))) for row, m in zip(rows_, n, strict=True))
+            value = fit - languages.PENALTY * len(chosen) * math.log(1 + n.sum())
+            if best is None or value > best[0]:
+                best = (value, chosen, share)
+        lang, score, found = languages.infer(model, text)
+        assert set(found) == {model.languages[c] for c in best[1]} or not own
+        assert own == () or all(abs(found[model.languages[c]] - s) < 0.01 for c, s in zip(best[1], best[2], strict=False))
+        assert score < 0.2 if not own else abs(score - max(best[2][:-1])) < 0.01
+
+
+@pytest.mark.parametrize("text", ["", " ", "12 34 !", "\u00bd \u00b2 \u2460 \u2167", "\u0301", "_-_"])
+def test_texts_without_letters(text):
+    model = languages.Model(["a"], np.full((1 << languages.TABLE_BITS, 1), 1 / (1 << languages.TABLE_BITS), np.float32))
+    assert languages.infer(model, text.encode()) == ("und", 0.0, {})
+    assert not len(toxicity.terms(text.encode()))
+
+
 # 8 WARC
 
 
@@ -486,12 +644,18 @@ def test_warc_round_trip(spark, tmp_path):
     got = sorted(rows(warc.read_back(archive)), key=lambda r: (r["page_id"] is None, r["page_id"] or 0))
     assert [(r["page_id"], r["record_type"], r["refers_to"]) for r in got] == [(1, "response", None), (1, "response", None), (2, "response", None), (3, "revisit", 1), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (None, "revisit", 1)]
     assert all(r["payload_digest"] == hashlib.sha256(next((h or "") for i, _, h in data if i == r["page_id"]).encode()).hexdigest() for r in got)
-    records = rows(warc.records(archive))
-    assert sorted((r["page_id"] or 0, bytes(r["payload"]).decode()) for r in records) == sorted((i or 0, h or "") for i, _, h in data)
-    warc.export(archive, str(tmp_path / "w"), "none")
-    read = rows(warc.scan(spark, str(tmp_path / "w" / "*.txt")))
-    assert len(read) == len(data)
-    assert all(hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] for r in read if r["record_type"] == "response")
+    assert sorted(bytes(r["payload"]).decode() for r in rows(warc.records(archive))) == sorted(h or "" for _, _, h in data)
+    for compression, ending in (("none", "*.txt"), ("gzip", "*.gz")):
+        warc.export(archive, str(tmp_path / compression), compression, 2)
+        read = rows(warc.scan(spark, str(tmp_path / compression / ending)))
+        assert len(read) == len(data)
+        assert all(hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] for r in read if r["record_type"] == "response")
+        assert {r["refers_to"] for r in read if r["record_type"] == "revisit"} == {r["record_id"] for r in read if r["record_id"].startswith("<urn:page:1:")}
+    broken = warc.Archive(archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"x"))), archive.headers)
+    with pytest.raises(Exception, match="not as its header says"):
+        rows(warc.read_back(broken))
+    very_long = spark.createDataFrame([(k, "u", "<p>" + "long " * 400_000 + "</p>") for k in (2, 1)], "page_id long, url string, html string")
+    assert [(r["record_type"], r["payload_bytes"], r["refers_to"]) for r in sorted(rows(warc.read_back(warc.write(very_long))), key=lambda r: r["page_id"])] == [("response", 2_000_007, None), ("revisit", 2_000_007, 1)]
     assert rows(warc.read_back(warc.write(frame.limit(0)))) == []
 
 
