@@ -8,6 +8,7 @@ the score, so what no language explains lowers it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +50,11 @@ class Model:
     languages: list[str]
     likelihood: np.ndarray  # (cells, languages), float32
 
+    @functools.cached_property
+    def with_noise(self) -> np.ndarray:
+        """A last column for noise."""
+        return np.c_[self.likelihood, np.full(1 << TABLE_BITS, 1 / (1 << TABLE_BITS), np.float32)]
+
 
 def train(documents: DataFrame, lang_column: str = "lang", text_column: str = "text", id_column: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Learn each language's n-gram distribution from ``documents``; rows without a language say nothing.
@@ -89,7 +95,7 @@ def train(documents: DataFrame, lang_column: str = "lang", text_column: str = "t
 def mixture(likelihood: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions of the columns by expectation-maximisation, and the log likelihood."""
     k = likelihood.shape[1]
-    share, total = np.full(k, 1 / k), n.sum()
+    share, total = np.full(k, 1 / k, np.float32), n.sum()
     for _ in range(STEPS):
         old, share = share, share * (likelihood.T @ (n / (likelihood @ share))) / total
         if np.abs(share - old).max() < SETTLED:
@@ -107,8 +113,8 @@ def infer(model: Model, text: bytes) -> tuple[str, float, dict[str, float]]:
     cells, n = grams(text)
     if not len(cells) or not model.languages:
         return UNKNOWN, 0.0, {}
-    n = n.astype(np.float64)
-    likelihood = np.c_[model.likelihood[cells], np.full(len(cells), 1 / (1 << TABLE_BITS))]
+    n = n.astype(np.float32)
+    likelihood = model.with_noise[cells]
     share, most = mixture(likelihood, n)
     order = np.argsort(-share[:-1], kind="stable")
     price = PENALTY * np.log(1 + n.sum())
