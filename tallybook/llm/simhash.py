@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, tidied, utf8, whole_groups
+from .common import bounded_batches, forget, stored, tidied, utf8, whole_groups
 from .components import components
 
 SEED = 42
@@ -411,8 +411,11 @@ def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_co
     moved = groups.join(firsts, "component").select("rep", "group_first")
     mapped = stored(nodes.join(moved, "rep", "left").select(*words, F.coalesce("group_first", "first").alias("first")), "firsts")
     own = prints.select(*words, *keys)
-    gone = own.join(mapped, words).filter(order != F.col("first")).select(*(F.col(c).alias(f"{c}_gone") for c in keys)).distinct()
+    gone = stored(own.join(mapped, words).filter(order != F.col("first")).select(*(F.col(c).alias(f"{c}_gone") for c in keys)).distinct(), "gone")
+    repeated = own.groupBy(*keys).count().filter("count > 1").limit(1).count()
+    for table in (prints, nodes, proposed, sets, groups, mapped):
+        forget(table)
     kept = keyed.join(gone, [F.col(c).eqNullSafe(F.col(f"{c}_gone")) for c in keys], "left_anti")
-    if own.groupBy(*keys).count().filter("count > 1").limit(1).count():
+    if repeated:
         kept = kept.dropDuplicates(keys)
     return kept.select(*(F.col(c) for c in documents.columns))

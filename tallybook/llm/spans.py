@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, tidied, utf8
+from .common import bounded_batches, forget, stored, tidied, utf8
 from .sketches import _down, _up
 
 #: A run is the shortest stretch from its first piece on that has so many pieces and so many words.
@@ -92,7 +92,7 @@ def _row_key(documents: DataFrame, id_column: str, text_column: str) -> Column:
 
 
 def spans(documents: DataFrame, row_key: Column, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
-    """(h1, h2, id, row, place): every run of every document; place is its first piece's number x 2**32 + its last's.
+    """(h1 long, h2 int, id, row, place): every run of every document; place is its first piece's number x 2**32 + its last's.
 
     Each document has one more row, without a hash, whose place is its number of pieces.
     """
@@ -106,28 +106,29 @@ def spans(documents: DataFrame, row_key: Column, id_column: str = "doc_id", text
                 continue
             found = [runs(p, least_sentences, least_words) for p in parts]
             rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f, _, _ in found]))
-            hashes = np.concatenate([h for _, _, h in found]).view(np.int64)
+            hashes = np.concatenate([h for _, _, h in found])
             places = np.concatenate([(f << 32) + l for f, l, _ in found])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places)], names=names)
-            none = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, batch.column(0), batch.column(1), pa.array([len(p) for p in parts], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0].view(np.int64)), pa.array((hashes[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int32()), batch.column(0), batch.column(1), pa.array([len(p) for p in parts], pa.int64())], names=names)
 
     names = ["h1", "h2", "id", "row", "place"]
-    return documents.select(F.col(id_column).cast("long").alias("id"), row_key.alias("row"), utf8(text_column).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return documents.select(F.col(id_column).cast("long").alias("id"), row_key.alias("row"), utf8(text_column).alias("text")).mapInArrow(run, "h1 long, h2 int, id long, row long, place long")
 
 
 def repeats(every: DataFrame) -> DataFrame:
     """(id, row, place): the runs of ``spans`` that occurred before, in the order of ids, then of row keys and places.
 
-    First only the hashes are counted, with map-side sums; the places of those met once are never shuffled
-    with an origin. A hash of many copies sends a row from each task to the minimum, and adaptive execution
-    may split it in the joins. Hashes have 128 bits, so that no two runs of any corpus share one by chance.
+    First only half the hashes are counted, with map-side sums; the places of those met once are never
+    shuffled with an origin. A hash of many copies sends a row from each task to the minimum, and adaptive
+    execution may split it in the joins. Hashes have 96 bits together, so that no two runs share one by chance.
     """
     hashed = every.filter("h1 is not null")
-    often = stored(hashed.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "often")
-    met = stored(hashed.join(often, ["h1", "h2"], "left_semi"), "met")
-    origin = stored(met.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "place")).alias("origin")), "origins")
-    return met.join(origin, ["h1", "h2"]).filter(~F.struct("id", "row", "place").eqNullSafe(F.col("origin"))).select("id", "row", "place")
+    often = hashed.groupBy("h1").count().filter("count > 1").select("h1")
+    met = stored(hashed.join(often, "h1", "left_semi"), "met")
+    origin = met.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "place")).alias("origin"))
+    again = stored(met.join(origin, ["h1", "h2"]).filter(~F.struct("id", "row", "place").eqNullSafe(F.col("origin"))).select("id", "row", "place"), "again")
+    forget(met)
+    return again
 
 
 def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_sentences: int = RUN_SENTENCES, least_words: int = RUN_WORDS) -> DataFrame:
@@ -147,9 +148,12 @@ def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column
     # Texts are taken apart once; both passes over the runs read the table.
     every = stored(spans(documents, row_key, id_column, text_column, least_sentences, least_words), "runs")
     none = F.lit(None).cast("long")
-    marks = repeats(every).select("id", "row", F.col("place").alias("mark"), none.alias("n"))
+    again = repeats(every)
+    marks = again.select("id", "row", F.col("place").alias("mark"), none.alias("n"))
     counts = every.filter("h1 is null").select("id", "row", none.alias("mark"), F.col("place").alias("n"))
-    by_document = marks.union(counts).groupBy("id", "row").agg(F.collect_set("mark").alias("_marks"), F.max("n").alias("_n")).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_marks", "_n")
+    by_document = stored(marks.union(counts).groupBy("id", "row").agg(F.collect_set("mark").alias("_marks"), F.max("n").alias("_n")).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_marks", "_n"), "marks")
+    forget(every)
+    forget(again)
     keyed = documents.withColumn("_key", row_key)
     joined = keyed.join(by_document, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_row")), "left")
 
