@@ -18,6 +18,21 @@ def gtin_valid(code: Column, lengths: tuple[int, ...] = (8, 12, 13, 14)) -> Colu
     return code.rlike("^[0-9]+$") & F.length(code).isin(*lengths) & F.coalesce(total % 10 == 0, F.lit(False))
 
 
+def ean8_valid(code: Column) -> Column:
+    return gtin_valid(code, (8,))
+
+
+def ean_checksum_ok(s: Column) -> Column:
+    """Whether a text's digits are an EAN of 8, 13 or 14 digits with a right check digit."""
+    return gtin_valid(digits_only(s), (8, 13, 14))
+
+
+def upc_as_ean13(s: Column) -> Column:
+    """A UPC-A's twelve digits with a zero before, where its check digit is right; null else."""
+    d = digits_only(s)
+    return F.when(gtin_valid(d, (12,)), F.concat(F.lit("0"), d))
+
+
 def check_digit(body: Column) -> Column:
     """The check digit of a code without it."""
     figures = F.transform(F.split(F.reverse(body), ""), lambda c: c.try_cast("int"))

@@ -42,12 +42,12 @@ def two_tier(items: DataFrame, master: DataFrame, exact: tuple[str, str], loose:
 def prefix_candidates(items: DataFrame, item_key: str, master: DataFrame, master_key: str) -> DataFrame:
     """Item rows joined to the master rows whose key is the item's key and digits after it.
 
-    Both sides meet on the key without its last digits, so only one stem's rows are compared.
+    A master key is sent once for each of its beginnings that only digits follow, so the sides meet on whole
+    keys; no stem that many keys share gathers them.
     """
-    stem = lambda c: F.regexp_replace(c, "[0-9]+$", "")
-    left, right = items.withColumn("_stem", stem(F.col(item_key))), master.withColumn("_stem", stem(F.col(master_key)))
-    rest = F.substr(F.col(master_key), F.length(item_key) + 1)
-    return left.join(right, "_stem").filter(F.col(master_key).startswith(F.col(item_key)) & rest.rlike("^[0-9]*$")).drop("_stem")
+    digits = F.length(F.regexp_extract(F.col(master_key), "([0-9]*)$", 1))
+    begins = F.transform(F.sequence(F.lit(0), digits), lambda n: F.substr(F.col(master_key), F.lit(1), F.length(master_key) - n))
+    return items.join(master.withColumn("_begin", F.explode(begins)), F.col(item_key) == F.col("_begin")).drop("_begin")
 
 
 def match_status(candidates: Column) -> Column:

@@ -78,3 +78,18 @@ def c10(spark: SparkSession, d: str) -> DataFrame:
 def c20(spark: SparkSession, d: str) -> DataFrame:
     sets = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 50).alias("code")).agg(F.bool_or(F.col("l_linestatus") == "F").alias("a"), F.bool_or(F.col("l_linestatus") == "O").alias("b"))
     return sets.filter("a <> b").select("doc", "code", F.when(F.col("a"), "only in a").otherwise("only in b").alias("verdict"))
+
+
+@query("t19_ean8_valid", _CODES + f"SELECT id, length(substring(b, 1, 7) || k) = 8 AND {_valid_sql("(substring(b, 1, 7) || k)")} AS valid FROM g")
+def t19(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, CODES).select("id", codes.ean8_valid(F.concat(F.substring("b", 1, 7), "k")).alias("valid"))
+
+
+@query("t20_upc_as_ean13", _CODES + f"SELECT id, CASE WHEN length(d) = 12 AND {_valid_sql('d')} THEN '0' || d END AS ean FROM g")
+def t20(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, CODES).select("id", codes.upc_as_ean13(F.col("code")).alias("ean"))
+
+
+@query("t27_ean_checksum", _CODES + f"SELECT id, length(d) IN (8, 13, 14) AND {_valid_sql('d')} AS ok FROM g")
+def t27(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, CODES).select("id", codes.ean_checksum_ok(F.col("code")).alias("ok"))

@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import linkage
 from .fixtures import ITEMS_A, ITEMS_B
 from .registry import frame, plain, query, table
+from .text_queries import OVERLAPS, overlaps
 
 
 @query("j01_orders_with_containers", "SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey")
@@ -96,14 +97,10 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return linkage.greedy_pairs(linkage.fuzzy_candidates(left, right, "doc", "ref", 80.0), "doc", "a", "b", "score")
 
 
-@query("j17_best_position", """WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS a FROM benchmark), p AS (SELECT doc_id % 40 AS item_id, doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS b FROM documents WHERE n_chars < 500),
-  s AS (SELECT w.item_id, doc_id, round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 9) AS score FROM w JOIN p ON w.item_id = p.item_id)
-  SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC NULLS LAST, doc_id) AS r FROM s WHERE score >= 0.02) WHERE r = 1""")
+@query("j17_best_position", OVERLAPS + "SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS r FROM o WHERE overlap >= 0.02) WHERE r = 1")
 def j17(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("a"))
-    docs = table(spark, d, "documents").filter("n_chars < 500").select((F.col("doc_id") % 40).alias("item_id"), "doc_id", text.tokens(F.col("text")).alias("b"))
-    scored = docs.join(items, "item_id").select("item_id", "doc_id", F.round(text.jaccard(F.col("a"), F.col("b")), 9).alias("score")).filter("score >= 0.02")
-    return linkage.latest(scored, ["item_id"], [F.desc("score"), F.col("doc_id")]).select("item_id", "doc_id")
+    scored = overlaps(spark, d).filter("overlap >= 0.02")
+    return linkage.latest(scored, ["item_id"], [F.desc("overlap"), F.col("doc_id")]).select("item_id", "doc_id")
 
 
 @query("j21_latest_revision", "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents) WHERE r = 1")
@@ -113,12 +110,12 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j22_suggest_by_text", """WITH t AS (SELECT p_partkey, unnest(list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS w FROM part),
-  q AS (SELECT * FROM t WHERE p_partkey % 200 = 0), c AS (SELECT q.p_partkey AS asked, t.p_partkey AS found, count(*) AS shared FROM q JOIN t ON q.w = t.w AND q.p_partkey <> t.p_partkey GROUP BY 1, 2 HAVING count(*) >= 2)
+  q AS (SELECT * FROM t WHERE p_partkey % 50 = 0), c AS (SELECT q.p_partkey AS asked, t.p_partkey AS found, count(*) AS shared FROM q JOIN t ON q.w = t.w AND q.p_partkey <> t.p_partkey GROUP BY 1, 2 HAVING count(*) >= 2)
   SELECT asked, found, shared FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY shared DESC, found) AS r FROM c) WHERE r <= 10""")
 def j22(spark: SparkSession, d: str) -> DataFrame:
     words = text.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
     every = table(spark, d, "part").select("p_partkey", F.explode(words).alias("w"))
-    asked = every.filter("p_partkey % 200 = 0").select(F.col("p_partkey").alias("asked"), "w")
+    asked = every.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("asked"), "w")
     shared = asked.join(every.select(F.col("p_partkey").alias("found"), "w"), "w").filter("asked <> found").groupBy("asked", "found").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 2")
     return shared.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("shared"), "found"))).filter("r <= 10").drop("r")
 

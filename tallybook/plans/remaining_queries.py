@@ -13,10 +13,10 @@ from .fixtures import CODES, REFS
 from .registry import frame, plain, query, table
 
 
-@query("s04_first_method_only", "SELECT user_id, event_id FROM (SELECT *, min(p) OVER (PARTITION BY user_id) AS best FROM (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS p FROM events WHERE event_id % 7 = 0)) WHERE p = best")
+@query("s04_first_method_only", "SELECT user_id, event_id FROM (SELECT *, min(p) OVER (PARTITION BY user_id) AS best FROM (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS p FROM events)) WHERE p = best")
 def s04(spark: SparkSession, d: str) -> DataFrame:
     p = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
-    e = table(spark, d, "events").filter("event_id % 7 = 0").select("user_id", "event_id", p.alias("p"))
+    e = table(spark, d, "events").select("user_id", "event_id", p.alias("p"))
     best = e.groupBy("user_id").agg(F.min("p").alias("p"))
     return e.join(best, ["user_id", "p"], "left_semi").select("user_id", "event_id")
 
@@ -136,11 +136,11 @@ def t33(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.coalesce(F.try_element_at(names, code), F.lit("")).alias("phrase"))
 
 
-@query("t49_json_in_text", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events WHERE event_id % 10 = 0")
+@query("t49_json_in_text", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events")
 def t49(spark: SparkSession, d: str) -> DataFrame:
     said = F.concat(F.lit("Here it is: "), "props", F.lit(" - done."))
     found = F.regexp_extract(said, r"(\{[^{}]*\})", 1)
-    return table(spark, d, "events").filter("event_id % 10 = 0").select("event_id", F.get_json_object(found, "$.k").cast("long").alias("k"))
+    return table(spark, d, "events").select("event_id", F.get_json_object(found, "$.k").cast("long").alias("k"))
 
 
 @query("j29_profile_with_defaults", "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, CASE WHEN p_size % 3 = 0 THEN p_type END, 'default') AS profile FROM part")
@@ -240,10 +240,10 @@ def k11(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("o_orderkey", "day", "c_name", F.coalesce("n", F.lit(0)).alias("n_lines"))
 
 
-@query("w23_rare_words", "SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents WHERE n_chars < 300) WHERE length(w) > 2) WHERE w IN (SELECT w FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents WHERE n_chars < 300) WHERE length(w) > 2) GROUP BY w HAVING count(*) = 1) GROUP BY doc_id")
+@query("w23_rare_words", "SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE length(w) > 2) WHERE w IN (SELECT w FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE length(w) > 2) GROUP BY w HAVING count(*) = 1) GROUP BY doc_id")
 def w23(spark: SparkSession, d: str) -> DataFrame:
     """Words that one document alone has: those that weigh most by inverse frequency."""
-    words = table(spark, d, "documents").filter("n_chars < 300").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
+    words = table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
     alone = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
     return alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -254,7 +254,25 @@ def a20(spark: SparkSession, d: str) -> DataFrame:
     return boxes.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w21_batch_rows_in_order", "SELECT o_custkey AS batch, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS place FROM orders WHERE o_custkey % 10 = 0")
+@query("w21_batch_rows_in_order", "SELECT o_custkey AS batch, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS place FROM orders")
 def w21(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").filter("o_custkey % 10 = 0").select(F.col("o_custkey").alias("batch"), "o_orderkey", F.row_number().over(w).alias("place"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("batch"), "o_orderkey", F.row_number().over(w).alias("place"))
+
+
+@query("f15_total_lines", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, lower(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE regexp_matches(line, '(^|[^a-z0-9_-])(total|the)($|[^a-z0-9_-])') GROUP BY doc_id")
+def f15(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that hold a total's word standing alone, not as part of a hyphened one."""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.filter(F.lower("line").rlike(r"(?<![a-z0-9_-])(total|the)(?![a-z0-9_-])")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s16_suppliers_keep_known", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 3 = 1 THEN 'renamed ' || s_name ELSE s_name END AS name, CASE WHEN s_suppkey % 2 = 1 AND s_suppkey % 3 <> 2 THEN s_nationkey + 1 ELSE s_nationkey END AS nation FROM supplier UNION ALL SELECT -1 - s_suppkey, s_name, s_nationkey FROM supplier WHERE s_suppkey % 5 = 0")
+def s16(spark: SparkSession, d: str) -> DataFrame:
+    """New rows over old suppliers, in which a blank or missing value erases nothing, and new suppliers."""
+    old = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    k = F.col("s_suppkey")
+    sent = old.filter(k % 3 != 2).select("s_suppkey", F.lit(1).alias("at"), F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit("renamed "), "name")).alias("name"), F.when(k % 2 == 1, F.col("nation") + 1).alias("nation"))
+    fresh = old.filter(k % 5 == 0).select((-1 - k).alias("s_suppkey"), F.lit(1).alias("at"), "name", "nation")
+    return sources.upsert(old, sent.union(fresh), ["s_suppkey"], ["at"], keep_blank=["name", "nation"])
+

@@ -211,10 +211,10 @@ def m03(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, REFS).select("id", ((F.upper(own) != F.upper("other")) & (text.scan_key(own) == text.scan_key(F.col("other")))).alias("confused"))
 
 
-@query("m05_long_repeats", "SELECT doc_id, len(regexp_extract_all(text, 'a{3,}|b{3,}|c{3,}|d{3,}|e{3,}|f{3,}|g{3,}|h{3,}|i{3,}|j{3,}|k{3,}|l{3,}|m{3,}|n{3,}|o{3,}|p{3,}|q{3,}|r{3,}|s{3,}|t{3,}|u{3,}|v{3,}|w{3,}|x{3,}|y{3,}|z{3,}|ß{3,}|é{3,}|è{3,}|ä{3,}|ö{3,}|ü{3,}|ñ{3,}|ó{3,}|í{3,}|ç{3,}|ê{3,}|á{3,}')) AS n FROM documents WHERE lang = 'en'")
+@query("m05_long_repeats", "SELECT doc_id, len(regexp_extract_all(text, 'a{3,}|b{3,}|c{3,}|d{3,}|e{3,}|f{3,}|g{3,}|h{3,}|i{3,}|j{3,}|k{3,}|l{3,}|m{3,}|n{3,}|o{3,}|p{3,}|q{3,}|r{3,}|s{3,}|t{3,}|u{3,}|v{3,}|w{3,}|x{3,}|y{3,}|z{3,}|ß{3,}|é{3,}|è{3,}|ä{3,}|ö{3,}|ü{3,}|ñ{3,}|ó{3,}|í{3,}|ç{3,}|ê{3,}|á{3,}')) AS n FROM documents")
 def m05(spark: SparkSession, d: str) -> DataFrame:
     lower = F.array_join(F.regexp_extract_all("text", F.lit("([a-zßéèäöüñóíçêá]+)"), F.lit(1)), " ")
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.size(text.long_repeats(lower)).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.size(text.long_repeats(lower)).cast("long").alias("n"))
 
 
 @query("m08_confusable_tokens", "WITH t AS (SELECT DISTINCT l_returnflag AS side, concat('AB', CASE WHEN l_returnflag = 'N' THEN replace(lpad(CAST(l_partkey AS VARCHAR), 7, '0'), '1', 'I') ELSE lpad(CAST(l_partkey AS VARCHAR), 7, '0') END) AS token FROM lineitem WHERE l_returnflag IN ('N', 'R')) SELECT a.token AS token_a, b.token AS token_b FROM t a JOIN t b ON translate(a.token, 'IO', '10') = translate(b.token, 'IO', '10') AND a.token <> b.token WHERE a.side = 'N' AND b.side = 'R'")
@@ -231,11 +231,21 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
     return similarity.best_matches(table(spark, d, "embeddings").filter("vec_id % 50 = 0"), table(spark, d, "embeddings"))
 
 
-@query("m11_jaccard", f"SELECT i.item_id, d.doc_id, round({_jaccard_sql(_words_sql('i.text'), _words_sql('d.text'))}, 9) AS overlap FROM benchmark i JOIN documents d ON i.item_id = d.doc_id % 40")
-def m11(spark: SparkSession, d: str) -> DataFrame:
+def overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, doc_id, shared, overlap): all items and documents that share a word, by an index of the items' words."""
     items = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("a"))
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), text.tokens(F.col("text")).alias("b"))
-    return docs.join(items, "item_id").select("item_id", "doc_id", F.round(text.jaccard(F.col("a"), F.col("b")), 9).alias("overlap"))
+    docs = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("b"))
+    left, right = items.select("item_id", F.size("a").alias("na"), F.explode("a").alias("w")), docs.select("doc_id", F.size("b").alias("nb"), F.explode("b").alias("w"))
+    shared = left.join(right, "w").groupBy("item_id", "doc_id", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.select("item_id", "doc_id", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 9).alias("overlap"))
+
+
+OVERLAPS = f"""WITH i AS (SELECT item_id, {_words_sql('text')} AS a FROM benchmark), d AS (SELECT doc_id, {_words_sql('text')} AS b FROM documents), o AS (SELECT item_id, doc_id, len(list_intersect(a, b)) AS shared, round({_jaccard_sql('a', 'b')}, 9) AS overlap FROM i, d) """
+
+
+@query("m11_jaccard", OVERLAPS + "SELECT item_id, doc_id, overlap FROM o WHERE shared > 0")
+def m11(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps(spark, d).select("item_id", "doc_id", "overlap")
 
 
 @query("m13_prefix_score", f"SELECT p.p_partkey, s.s_suppkey, round(coalesce(len(list_intersect({_words_sql('p.p_name')}, {_words_sql('s.s_name')})) / nullif(greatest(len({_words_sql('p.p_name')}), len({_words_sql('s.s_name')})), 0), 0.0), 9) AS score FROM part p JOIN supplier s ON p.p_partkey % 100 = s.s_suppkey")

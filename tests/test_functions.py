@@ -71,3 +71,11 @@ def test_free_time_edges(spark):
     assert (got[1]["used"], got[1]["level"]) == (0, "green")
     assert got[2] is None
     assert got[3]["level"] == "green"
+
+
+def test_prefix_candidates_against_brute_force(spark):
+    master = ["M0123", "M012", "M01-2", "AB12C", "M", "77", "7", "M0124X5"]
+    items = ["M01", "M012", "M", "AB12C", "AB1", "7", "", "M0124X"]
+    got = linkage.prefix_candidates(spark.createDataFrame([(i,) for i in items], "i string"), "i", spark.createDataFrame([(m,) for m in master], "m string"), "m")
+    want = {(i, m) for i in items for m in master if m.startswith(i) and not m[len(i) :].strip("0123456789")}
+    assert {(r["i"], r["m"]) for r in got.collect()} == want
