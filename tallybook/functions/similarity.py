@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import loose_ref
+from .text import confused_places, loose_ref, scan_key
+
+ColumnOrName = Column | str
 
 
 def ref_verdict(a: Column, b: Column) -> Column:
@@ -56,6 +58,47 @@ def token_sort_ratio(a: str, b: str) -> Column:
     return F.pandas_udf(_ratios, "int")(a, b)
 
 
+def _plain_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def indel(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """The Indel ratio (0 to 100) of two columns' texts; null if a side is null."""
+    return F.pandas_udf(_plain_ratios, "double")(a, b)
+
+
+def field_category(a: Column, b: Column) -> Column:
+    """The finding of two values of a text field: missing, swap, characters, format, typo, different, or null for none.
+
+    Both blank, or equal but for case and outer blanks, is no finding. swap: I and 1, or O and 0, exchanged;
+    characters: other scan errors only; then by the ratio of the upper-case texts: 95 and 85.
+    """
+    blank = lambda s: F.coalesce(s, F.lit("")) == ""
+    x, y = F.trim(a), F.trim(b)
+    ratio = indel(F.upper(x), F.upper(y))
+    alike = F.when(ratio >= 95, "format").when(ratio >= 85, "typo").otherwise("different")
+    told = F.when(F.upper(x) == F.upper(y), None).when(scan_key(x) == scan_key(y), "swap").when(F.size(confused_places(x, y)) > 0, "characters").otherwise(alike)
+    return F.when(blank(a) & blank(b), None).when(blank(a) | blank(b), "missing").otherwise(told)
+
+
+def changed_lines(a: ColumnOrName, b: ColumnOrName, least: float = 90.0) -> Column:
+    """(n_changed, n_lines) of two texts' lines that are not blank, held against each other by place.
+
+    A line whose ratio to the other is under ``least`` counts as changed, and so does each line beyond the
+    shorter text. Null texts have no line.
+    """
+
+    def count(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, q in zip(x, y, strict=True):
+            left, right = ([line.strip() for line in (t or "").splitlines() if line.strip()] for t in (p, q))
+            apart = sum(u != v and indel_ratio(u, v) < least for u, v in zip(left, right))
+            rows.append((apart + abs(len(left) - len(right)), max(len(left), len(right))))
+        return pd.DataFrame(rows, columns=["n_changed", "n_lines"], dtype="int64")
+
+    return F.pandas_udf(count, "n_changed long, n_lines long")(a, b)
+
+
 def line_changes(pairs: DataFrame, before: str, after: str, key: str) -> DataFrame:
     """(key, kind, first_line, n_lines): the changed stretches between two texts' lines."""
     kind = pairs.schema[key].dataType.simpleString()

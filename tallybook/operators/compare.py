@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import differ_only_by_rounding, numbers_equal
+from ..functions.dates import dates_possibly_equal, parse_date
+from ..functions.numbers import differ_only_by_rounding, numbers_equal, parse_number
+from ..functions.similarity import token_sort_ratio
+from ..functions.text import payment_terms
 
 RISKS = ("error", "warning", "format", "ok")
 
@@ -30,12 +33,16 @@ def item_status(in_a: Column, in_b: Column, quantity_equal: Column, unit_equal:
 def compare_items(a: DataFrame, b: DataFrame, places: int = 2) -> DataFrame:
     """(doc, ref, status, quantity_equal, unit_equal, price_verdict, net_verdict, arithmetic_ok) of items (doc, ref, qty, net, unit).
 
-    Items pair by document and reference; units' prices are net over quantity. One full outer join; both
-    sides meet hashed on (doc, ref).
+    Items pair by document and reference, in the order of their lines (if there is such a column), quantities
+    and amounts: the second of a reference meets the other side's second. A null document or reference pairs
+    with nothing. Units' prices are net over quantity. Both sides are shuffled once, together, on (doc, ref).
     """
-    side = lambda t, s: t.select("doc", "ref", F.col("qty").alias("qty_" + s), F.col("net").alias("net_" + s), F.col("unit").alias("unit_" + s), F.when(F.col("qty") != 0, F.round(F.col("net") / F.col("qty"), 4)).alias("price_" + s))
-    m = side(a, "a").join(side(b, "b"), ["doc", "ref"], "full")
-    in_a, in_b = F.col("qty_a").isNotNull(), F.col("qty_b").isNotNull()
+    side = lambda t, s: t.select("doc", "ref", "qty", "net", "unit", F.when(F.col("qty") != 0, F.round(F.col("net") / F.col("qty"), 4)).alias("price"), (F.col("line") if "line" in t.columns else F.lit(None)).cast("long").alias("_line"), F.lit(s).alias("_side"))
+    both = side(a, "a").union(side(b, "b")).repartition("doc", "ref")
+    turn = F.row_number().over(Window.partitionBy("doc", "ref", "_side").orderBy("_line", "qty", "net", "unit"))
+    alone = F.when(F.col("doc").isNull() | F.col("ref").isNull(), F.col("_side"))
+    of = lambda c, s: F.max(F.when(F.col("_side") == s, F.col(c))).alias(f"{c}_{s}")
+    m = both.withColumn("_turn", turn).withColumn("_alone", alone).groupBy("doc", "ref", "_turn", "_alone").agg(*(of(c, s) for s in "ab" for c in ("qty", "net", "unit", "price")), *(F.bool_or(F.col("_side") == s).alias(f"in_{s}") for s in "ab"))
     net_agrees = F.coalesce(F.col("net_a") == F.col("net_b"), F.lit(False))
     price = price_verdict(F.col("price_a"), F.col("price_b"), net_agrees, places)
     net_equal = numbers_equal(F.col("net_a"), F.col("net_b"))
@@ -43,7 +50,7 @@ def compare_items(a: DataFrame, b: DataFrame, places: int = 2) -> DataFrame:
     quantity, unit = numbers_equal(F.col("qty_a"), F.col("qty_b")), F.coalesce(F.col("unit_a") == F.col("unit_b"), F.lit(True))
     worked = F.round(F.col("qty_b") * F.col("price_b"), 2)
     arithmetic = F.when((F.col("net_b") > 0) & (worked > 0), F.abs(worked - F.col("net_b")) * 50 <= F.col("net_b"))
-    m = m.select("doc", "ref", in_a.alias("in_a"), in_b.alias("in_b"), quantity.alias("quantity_equal"), unit.alias("unit_equal"), price.alias("price_verdict"), net.alias("net_verdict"), arithmetic.alias("arithmetic_ok"))
+    m = m.select("doc", "ref", "in_a", "in_b", quantity.alias("quantity_equal"), unit.alias("unit_equal"), price.alias("price_verdict"), net.alias("net_verdict"), arithmetic.alias("arithmetic_ok"))
     status = item_status(F.col("in_a"), F.col("in_b"), F.col("quantity_equal"), F.col("unit_equal"), F.col("price_verdict"), F.col("net_verdict"))
     return m.select("doc", "ref", status.alias("status"), "quantity_equal", "unit_equal", "price_verdict", "net_verdict", "arithmetic_ok")
 
@@ -76,6 +83,25 @@ def compare_fields(a: DataFrame, b: DataFrame, keys: Sequence[str], field: str =
     return left.join(right, [*keys, field], "full").select(*keys, field, verdict.alias("verdict"))
 
 
+def header_verdict(kind: Column, a: Column, b: Column) -> Column:
+    """The verdict of two values of a header field; ``kind`` is date, payment or another.
+
+    missing in a / b; ok if equal but for case and outer blanks, or for payment terms of one meaning; dates
+    that both can be read: format, doubtful (equal with day and month exchanged) or different; two numbers:
+    format within half a hundredth, else different; other texts by the ratio of their sorted words: format
+    from 92, doubtful from 70, else different. Both null is null.
+    """
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    day_a, day_b, number_a, number_b = parse_date(a), parse_date(b), parse_number(a), parse_number(b)
+    ratio = token_sort_ratio(x, y)
+    days = F.when(day_a == day_b, "format").when(dates_possibly_equal(a, b), "doubtful").otherwise("different")
+    values = F.when(F.abs(number_a - number_b) * 1000 < 5, "format").otherwise("different")
+    words = F.when(ratio >= 92, "format").when(ratio >= 70, "doubtful").otherwise("different")
+    present = F.when(a.isNull() & b.isNull(), None).when(a.isNull(), "missing in a").when(b.isNull(), "missing in b").when(x == y, "ok")
+    by_kind = present.when((kind == "date") & day_a.isNotNull() & day_b.isNotNull(), days).when((kind == "payment") & (F.lower(payment_terms(a)) == F.lower(payment_terms(b))), "ok")
+    return by_kind.when(number_a.isNotNull() & number_b.isNotNull(), values).otherwise(words)
+
+
 def changed_columns(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, column, old, new) of every column whose value changed, null-safe; rows on one side only count against nulls."""
     columns = [c for c in new.columns if c != key]

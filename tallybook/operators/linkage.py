@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import indel_ratio
+from ..functions.similarity import indel
+from ..functions.text import confused_places, scan_key
+from .storage import stored
 
 
 def paired_in_order(a: DataFrame, b: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -71,36 +75,105 @@ def unit_factor(rows: DataFrame, rules: DataFrame, ref: str, unit_from: str, uni
     return out.select(*rows.columns, factor.alias("factor"))
 
 
-def greedy_pairs(candidates: DataFrame, group: str, a: str, b: str, score: str) -> DataFrame:
-    """One-to-one pairs of each group: the best score first, ties by a then b.
+#: Candidates in all that may be paired by one pass over their groups.
+FEW_CANDIDATES = 200_000
 
-    A group is one pair of documents, whose candidates fit a task; groups run in parallel.
+
+def greedy_pairs(candidates: DataFrame, group: str, a: str, b: str, score: str, few: int = FEW_CANDIDATES) -> DataFrame:
+    """One-to-one pairs of each group: the best score first, ties by a hash of the pair, then by a and b.
+
+    In each round the pairs that are best for both their sides are taken and all that share a side with them
+    go; equal scores stand in random order, so a logarithmic number of rounds is expected. Groups and sides
+    may be of any size: no group meets in one task, until at most ``few`` candidates are left in all.
+    A null group, side or score pairs with nothing.
     """
-    kinds = {c: candidates.schema[c].dataType.simpleString() for c in (group, a, b)}
+    rows = candidates.select(group, a, b, F.col(score).cast("double").alias(score)).dropna()
+    left = stored(rows.withColumn("_tie", F.xxhash64(group, a, b)).distinct(), "candidates")
+    rank = lambda other: F.min(F.struct((-F.col(score)).alias("_low"), "_tie", F.col(other))).alias("_best")
+    taken = []
+    while left.count() > few:
+        best_a = left.groupBy(group, a).agg(rank(b)).select(group, a, F.col(f"_best.{b}").alias(b), (-F.col("_best._low")).alias(score))
+        best_b = left.groupBy(group, b).agg(rank(a)).select(group, F.col(f"_best.{a}").alias(a), b)
+        mutual = stored(best_a.join(best_b, [group, a, b]), "pairs")
+        taken.append(mutual.select(group, a, b, score))
+        left = stored(left.join(mutual.select(group, a), [group, a], "left_anti").join(mutual.select(group, b), [group, b], "left_anti"), "candidates")
+    kinds = {c: left.schema[c].dataType.simpleString() for c in (group, a, b)}
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, a, b], ascending=[False, True, True], kind="stable")
-        left, right, kept = set(), set(), []
+        rows = rows.sort_values([score, "_tie", a, b], ascending=[False, True, True, True], kind="stable")
+        used_a, used_b, kept = set(), set(), []
         for x, y in zip(rows[a], rows[b], strict=True):
-            kept.append(x not in left and y not in right)
+            kept.append(x not in used_a and y not in used_b)
             if kept[-1]:
-                left.add(x)
-                right.add(y)
-        return rows[kept]
+                used_a.add(x)
+                used_b.add(y)
+        return rows.loc[kept, [group, a, b, score]]
+
+    last = left.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {a} {kinds[a]}, {b} {kinds[b]}, {score} double")
+    return reduce(DataFrame.union, taken, last)
 
-    return candidates.select(group, a, b, score).groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {a} {kinds[a]}, {b} {kinds[b]}, {score} double")
+
+def _first_tokens(least: float) -> Callable[[pd.Series], pd.Series]:
+    """For each text the characters, numbered by their occurrence, of which another text of the ratio must share one.
+
+    Two texts of ratio r or more have at least n r / (2 - r) characters in common, n the length of either. In one
+    order of all numbered characters (late occurrences first) the first n - that + 1 of both then share one.
+    """
+    share = least / (200.0 - least)
+
+    def tokens(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            seen: dict[str, int] = {}
+            numbered = []
+            for c in t:
+                seen[c] = seen.get(c, 0) + 1
+                numbered.append((-seen[c], c))
+            first = len(t) - math.ceil(len(t) * share - 1e-9) + 1
+            out.append([f"{c}{-n}" for n, c in sorted(numbered)[:first]] or [""])
+        return pd.Series(out, dtype=object)
+
+    return tokens
 
 
 def fuzzy_candidates(a: DataFrame, b: DataFrame, group: str, key: str, least: float) -> DataFrame:
-    """(group, a, b, score): pairs of one group whose keys' Indel ratio is ``least`` or more and which share two characters at a place.
+    """(group, a, b, score): all pairs of one group whose keys' Indel ratio is ``least`` (over 0, to 100) or more.
 
-    Pairs meet on (group, place, character pair), so a group is not crossed with itself.
+    Pairs meet on a numbered character that such pairs must share (see ``_first_tokens``) and on nearby
+    lengths, so no pair of the ratio is missed and a group is not crossed with itself. Null keys or groups match nothing.
+    """
+    if not 0 < least <= 100:
+        raise ValueError("least must be over 0 and at most 100")
+    first = F.pandas_udf(_first_tokens(least), "array<string>")
+    side = lambda t, name: t.select(group, F.col(key).alias(name)).dropna().distinct().select(group, name, F.explode(first(name)).alias("_token"))
+    near = (F.length("a") * least <= F.length("b") * (200.0 - least)) & (F.length("b") * least <= F.length("a") * (200.0 - least))
+    pairs = side(a, "a").join(side(b, "b"), [group, "_token"]).filter(near).select(group, "a", "b").distinct()
+    return pairs.withColumn("score", indel("a", "b")).filter(F.col("score") >= least)
+
+
+def candidates_by_trigram(a: DataFrame, b: DataFrame, group: str, key: str, least: float) -> DataFrame:
+    """(group, a, b, score): pairs of one group that share three characters in a row and whose ratio is ``least`` or more.
+
+    For long keys, of which nearly all share single characters. Pairs alike without a common trigram are not met.
     """
     grams = lambda t, name: t.select(group, F.col(key).alias(name), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - 2)), lambda i: F.substr(F.col(key), i, F.lit(3))))).alias("gram"))
     pairs = grams(a, "a").join(grams(b, "b"), [group, "gram"]).select(group, "a", "b").distinct()
-    ratio = F.pandas_udf(_ratios, "double")
-    return pairs.withColumn("score", ratio("a", "b")).filter(F.col("score") >= least)
+    return pairs.withColumn("score", indel("a", "b")).filter(F.col("score") >= least)
+
 
+def missing_refs(a: DataFrame, b: DataFrame, group: str, key: str, least: float = 85.0) -> DataFrame:
+    """(group, ref, verdict, partner, score): references of ``a`` that ``b`` has not, judged by the most alike one of ``b``.
 
-def _ratios(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+    swap: I and 1, or O and 0, exchanged; characters: other scan errors only; typo: alike by ``least`` or
+    more; else missing, without partner. Ties take the smallest partner. Repeated references count once.
+    """
+    own, other = a.select(group, key).dropna().distinct(), b.select(group, key).dropna().distinct()
+    absent = own.join(other, [group, key], "left_anti")
+    best = fuzzy_candidates(absent, other, group, key, least).groupBy(group, "a").agg(F.min(F.struct((-F.col("score")).alias("low"), F.col("b").alias("partner"))).alias("m"))
+    found = absent.join(best.withColumnRenamed("a", key), [group, key], "left").select(group, F.col(key).alias("ref"), F.col("m.partner").alias("partner"), (-F.col("m.low")).alias("score"))
+    ref, partner = F.col("ref"), F.col("partner")
+    verdict = F.when(partner.isNull(), "missing").when(scan_key(ref) == scan_key(partner), "swap").when(F.size(confused_places(ref, partner)) > 0, "characters").otherwise("typo")
+    return found.select(group, "ref", verdict.alias("verdict"), "partner", "score")

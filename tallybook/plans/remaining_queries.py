@@ -228,7 +228,7 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
     """Lines of neighbouring short documents paired one to one, best first, from a ratio of 70 on."""
     lines = table(spark, d, "documents").filter("n_chars < 3000").select(F.expr("doc_id div 2").alias("g"), (F.col("doc_id") % 2).alias("side"), F.explode(F.split("text", "\n")).alias("line")).filter("length(line) between 4 and 200").distinct()
     a, b = lines.filter("side = 0").select("g", "line"), lines.filter("side = 1").select("g", "line")
-    pairs = linkage.greedy_pairs(linkage.fuzzy_candidates(a, b, "g", "line", 70.0), "g", "a", "b", "score")
+    pairs = linkage.greedy_pairs(linkage.candidates_by_trigram(a, b, "g", "line", 70.0), "g", "a", "b", "score")
     return pairs.withColumn("verdict", F.when(F.col("score") >= 95, "equal").otherwise("changed"))
 
 

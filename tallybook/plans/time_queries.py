@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import linkage, timing
+from ..operators import linkage, storage, timing
 from ..streaming import limits
 from .registry import query, table
 
@@ -131,7 +130,7 @@ def r10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallybook-stream-")
+    return storage.new_folder(spark, "stream")
 
 
 @query("r01_stream_rate_limit", "SELECT user_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT user_id, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 10 MINUTE, time_bucket(INTERVAL 5 MINUTE, ts), INTERVAL 5 MINUTE)) AS w FROM events WHERE event_type = 'error') GROUP BY user_id, w")
