@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,17 +100,21 @@ def greedy_pairs(candidates: DataFrame, group: str, a: str, b: str, score: str,
         left = stored(left.join(mutual.select(group, a), [group, a], "left_anti").join(mutual.select(group, b), [group, b], "left_anti"), "candidates")
     kinds = {c: left.schema[c].dataType.simpleString() for c in (group, a, b)}
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, "_tie", a, b], ascending=[False, True, True, True], kind="stable")
-        used_a, used_b, kept = set(), set(), []
-        for x, y in zip(rows[a], rows[b], strict=True):
-            kept.append(x not in used_a and y not in used_b)
-            if kept[-1]:
-                used_a.add(x)
-                used_b.add(y)
-        return rows.loc[kept, [group, a, b, score]]
-
-    last = left.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {a} {kinds[a]}, {b} {kinds[b]}, {score} double")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used_a, used_b = None, set(), set()
+        for batch in batches:
+            kept = []
+            for g, x, y in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if g != now:
+                    now, used_a, used_b = g, set(), set()
+                kept.append(x not in used_a and y not in used_b)
+                if kept[-1]:
+                    used_a.add(x)
+                    used_b.add(y)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    ordered = left.repartition(group).sortWithinPartitions(group, F.desc(score), "_tie", a, b).select(group, a, b, score)
+    last = ordered.mapInArrow(pick, f"{group} {kinds[group]}, {a} {kinds[a]}, {b} {kinds[b]}, {score} double")
     return reduce(DataFrame.union, taken, last)
 
 
