@@ -36,13 +36,15 @@ def column_roles(headers: Column, words: dict[str, tuple[str, ...]] | None = Non
     for words of over three characters, holds one. A role stands at most once. Null headers are skipped.
     """
     table = F.array(*(F.struct(F.lit(r).alias("role"), F.array(*map(F.lit, w)).alias("words")) for r, w in (words or ROLE_WORDS).items()))
-    plain = F.transform(headers, lambda h: F.trim(F.lower(F.coalesce(h, F.lit("")))))
-    free = F.transform(headers, lambda h: F.lit("skip"))
+    # A value that several places of a lambda need is bound by a transform of one element, so it is worked out once.
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     fits = lambda h, r: F.exists(r["words"], lambda w: (h == w) | ((F.length(w) > 3) & F.contains(h, w)))
 
-    def choose(roles: Column, r: Column) -> Column:
-        open_and_fit = F.zip_with(roles, plain, lambda given, h: (given == "skip") & fits(h, r))
-        place = F.array_position(open_and_fit, F.lit(True))
-        return F.transform(roles, lambda given, i: F.when(i + 1 == place, r["role"]).otherwise(given))
+    def of(plain: Column) -> Column:
+        def choose(roles: Column, r: Column) -> Column:
+            place = F.array_position(F.zip_with(roles, plain, lambda given, h: (given == "skip") & fits(h, r)), F.lit(True))
+            return bound(place, lambda p: F.transform(roles, lambda given, i: F.when(i + 1 == p, r["role"]).otherwise(given)))
 
-    return F.aggregate(table, free, choose)
+        return F.aggregate(table, F.transform(plain, lambda h: F.lit("skip")), choose)
+
+    return bound(F.transform(headers, lambda h: F.trim(F.lower(F.coalesce(h, F.lit(""))))), of)
