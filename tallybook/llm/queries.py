@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, languages, mixing, oracles, packing, simhash, sketches, spans, toxicity, vectors, warc
+from . import exact, html_text, languages, mixing, oracles, packing, phrases, simhash, sketches, spans, spelling, toxicity, vectors, warc
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -72,6 +72,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_neighbours(documents)
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -83,10 +96,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_exact": op11_exact,
+    "op12_phrases": op12_phrases,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op5_embeddings": oracles.EMBEDDINGS,
     "op6_mixing": oracles.MIXING,
     "op8_warc": oracles.WARC,
+    "op11_exact": oracles.EXACT,
+    "op12_phrases": oracles.PHRASES,
 }
