@@ -125,10 +125,11 @@ def records(documents: DataFrame, row: Column, id_column: str, text_column: str,
     return rows.mapInArrow(run, "key long, h long, size long, least long, n long, ids array<long>, rows array<long>, content binary")
 
 
-def _met(level: DataFrame, buckets: int) -> DataFrame:
+def _met(level: DataFrame) -> DataFrame:
     """(key, rep, least, best, n, digest): each record with what its bucket's table says of its content.
 
-    ``rep`` is the content's first record in the table, ``best`` the record that holds the smallest id.
+    ``rep`` is the content's first record in the table, ``best`` the record that holds the smallest id. A task
+    takes the buckets of its partition one after another, with one table at a time.
     """
 
     @tidied
@@ -160,7 +161,7 @@ def _met(level: DataFrame, buckets: int) -> DataFrame:
         if keys:
             yield told()
 
-    dealt = level.select("bucket", "key", "h", "least", "best", "n", "content").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = level.select("bucket", "key", "h", "least", "best", "n", "content").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "key long, rep long, least long, best long, n long, digest string")
 
 
@@ -184,14 +185,14 @@ def matched(found: DataFrame, bucket_bytes: int = BUCKET_BYTES, fan_out: int = F
         sizes = level.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), (F.min("h") == F.max("h")).alias("one_hash"))
         over = stored(sizes.filter((F.col("bytes") > bucket_bytes) & (F.col("rows") > 1) & (~F.col("one_hash") | (F.col("rows") > part_rows))), "too-large")
         if not over.limit(1).count():
-            classes.append(_met(level, buckets))
+            classes.append(_met(level))
             forget(over)
             break
-        classes.append(_met(level.join(over, "bucket", "left_anti"), buckets))
+        classes.append(_met(level.join(over, "bucket", "left_anti")))
         again = level.join(over.select("bucket", "one_hash", "rows"), "bucket")
         deeper = again.filter(~F.col("one_hash")).withColumn("bucket", F.col("bucket") * fan_out + F.pmod(F.xxhash64("h", F.lit(depth)), F.lit(fan_out)))
         one = stored(again.filter("one_hash").withColumn("home", F.col("bucket") * fan_out).withColumn("bucket", F.xxhash64("bucket", F.pmod(F.xxhash64("key", F.lit(depth)), F.ceil(F.col("rows") / part_rows)))), "one-hash")
-        part = stored(_met(one, buckets), "parts")
+        part = stored(_met(one), "parts")
         parts.append(part)
         # Should different contents have one hash, their digests part them from here on.
         left = one.drop("least", "best", "n", "h").join(part.filter("key = rep").select("key", "least", "best", "n", F.xxhash64("digest").alias("h")), "key").withColumn("bucket", F.col("home"))
