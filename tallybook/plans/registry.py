@@ -50,7 +50,7 @@ def plain(sql: str) -> str:
 
 
 def _load() -> None:
-    for name in ("number_queries", "text_queries", "code_queries", "link_queries", "compare_queries", "aggregate_queries", "time_queries", "source_queries", "more_queries", "lookup_queries", "remaining_queries", "finding_queries"):
+    for name in ("number_queries", "text_queries", "code_queries", "link_queries", "compare_queries", "aggregate_queries", "time_queries", "source_queries", "more_queries", "lookup_queries", "remaining_queries", "finding_queries", "structure_queries"):
         importlib.import_module(f"tallybook.plans.{name}")
 
 
