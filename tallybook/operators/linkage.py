@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import indel
 from ..functions.text import confused_places, scan_key
-from .storage import stored
+from .storage import forget, stored
 
 
 def paired_in_order(a: DataFrame, b: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -80,8 +80,8 @@ def unit_factor(rows: DataFrame, rules: DataFrame, ref: str, unit_from: str, uni
 FEW_CANDIDATES = 200_000
 
 
-def greedy_pairs(candidates: DataFrame, group: str, a: str, b: str, score: str, few: int = FEW_CANDIDATES) -> DataFrame:
-    """One-to-one pairs of each group: the best score first, ties by a hash of the pair, then by a and b.
+def greedy_pairs(candidates: DataFrame, group: str, a: str, b: str, score: str, few: int = FEW_CANDIDATES, by_keys: bool = False) -> DataFrame:
+    """One-to-one pairs of each group: the best score first, ties by a hash of the pair (not with ``by_keys``), then by a and b.
 
     In each round the pairs that are best for both their sides are taken and all that share a side with them
     go; equal scores stand in random order, so a logarithmic number of rounds is expected. Groups and sides
@@ -89,7 +89,7 @@ def greedy_pairs(candidates: DataFrame, group: str, a: str, b: str, score: str,
     A null group, side or score pairs with nothing.
     """
     rows = candidates.select(group, a, b, F.col(score).cast("double").alias(score)).dropna()
-    left = stored(rows.withColumn("_tie", F.xxhash64(group, a, b)).distinct(), "candidates")
+    left = stored(rows.withColumn("_tie", F.lit(0).cast("long") if by_keys else F.xxhash64(group, a, b)).distinct(), "candidates")
     rank = lambda other: F.min(F.struct((-F.col(score)).alias("_low"), "_tie", F.col(other))).alias("_best")
     taken = []
     while left.count() > few:
@@ -98,7 +98,34 @@ def greedy_pairs(candidates: DataFrame, group: str, a: str, b: str, score: str,
         mutual = stored(best_a.join(best_b, [group, a, b]), "pairs")
         taken.append(mutual.select(group, a, b, score))
         left = stored(left.join(mutual.select(group, a), [group, a], "left_anti").join(mutual.select(group, b), [group, b], "left_anti"), "candidates")
-    kinds = {c: left.schema[c].dataType.simpleString() for c in (group, a, b)}
+    last = _streamed(left.repartition(group).sortWithinPartitions(group, F.desc(score), "_tie", a, b), group, a, b, score)
+    return reduce(DataFrame.union, taken, last)
+
+
+def ordered_pairs(candidates: DataFrame, group: str, a: str, b: str, score: str, few: int = FEW_CANDIDATES) -> DataFrame:
+    """One-to-one pairs of each group: each ``a``, from the smallest on, takes the best ``b`` still free; ties go to the smallest ``b``.
+
+    In each round those take their best that no smaller ``a`` could still want it from; the smallest of a group
+    always does. Groups may be of any size: none meets in one task, until at most ``few`` candidates are left in all.
+    A null group, side or score pairs with nothing.
+    """
+    left = stored(candidates.select(group, a, b, F.col(score).cast("double").alias(score)).dropna().distinct(), "candidates")
+    taken = []
+    while left.count() > few:
+        best = left.groupBy(group, a).agg(F.min(F.struct((-F.col(score)).alias("_low"), F.col(b))).alias("_best")).select(group, a, F.col(f"_best.{b}").alias(b), (-F.col("_best._low")).alias(score))
+        first = left.groupBy(group, b).agg(F.min(a).alias(a))
+        sure = stored(best.join(first, [group, a, b]), "pairs")
+        taken.append(sure.select(group, a, b, score))
+        fresh = stored(left.join(sure.select(group, a), [group, a], "left_anti").join(sure.select(group, b), [group, b], "left_anti"), "candidates")
+        forget(left)
+        left = fresh
+    last = _streamed(left.repartition(group).sortWithinPartitions(group, a, F.desc(score), b), group, a, b, score)
+    return reduce(DataFrame.union, taken, last)
+
+
+def _streamed(ordered: DataFrame, group: str, a: str, b: str, score: str) -> DataFrame:
+    """The pairs, in the order of the rows within their group, whose sides are both still free."""
+    kinds = {c: ordered.schema[c].dataType.simpleString() for c in (group, a, b)}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used_a, used_b = None, set(), set()
@@ -113,9 +140,7 @@ def greedy_pairs(candidates: DataFrame, group: str, a: str, b: str, score: str,
                     used_b.add(y)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    ordered = left.repartition(group).sortWithinPartitions(group, F.desc(score), "_tie", a, b).select(group, a, b, score)
-    last = ordered.mapInArrow(pick, f"{group} {kinds[group]}, {a} {kinds[a]}, {b} {kinds[b]}, {score} double")
-    return reduce(DataFrame.union, taken, last)
+    return ordered.select(group, a, b, score).mapInArrow(pick, f"{group} {kinds[group]}, {a} {kinds[a]}, {b} {kinds[b]}, {score} double")
 
 
 def _first_tokens(least: float) -> Callable[[pd.Series], pd.Series]:

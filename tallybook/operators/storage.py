@@ -25,4 +25,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written as Parquet and read back, which cuts its lineage."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tallybook_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote and nothing will read again."""
+    spark, path = df.sparkSession, df._tallybook_path
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

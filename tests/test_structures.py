@@ -1,13 +1,16 @@
 """Scanners, automata, boxes, weighted texts and phases against plain accounts of their rules."""
 
 import datetime
+import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallybook.functions import gs1, terms
+from tallybook.operators import descriptions, linkage, phases
 from tallybook.plans import structure_queries as queries
 from tallybook.plans.registry import frame
 
@@ -127,3 +130,120 @@ def test_terms_of_pages():
     want = 'cat <p class="cat" title="a dog" data-x=\'title\'>dog &amP; cat<br>P</p><SCRIPT>var cat = "<p>dog</p>"</SCRIPT><style>p {cat}</style><a TITLE=\'cat\' >dog</a> cat'
     assert terms.replaced_in_html(found, page) == want
     assert terms.replaced_in_html(found, "cat") == "cat" and terms.replaced_in_html(found, "") == ""
+
+
+def plain_cosines(corpus, asked):
+    """The dense account: every gram of every text, weights fitted on the corpus."""
+
+    def grams(t):
+        out = {}
+        for w in t.split():
+            w = f" {w} "
+            for n in (2, 3, 4):
+                for k in range(len(w) - n + 1):
+                    out[w[k : k + n]] = out.get(w[k : k + n], 0) + 1
+        return out
+
+    counted = [grams(t) for t in corpus]
+    df = {}
+    for c in counted:
+        for g in c:
+            df[g] = df.get(g, 0) + 1
+
+    def unit(c):
+        v = {g: (1 + math.log(tf)) * (math.log((1 + len(corpus)) / (1 + df[g])) + 1) for g, tf in c.items() if g in df}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()} if size else {}
+
+    units = [unit(c) for c in counted]
+    return [[sum(x * u.get(g, 0.0) for g, x in unit(grams(t)).items()) for u in units] for t in asked]
+
+
+def plain_indel(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+    return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def plain_blend(a, b, cosine):
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    short, long = sorted((a, b), key=len)
+    n = len(short)
+    parts = [(short, long[max(0, k) : k + n]) for k in range(1 - n, len(long))]
+    if len(a) == len(b):
+        parts += [(long, short[max(0, k) : k + n]) for k in range(1 - n, n)]
+    words = plain_indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return 0.6 * cosine + 0.4 * max(words, *(plain_indel(x, y) for x, y in parts)) * n / len(long) / 100
+
+
+WORDS = ["gauze", "gauze", "swab", "sterile", "tube", "tubes", "10cm", "100mm", "ä", "of", "needle", "needles", "iv"]
+
+
+def test_cosines_and_blends_by_brute_force(spark):
+    draw = random.Random(6)
+    text = lambda: " ".join(draw.choice(WORDS) for _ in range(draw.randrange(0, 7)))
+    corpus, asked = [text() for _ in range(60)] + ["unlike"], [text() for _ in range(40)]
+    b = spark.createDataFrame([(1, j, t) for j, t in enumerate(corpus)] + [(2, 0, "gauze swab"), (None, 1, "gauze")], "doc int, j int, text string")
+    a = spark.createDataFrame([(1, i, t) for i, t in enumerate(asked)] + [(2, 0, "gauze swabs"), (2, 1, None)], "doc int, i int, text string")
+    want = plain_cosines([t for t in corpus], asked)
+    for least in (0.3, 0.75):
+        got = {(r.i, r.j): r.cosine for r in descriptions.cosine_pairs(a, b, ["doc"], "i", "j", "text", least).filter("doc = 1").collect()}
+        assert set(got) == {(i, j) for i, row in enumerate(want) for j, c in enumerate(row) if c >= least}
+        assert all(abs(c - want[i][j]) < 1e-9 for (i, j), c in got.items())
+    near = {(r.i, r.j): r.similarity for r in descriptions.similar_pairs(a, b, ["doc"], "i", "j", "text").filter("doc = 1").collect()}
+    blends = {(i, j): plain_blend(t, u, want[i][j]) for i, t in enumerate(asked) for j, u in enumerate(corpus)}
+    assert set(near) == {k for k, v in blends.items() if v >= 0.55} and all(abs(v - blends[k]) < 1e-9 for k, v in near.items())
+    assert descriptions.similar_pairs(a.limit(0), b, ["doc"], "i", "j", "text").count() == 0
+
+
+def plain_phases(a, b, description):
+    """The four phases as loops over one document's items: (place, ref, text)."""
+    used_a, used_b, out = set(), set(), []
+
+    def take(i, j, phase):
+        used_a.add(i)
+        used_b.add(j)
+        out.append((i, j, phase))
+
+    for i, ref, _ in a:
+        j = next((j for j, other, _ in b if ref and ref == other and j not in used_b), None)
+        if j is not None:
+            take(i, j, "exact")
+    stem = lambda s: re.sub("[0-9]+$", "", s)
+    open_ = lambda x, y: x.replace("0", "") != y.replace("0", "") and not (x[-1:].isdigit() and y[-1:].isdigit() and stem(x) == stem(y))
+    alike = sorted((-plain_indel(x, y), i, j) for i, x, _ in a for j, y, _ in b if i not in used_a and j not in used_b and x and y and open_(x, y) and plain_indel(x, y) >= 85)
+    for _, i, j in alike:
+        if i not in used_a and j not in used_b:
+            take(i, j, "fuzzy")
+    rest_b = [(j, t) for j, _, t in b if j not in used_b and t]
+    rest_a = [(i, t) for i, _, t in a if i not in used_a and t]
+    cosines = plain_cosines([t for _, t in rest_b], [t for _, t in rest_a])
+    for (i, t), row in zip(rest_a, cosines, strict=True):
+        best = max(((description(t, u, c), -j) for (j, u), c in zip(rest_b, row, strict=True) if j not in used_b), default=(0, 0))
+        if best[0] >= 0.55:
+            take(i, -best[1], "description")
+    return sorted(out + [(i, None, "only_a") for i, *_ in a if i not in used_a] + [(None, j, "only_b") for j, *_ in b if j not in used_b], key=str)
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_four_phases_by_loops(spark, monkeypatch, few):
+    """Also when no group may meet in a task, so that every pair comes from rounds of joins."""
+    for f in (linkage.greedy_pairs, linkage.ordered_pairs):
+        monkeypatch.setattr(phases, f.__name__, lambda *args, f=f, **kwargs: f(*args, **kwargs, few=few))
+    draw = random.Random(9)
+    ref = lambda: draw.choice(["", "AB10S4", "AB10S5", "AB1OS4", "AB100S4", "NL753S40", "NL753S4O", "NL753SX0", f"Q{draw.randrange(3)}X{draw.randrange(3)}77"])
+    item = lambda doc, place: (doc, place, ref(), " ".join(draw.choice(WORDS) for _ in range(draw.randrange(0, 5))))
+    a, b = ([item(doc, place) for doc in range(6) for place in range(12)] for _ in range(2))
+    schema = "doc int, place int, ref string, description string"
+    got = phases.linked_items(spark.createDataFrame(a + [(99, 1, None, None)], schema), spark.createDataFrame(b, schema)).collect()
+    for doc in range(6):
+        mine = sorted(((r.i, r.j, r.phase) for r in got if r.doc == doc), key=str)
+        assert mine == plain_phases([x[1:] for x in a if x[0] == doc], [x[1:] for x in b if x[0] == doc], plain_blend)
+    assert [(r.i, r.j, r.phase) for r in got if r.doc == 99] == [(1, None, "only_a")]
+    assert {r.phase for r in got} == {"exact", "fuzzy", "description", "only_a", "only_b"}
