@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.functions import gs1, terms
-from tallybook.operators import descriptions, linkage, phases
+from tallybook.operators import boxes, descriptions, linkage, phases
 from tallybook.plans import structure_queries as queries
 from tallybook.plans.registry import frame
 
@@ -247,3 +247,52 @@ def test_four_phases_by_loops(spark, monkeypatch, few):
         assert mine == plain_phases([x[1:] for x in a if x[0] == doc], [x[1:] for x in b if x[0] == doc], plain_blend)
     assert [(r.i, r.j, r.phase) for r in got if r.doc == 99] == [(1, None, "only_a")]
     assert {r.phase for r in got} == {"exact", "fuzzy", "description", "only_a", "only_b"}
+
+
+def plain_merged(rows, gap):
+    """The plain loop: any two near boxes become one, until there are none."""
+    left = [list(r) + [1] for r in rows]
+    k = 0
+    while k < len(left):
+        a = left[k]
+        j = next((j for j, b in enumerate(left) if j != k and b[0] <= a[2] + gap and b[2] >= a[0] - gap and b[1] <= a[3] + gap and b[3] >= a[1] - gap), None)
+        if j is None:
+            k += 1
+            continue
+        b = left[j]
+        left[k] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]]
+        del left[j]
+        k = 0
+    return sorted(map(tuple, left))
+
+
+def plain_first(rows, tolerance):
+    kept = []
+    for place, *edges in sorted(rows):
+        if not any(all(abs(x - y) < tolerance for x, y in zip(edges, k[1:])) for k in kept):
+            kept.append((place, *edges))
+    return kept
+
+
+def test_boxes_by_plain_loops(spark):
+    """Sizes from a point to the page, boxes that just touch, a dense place, stacked lines, repeated and broken boxes."""
+    draw = random.Random(12)
+    rows = []
+    for page in range(5):
+        for _ in range(60):
+            x, y = draw.randrange(-80, 400) / 2, draw.randrange(-80, 600) / 2
+            rows.append((page, x, y, x + draw.choice([0, 1, 2, 3, 60.5]), y + draw.choice([0, 1, 2, 40.25])))
+    rows += [(7, 10 * k, 0, 10 * k + 6, 5) for k in range(30)] + [(8, 10 * k + k * 0.01, 0, 10 * k + 6, 5) for k in range(30)]
+    rows += [(9, draw.random(), draw.random(), 1 + draw.random(), 1 + draw.random()) for _ in range(150)] + [(10, 0, 5 * k, 500, 5 * k + 0.5) for k in range(40)] + [(11, 1, 1, 2, 2)] * 4
+    schema = "page int, x0 double, y0 double, x1 double, y1 double"
+    table = spark.createDataFrame([tuple(map(float, r[1:])) and (r[0], *map(float, r[1:])) for r in rows] + [(11, None, 1.0, 2.0, 3.0), (11, 5.0, 5.0, 1.0, 9.0), (11, float("nan"), 0.0, 1.0, 1.0), (11, 0.0, 0.0, float("inf"), 1.0)], schema)
+    got = boxes.merged(table).collect()
+    for page in {r[0] for r in rows}:
+        want = plain_merged([tuple(map(float, r[1:])) for r in rows if r[0] == page], 4.0)
+        assert sorted((r.x0, r.y0, r.x1, r.y1, r.n) for r in got if r.page == page) == want, page
+    placed = table.na.drop().filter("page < 12").selectExpr("page", "monotonically_increasing_id() as place", "round(x0) / 2 as x0", "round(y0) / 2 as y0", "round(x1) / 2 as x1", "round(y1) / 2 as y1").filter("not isnan(x0) and x1 < 1e9").toPandas()
+    first = boxes.first_of_near(spark.createDataFrame(placed)).collect()
+    for page in sorted(set(placed["page"])):
+        mine = [tuple(map(float, r[1:])) for r in placed[placed["page"] == page].itertuples(index=False)]
+        assert sorted(float(r.place) for r in first if r.page == page) == [k[0] for k in plain_first(mine, 1.0)], page
+    assert boxes.merged(table.limit(0)).count() == 0 and boxes.first_of_near(spark.createDataFrame(placed).limit(0)).count() == 0
