@@ -207,3 +207,31 @@ def missing_refs(a: DataFrame, b: DataFrame, group: str, key: str, least: float
     ref, partner = F.col("ref"), F.col("partner")
     verdict = F.when(partner.isNull(), "missing").when(scan_key(ref) == scan_key(partner), "swap").when(F.size(confused_places(ref, partner)) > 0, "characters").otherwise("typo")
     return found.select(group, "ref", verdict.alias("verdict"), "partner", "score")
+
+
+#: The least ratios of lines that are changed, and of those that are equal.
+CHANGED = 70.0
+EQUAL = 95.0
+
+
+def matched_lines(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+    """(group, a, b, status, score) of the lines (group, place, line) of two texts: a and b are places.
+
+    Each line of ``a``, in order, takes the free line of ``b`` most like it, case aside, of a ratio of ``CHANGED`` at least:
+    equal from ``EQUAL`` on, else changed; ties go to the earliest. Other lines are only_a or only_b. Lines of any
+    length are compared whole. Places are those of one line in its text; null lines are left out.
+    """
+    side = lambda t: t.select(group, "place", F.lower("line").alias("line")).dropna()
+    a, b = stored(side(a), "lines-a"), stored(side(b), "lines-b")
+    first = F.pandas_udf(_first_tokens(CHANGED), "array<string>")
+    tokens = lambda t, name: t.select(group, F.col("place").alias(name), F.length("line").alias(f"n_{name}"), F.explode(first("line")).alias("token"))
+    near = (F.col("n_a") * CHANGED <= F.col("n_b") * (200.0 - CHANGED)) & (F.col("n_b") * CHANGED <= F.col("n_a") * (200.0 - CHANGED))
+    met = tokens(a, "a").join(tokens(b, "b"), [group, "token"]).filter(near).select(group, "a", "b").distinct()
+    placed = met.join(a.select(group, F.col("place").alias("a"), F.col("line").alias("line_a")), [group, "a"]).join(b.select(group, F.col("place").alias("b"), F.col("line").alias("line_b")), [group, "b"])
+    alike = placed.withColumn("score", indel("line_a", "line_b")).filter(F.col("score") >= CHANGED)
+    pairs = stored(ordered_pairs(alike.select(group, "a", "b", "score"), group, "a", "b", "score"), "line-pairs")
+    told = pairs.select(group, "a", "b", F.when(F.col("score") >= EQUAL, "equal").otherwise("changed").alias("status"), "score")
+    none, nothing = F.lit(None).cast(a.schema["place"].dataType), F.lit(None).cast("double")
+    only_a = a.join(pairs.select(group, F.col("a").alias("place")), [group, "place"], "left_anti").select(group, F.col("place").alias("a"), none.alias("b"), F.lit("only_a").alias("status"), nothing.alias("score"))
+    only_b = b.join(pairs.select(group, F.col("b").alias("place")), [group, "place"], "left_anti").select(group, none.alias("a"), F.col("place").alias("b"), F.lit("only_b").alias("status"), nothing.alias("score"))
+    return told.union(only_a).union(only_b)

@@ -296,3 +296,31 @@ def test_boxes_by_plain_loops(spark):
         mine = [tuple(map(float, r[1:])) for r in placed[placed["page"] == page].itertuples(index=False)]
         assert sorted(float(r.place) for r in first if r.page == page) == [k[0] for k in plain_first(mine, 1.0)], page
     assert boxes.merged(table.limit(0)).count() == 0 and boxes.first_of_near(spark.createDataFrame(placed).limit(0)).count() == 0
+
+
+def plain_lines(a, b):
+    used, out = set(), []
+    for i, x in a:
+        best = max(((plain_indel(x.lower(), y.lower()), -j) for j, y in b if j not in used), default=(0, 0))
+        if best[0] >= 70:
+            used.add(-best[1])
+            out.append((i, -best[1], "equal" if best[0] >= 95 else "changed"))
+        else:
+            out.append((i, None, "only_a"))
+    return sorted(out + [(None, j, "only_b") for j, _ in b if j not in used], key=str)
+
+
+def test_lines_in_order_by_plain_loop(spark):
+    """Repeated and very long lines, ties, and lines that an earlier one takes."""
+    draw = random.Random(15)
+    line = lambda: "".join(draw.choice("abcdE ") for _ in range(draw.choice([1, 2, 5, 9, 30, 30, 31]))).strip() or "x"
+    a, b = ([(g, k, line()) for g in range(4) for k in range(15)] for _ in range(2))
+    a += [(2, 15, "long " * 3000), (2, 16, "Same"), (2, 17, "same"), (3, 15, None)]
+    b += [(2, 15, "long " * 2000 + "else " * 900), (2, 16, "same"), (5, 0, "alone")]
+    schema = "g int, place int, line string"
+    got = linkage.matched_lines(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "g").collect()
+    for g in (0, 1, 3, 5):
+        mine = lambda t: [(k, x) for h, k, x in t if h == g and x is not None]  # noqa: B023, E731
+        assert sorted(((r.a, r.b, r.status) for r in got if r.g == g), key=str) == plain_lines(mine(a), mine(b))
+    two = {(r.a, r.b): r.status for r in got if r.g == 2}
+    assert two[16, 16] == "equal" and two[15, 15] == "changed" and len(two) >= 18
