@@ -77,8 +77,8 @@ def write(pages: DataFrame, least_revisit: int = LEAST_REVISIT, date: str = DATE
 
 
 def _field(header: Column, name: str) -> Column:
-    """A header field's value; null without such a field."""
-    return F.nullif(F.regexp_extract(header, rf"(?m)^{name}: (.*)$", 1), F.lit(""))
+    """A header field's value; null without such a field. Only the two characters of a line end part fields, as written."""
+    return F.nullif(F.regexp_extract(header, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1), F.lit(""))
 
 
 def records(archive: Archive) -> DataFrame:
