@@ -83,9 +83,14 @@ def letters_of(text: bytes) -> str:
     return letters
 
 
-def utf8(column: str) -> Column:
+def utf8(column: str | Column) -> Column:
     """The text's UTF-8 bytes; null counts as empty. Bytes reach Python without decoding."""
-    return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("binary"), F.lit(b""))
+
+
+def whole(documents: DataFrame) -> Column:
+    """A row with all its columns as one, so that no name of the caller's meets one of the operator's."""
+    return F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document")
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str, least_rows: int) -> Iterator[pa.Table]:

@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole
 
 #: Documents in a block.
 BLOCK = 64
@@ -166,19 +166,16 @@ def mixed(
 
 def in_mixed_order(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """The documents with all their columns, stored in the order of the mixture: files and rows in them ascend by position."""
-    places = mixed(documents, weights, block).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("position").alias("_mix_position"))
-    number = F.row_number().over(Window.partitionBy("_mix_id", "_mix_source").orderBy("_mix_position"))
-    copies = documents.groupBy("doc_id", "source").count().filter("count > 1").limit(1).count()
-    if copies:
+    rows = documents.select(whole(documents), "doc_id", "source")
+    places = mixed(documents, weights, block).select(F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), "position")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("source").eqNullSafe(F.col("own_source"))
+    if rows.groupBy("doc_id", "source").count().filter("count > 1").limit(1).count():
         # Rows with equal ids and sources take their places one each.
-        places = places.withColumn("_mix_copy", number)
-        documents = documents.withColumn("_mix_copy", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(F.xxhash64(*documents.columns))))
-        same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (documents["_mix_copy"] == places["_mix_copy"])
-    else:
-        same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source"))
-    columns = [c for c in documents.columns if c != "_mix_copy"]
-    joined = documents.join(places, same).select(*columns, "_mix_position")
+        places = places.withColumn("own_copy", F.row_number().over(Window.partitionBy("own_id", "own_source").orderBy("position")))
+        rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(F.xxhash64("document"))))
+        same = same & (F.col("copy") == F.col("own_copy"))
+    joined = rows.join(places, same).select("document", "position")
     # Positions have no gaps, so equal stretches of them are equal parts.
     parts, every = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, documents.count())
-    part = F.expr(f"cast(_mix_position * {parts} div {every} as int)")
-    return joined.repartitionById(parts, part).sortWithinPartitions("_mix_position").select(*columns)
+    part = F.expr(f"cast(position * {parts} div {every} as int)")
+    return joined.repartitionById(parts, part).sortWithinPartitions("position").select("document.*")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, stored, tidied, utf8, whole_groups
+from .common import bounded_batches, forget, stored, tidied, utf8, whole, whole_groups
 from .components import components
 
 SEED = 42
@@ -147,10 +148,12 @@ def near_edges(nodes: DataFrame, levels: Sequence[int], masks: list[list[int]],
 
     ``levels``: ascending distances, the last one the radius. A tile's links come as a forest, at most one
     row for each member, however many pairs there are; each is a pair within its level, and pairs of a lower
-    level are taken first.
+    level are taken first. Nodes may have a ``joined`` group, within which nothing is left to link, and
+    ``refused``, a list of others whose pairs with them do not count.
     """
     words = [f"f{k}" for k in range(n_words)]
-    rows = nodes.select("rep", *words, _bucket_keys(masks))
+    told = [c for c in ("joined", "refused") if c in nodes.columns]
+    rows = nodes.select("rep", *words, *told, _bucket_keys(masks))
     sizes = nodes.select(*words, _bucket_keys(masks)).groupBy("bucket").count()
     large = stored(sizes.filter(F.col("count") > TILE).select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "large")
     few = large.count() <= BROADCAST_BUCKETS
@@ -162,6 +165,7 @@ def near_edges(nodes: DataFrame, levels: Sequence[int], masks: list[list[int]],
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"),
         "rep",
         *words,
+        *told,
     )
 
     @tidied
@@ -169,16 +173,38 @@ def near_edges(nodes: DataFrame, levels: Sequence[int], masks: list[list[int]],
         for table in whole_groups(batches, "unit", 16_384):
             prints = np.stack([table.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
             rep = table.column("rep").to_numpy()
-            a, b, level = forest(table.column("unit").to_numpy(), table.column("side").to_numpy(), prints, levels)
+            joined = table.column("joined").to_numpy() if told else None
+            barred = _Barred(rep, table.column("refused").combine_chunks()) if told else None
+            a, b, level = forest(table.column("unit").to_numpy(), table.column("side").to_numpy(), prints, levels, joined, barred)
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(level, pa.int32())], names=["a", "b", "level"])
 
     return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long, level int")
 
 
-def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, levels: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _Barred:
+    """The pairs of a table's rows that were refused before, as numbers."""
+
+    def __init__(self, rep: np.ndarray, refused: pa.ListArray) -> None:
+        known, self.of = np.unique(rep, return_inverse=True)
+        self.size = len(known)
+        other = refused.flatten().to_numpy(zero_copy_only=False)
+        own = np.repeat(self.of, np.diff(refused.offsets.to_numpy()))
+        at = np.minimum(np.searchsorted(known, other), self.size - 1)
+        here = known[at] == other
+        self.pairs = np.unique(self._number(own[here], at[here]))
+
+    def _number(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(a, b).astype(np.int64) * self.size + np.maximum(a, b)
+
+    def free(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ~np.isin(self._number(self.of[a], self.of[b]), self.pairs)
+
+
+def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, levels: Sequence[int], joined: np.ndarray | None = None, barred: _Barred | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers (a, b) and levels of a spanning forest of the links within the last level; rows are sorted by unit and side.
 
-    Side 2: all of the unit are compared; sides 0 and 1: those of 0 with those of 1.
+    Side 2: all of the unit are compared; sides 0 and 1: those of 0 with those of 1. Rows of one unit and one
+    ``joined`` group are linked already, and pairs of ``barred`` are no links.
     """
     starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     ends = np.r_[starts[1:], len(unit)]
@@ -187,6 +213,10 @@ def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, levels: Seque
     starts, ends, ones = starts[many], ends[many], ones[many]
     within = side[starts] == 2
     label = np.arange(len(unit))
+    if joined is not None:
+        order = np.lexsort((joined, unit))
+        same = (unit[order[1:]] == unit[order[:-1]]) & (joined[order[1:]] == joined[order[:-1]])
+        _hook(label, order[:-1][same], order[1:][same])
     if not len(starts):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     t_begin, q_end = np.where(within, starts, starts + ones), np.where(within, ends, starts + ones)
@@ -220,7 +250,11 @@ def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, levels: Seque
                 continue
             lanes = np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             at, bit = np.nonzero(lanes)
-            found.append((*_hook(label, q[at], row_of[64 * w[at] + bit]), radius))
+            x, y = q[at], row_of[64 * w[at] + bit]
+            if barred is not None:
+                free = barred.free(x, y)
+                x, y = x[free], y[free]
+            found.append((*_hook(label, x, y), radius))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = (np.concatenate([f[side] for f in found]) for side in (0, 1))
@@ -372,20 +406,59 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified_links(proposed: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b): links that span the same groups as all proposed pairs (a, b, level) that are similar.
+def compared(proposed: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(links, refused): of the proposed pairs (a, b, level), links (a, b) that span the same groups as all similar ones, and those found unlike.
 
     Each node's nearest proposal is compared first; of the others only those whose ends the links so far
     leave apart.
     """
     ends = proposed.select(F.col("a").alias("node"), "level", "a", "b").union(proposed.select(F.col("b"), "level", "a", "b"))
-    nearest = ends.groupBy("node").agg(F.min(F.struct("level", "a", "b")).alias("n")).select("n.a", "n.b").distinct()
+    nearest = stored(ends.groupBy("node").agg(F.min(F.struct("level", "a", "b")).alias("n")).select("n.a", "n.b").distinct(), "nearest")
     first = stored(similar(nearest, sets, least), "links")
     groups = stored(components(first), "groups")
     group_of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
     apart = proposed.select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti").join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
-    apart = apart.filter(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
-    return first.union(similar(apart, sets, least))
+    apart = stored(apart.filter(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b"), "apart")
+    links = stored(first.union(similar(apart, sets, least)), "links")
+    refused = stored(nearest.union(apart).join(links, ["a", "b"], "left_anti"), "refused")
+    for table in (nearest, first, groups, apart):
+        forget(table)
+    return links, refused
+
+
+def verified_groups(nodes: DataFrame, proposed: DataFrame, sets: DataFrame, masks: list[list[int]], least: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the links between ``nodes`` that their sets confirm.
+
+    Proposals come as forests, so a refused one may have stood before a similar pair that it joined already.
+    Where a group of proposals has a refused one, its nodes are therefore proposed again, verified groups as
+    one and refused pairs barred, until nothing is refused.
+    """
+    links, refused = compared(proposed, sets, least)
+    home = None
+    every, barred = [links], [refused]
+    while refused.limit(1).count():
+        if home is None:
+            home = stored(components(proposed.select("a", "b")), "home")
+        groups = stored(components(_union(every)), "groups")
+        open_ = home.join(refused.select(F.explode(F.array("a", "b")).alias("node")).join(home, "node").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("rep"))
+        both = _union(barred)
+        lists = both.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(both.select("b", "a")).groupBy("rep").agg(F.collect_list("other").alias("refused"))
+        again = nodes.join(open_, "rep", "left_semi").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").join(lists, "rep", "left")
+        again = stored(again.select("rep", *(f"f{k}" for k in range(WORDS)), F.coalesce("component", "rep").alias("joined"), F.coalesce("refused", F.array().cast("array<long>")).alias("refused")), "again")
+        more = stored(near_edges(again, LEVELS, masks, WORDS), "proposed")
+        links, refused = compared(more, sets, least)
+        every.append(links)
+        barred.append(refused)
+        for table in (groups, again, more):
+            forget(table)
+    out = stored(components(_union(every)), "groups")
+    for table in [*every, *barred, *([home] if home is not None else [])]:
+        forget(table)
+    return out
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
 
 
 def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -399,23 +472,26 @@ def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_co
     """
     keys = ["_id", "_text1", "_text2"]
     words = [f"f{k}" for k in range(WORDS)]
-    keyed = documents.select("*", F.col(id_column).cast("long").alias("_id"), F.xxhash64(text_column).alias("_text1"), F.xxhash64(F.lit(1), text_column).alias("_text2"))
-    prints = stored(fingerprints(keyed, shingle, WORDS, True, "_id", text_column, keys[1:], with_sets=True).withColumnRenamed("id", "_id"), "prints")
+    keyed = documents.select(whole(documents), F.col(id_column).cast("long").alias("_id"), F.xxhash64(text_column).alias("_text1"), F.xxhash64(F.lit(1), text_column).alias("_text2"))
+    read = keyed.select("_id", F.col("document")[text_column].alias("text"), *keys[1:])
+    prints = stored(fingerprints(read, shingle, WORDS, True, "_id", "text", keys[1:], with_sets=True).withColumnRenamed("id", "_id"), "prints")
     order = F.struct(F.col("_id").isNull().alias("no_id"), *keys)
     nodes = stored(prints.groupBy(*words).agg(F.min(order).alias("first")).withColumn("rep", F.monotonically_increasing_id()), "nodes")
-    proposed = stored(near_edges(nodes, LEVELS, sampled_masks(WORDS, BUCKET_DISTANCE / (64 * WORDS), MISS, nodes.count()), WORDS), "proposed")
+    masks = sampled_masks(WORDS, BUCKET_DISTANCE / (64 * WORDS), MISS, nodes.count())
+    proposed = stored(near_edges(nodes, LEVELS, masks, WORDS), "proposed")
     asked = proposed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = stored(prints.select(*words, "shingles").join(nodes.join(asked, "rep", "left_semi").select(*words, "rep"), words).dropDuplicates(words).select("rep", "shingles"), "sets")
-    groups = stored(components(verified_links(proposed, sets, least)).withColumnRenamed("node", "rep"), "groups")
+    found = verified_groups(nodes, proposed, sets, masks, least)
+    groups = found.withColumnRenamed("node", "rep")
     firsts = nodes.join(groups, "rep").groupBy("component").agg(F.min("first").alias("group_first"))
     moved = groups.join(firsts, "component").select("rep", "group_first")
     mapped = stored(nodes.join(moved, "rep", "left").select(*words, F.coalesce("group_first", "first").alias("first")), "firsts")
     own = prints.select(*words, *keys)
     gone = stored(own.join(mapped, words).filter(order != F.col("first")).select(*(F.col(c).alias(f"{c}_gone") for c in keys)).distinct(), "gone")
     repeated = own.groupBy(*keys).count().filter("count > 1").limit(1).count()
-    for table in (prints, nodes, proposed, sets, groups, mapped):
+    for table in (prints, nodes, proposed, sets, found, mapped):
         forget(table)
     kept = keyed.join(gone, [F.col(c).eqNullSafe(F.col(f"{c}_gone")) for c in keys], "left_anti")
     if repeated:
         kept = kept.dropDuplicates(keys)
-    return kept.select(*(F.col(c) for c in documents.columns))
+    return kept.select("document.*")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, stored, tidied, utf8
+from .common import bounded_batches, forget, stored, tidied, utf8, whole
 from .sketches import _down, _up
 
 #: A run is the shortest stretch from its first piece on that has so many pieces and so many words.
@@ -151,19 +151,20 @@ def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column
     again = repeats(every)
     marks = again.select("id", "row", F.col("place").alias("mark"), none.alias("n"))
     counts = every.filter("h1 is null").select("id", "row", none.alias("mark"), F.col("place").alias("n"))
-    by_document = stored(marks.union(counts).groupBy("id", "row").agg(F.collect_set("mark").alias("_marks"), F.max("n").alias("_n")).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_marks", "_n"), "marks")
+    by_document = stored(marks.union(counts).groupBy("id", "row").agg(F.collect_set("mark").alias("marks"), F.max("n").alias("n")), "marks")
     forget(every)
     forget(again)
-    keyed = documents.withColumn("_key", row_key)
-    joined = keyed.join(by_document, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_row")), "left")
+    keyed = documents.select(whole(documents), F.col(id_column).cast("long").alias("own_id"), row_key.alias("own_row"))
+    joined = keyed.join(by_document, F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_row").eqNullSafe(F.col("row")), "left")
 
     @F.pandas_udf("text binary, n_removed long, removed array<struct<begin:long,end:long>>")
     def cut(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_cut(t, m) for t, m in zip(texts, marks, strict=True)], columns=["text", "n_removed", "removed"])
 
-    done = joined.withColumn("_cut", cut(utf8(text_column), F.col("_marks")))
-    kept = [F.when(F.col(c).isNotNull(), F.col("_cut.text").cast("string")).alias(c) if c == text_column else F.col(c) for c in documents.columns]
-    return done.select(*kept, F.col("_n").alias("n_sentences"), "_cut.n_removed", "_cut.removed")
+    own = F.col("document")
+    done = joined.withColumn("cut", cut(utf8(own[text_column]), F.col("marks")))
+    kept = [F.when(own[c].isNotNull(), F.col("cut.text").cast("string")).alias(c) if c == text_column else own[c].alias(c) for c in documents.columns]
+    return done.select(*kept, F.col("n").alias("n_sentences"), "cut.n_removed", "cut.removed")
 
 
 def _cut(text: bytes, marks: np.ndarray) -> tuple[bytes, int, list[dict[str, int]]]:
