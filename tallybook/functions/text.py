@@ -183,3 +183,26 @@ def confused_places(a: Column, b: Column) -> Column:
 def long_repeats(s: Column) -> Column:
     """Letters that stand three times or more in a row, each time."""
     return F.regexp_extract_all(s, F.lit(r"((\p{L})\2{2,})"), F.lit(1))
+
+
+# Strings, braces and what is between them; a string without end goes on to the text's end.
+_JSON_PIECES = r'(?s)[^"{}]++|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?$)|[{}]'
+
+
+def first_json_object(s: Column) -> Column:
+    """The first balanced object in a text, from its first opening brace on; null if it does not close or is no JSON.
+
+    Braces within strings do not count, nor do quotes behind a backslash. Nothing after a first object that fails is tried.
+    """
+    begin = F.instr(s, "{")
+    pieces = F.regexp_extract_all(F.substr(s, begin, F.length(s)), F.lit(_JSON_PIECES), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(0).alias("end"))
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = at["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        read = at["read"] + 1
+        return F.struct(depth.alias("depth"), read.alias("read"), F.when((at["end"] == 0) & (depth == 0) & (piece == "}"), read).otherwise(at["end"]).alias("end"))
+
+    end = F.aggregate(pieces, start, step)["end"]
+    found = F.array_join(F.slice(pieces, F.lit(1), end), "")
+    return F.when((begin > 0) & (end > 0) & F.json_object_keys(found).isNotNull(), found)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import common_length, indel_ratio, sorted_words
-from .storage import stored
+from .storage import forget, stored
 
 #: Shares of the cosine and of the texts' ratio in the blend, and the blend from which two descriptions match.
 COSINE_SHARE = 0.6
@@ -70,10 +70,15 @@ def cosine_pairs(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str, k
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
     a, b = (t.select(*group, k, text).dropna() for t, k in ((a, key_a), (b, key_b)))
+    # The weights are of all texts of a group's b, but groups that a lacks are not looked at.
+    groups_a, groups_b = a.select(*group).distinct(), b.select(*group).distinct()
+    a, b = a.join(groups_b, list(group), "left_semi"), b.join(groups_a, list(group), "left_semi")
     idf = stored(fitted(b, group, text), "idf")
-    va, vb = stored(vectors(a, idf, group, key_a, text), "vectors"), stored(vectors(b, idf, group, key_b, text), "vectors")
-    head = lambda v, key: v.filter(1 - F.col("before") >= least * least - 1e-9).select(*group, key, "gram")
-    met = head(va, key_a).join(head(vb, key_b), [*group, "gram"]).select(*group, key_a, key_b).distinct()
+    first = (1 - F.col("before") >= least * least - 1e-9).alias("first")
+    va, vb = (stored(vectors(t, idf, group, k, text).select(*group, k, "gram", "w", first), "vectors") for t, k in ((a, key_a), (b, key_b)))
+    forget(idf)
+    head = lambda v, key: v.filter("first").select(*group, key, "gram")
+    met = stored(head(va, key_a).join(head(vb, key_b), [*group, "gram"]).select(*group, key_a, key_b).distinct(), "met")
     wide = met.join(va.select(*group, key_a, "gram", F.col("w").alias("wa")), [*group, key_a]).join(vb.select(*group, key_b, "gram", F.col("w").alias("wb")), [*group, key_b, "gram"])
     return wide.groupBy(*group, key_a, key_b).agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= least - 1e-12)
 

@@ -1,6 +1,7 @@
 """Scanners, automata, boxes, weighted texts and phases against plain accounts of their rules."""
 
 import datetime
+import json
 import math
 import os
 import random
@@ -9,7 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.functions import gs1, terms
+from tallybook.functions import colour, gs1, terms, text
 from tallybook.operators import boxes, descriptions, linkage, phases
 from tallybook.plans import structure_queries as queries
 from tallybook.plans.registry import frame
@@ -324,3 +325,64 @@ def test_lines_in_order_by_plain_loop(spark):
         assert sorted(((r.a, r.b, r.status) for r in got if r.g == g), key=str) == plain_lines(mine(a), mine(b))
     two = {(r.a, r.b): r.status for r in got if r.g == 2}
     assert two[16, 16] == "equal" and two[15, 15] == "changed" and len(two) >= 18
+
+
+#: Published test pairs of the formula (Sharma, Wu and Dalal, 2005).
+PUBLISHED = [
+    ((50, 2.6772, -79.7751), (50, 0, -82.7485), 2.0425), ((50, 3.1571, -77.2803), (50, 0, -82.7485), 2.8615), ((50, 2.8361, -74.02), (50, 0, -82.7485), 3.4412),
+    ((50, -1.3802, -84.2814), (50, 0, -82.7485), 1.0), ((50, 0, 0), (50, -1, 2), 2.3669), ((50, 2.49, -0.001), (50, -2.49, 0.0009), 7.1792),
+    ((50, 2.49, -0.001), (50, -2.49, 0.0011), 7.2195), ((50, -0.001, 2.49), (50, 0.0009, -2.49), 4.8045), ((50, 2.5, 0), (50, 0, -2.5), 4.3065),
+    ((50, 2.5, 0), (73, 25, -18), 27.1492), ((50, 2.5, 0), (61, -5, 29), 22.8977), ((60.2574, -34.0099, 36.2677), (60.4626, -34.1751, 39.4387), 1.2644),
+    ((22.7233, 20.0904, -46.694), (23.0331, 14.973, -42.5619), 2.0373), ((90.8027, -2.0831, 1.441), (91.1528, -1.6435, 0.0447), 1.4441), ((2.0776, 0.0795, -1.135), (0.9033, -0.0636, -0.5514), 0.9082),
+]
+
+
+def test_colour_differences_as_published(spark):
+    rows = spark.createDataFrame([tuple(map(float, (*x, *y, e))) for x, y, e in PUBLISHED], "l1 double, a1 double, b1 double, l2 double, a2 double, b2 double, e double")
+    assert all(abs(r.delta_e - r.e) < 1e-4 for r in colour.delta_e(rows).collect())
+    white = spark.createDataFrame([(255, 255, 255, 255, 255, 255), (255, 0, 0, 255, 0, 0), (0, 0, 0, 255, 255, 255)], "r1 int, g1 int, v1 int, r2 int, g2 int, v2 int")
+    assert [round(r.delta_e, 2) for r in colour.delta_e_rgb(white).collect()] == [0.0, 0.0, 100.0]
+    lab = colour.stepped(white, colour.lab("1")).select("l1", "a1", "b1").collect()
+    assert [tuple(round(v, 1) for v in r) for r in lab] == [(100.0, 0.0, 0.0), (53.2, 80.1, 67.2), (0.0, 0.0, 0.0)]
+
+
+def test_palettes_by_document(spark):
+    schema = "doc int, place int, r int, g int, v int, share double"
+    a = spark.createDataFrame([(1, 0, 200, 10, 10, 90.0), (1, 1, 0, 0, 255, 2.0), (2, 0, 9, 9, 9, 50.0), (2, 1, 250, 0, 0, 50.0), (3, 0, 1, 1, 1, 99.0), (4, 0, 5, 5, 5, 1.0)], schema)
+    b = spark.createDataFrame([(1, 0, 201, 11, 10, 99.0), (2, 0, 9, 9, 10, 99.0), (9, 0, 1, 1, 1, 99.0)], schema)
+    got = {r.doc: (r.n_colours, r.n_changed, r.changed) for r in colour.palette_verdicts(a, b).collect()}
+    assert got == {1: (1, 0, False), 2: (2, 1, True), 3: (1, 1, True)}
+
+
+def plain_json(s):
+    start = s.find("{")
+    depth, quoted, k = 0, False, start
+    while start >= 0 and k < len(s):
+        c = s[k]
+        if quoted:
+            k += c == "\\"
+            quoted = c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if not depth:
+                try:
+                    return json.loads(s[start : k + 1]) and s[start : k + 1] or s[start : k + 1]
+                except ValueError:
+                    return None
+        k += 1
+    return None
+
+
+def test_first_balanced_object_by_plain_scan(spark):
+    draw = random.Random(20)
+    pieces = ["{", "}", '"', "\\", '\\"', '"a"', ":", "1", ",", "[", "]", " ", "\n", "é", '{"k": 1}', '{"s": "} {"}', "{}"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(0, 9))) for _ in range(600)]
+    texts += ["", '{"a": "' + "x\\\"y" * 20_000 + '"} tail', '{"open": "' + "x" * 50_000, '{"deep": ' * 200 + "1" + "}" * 200 + "}"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", text.first_json_object(F.col("t")).alias("j")).collect()
+    for k, j in got:
+        assert j == plain_json(texts[k]), texts[k][:80]
+    assert spark.createDataFrame([(None,)], "t string").select(text.first_json_object(F.col("t")).alias("j")).first().j is None
+    answers = {r.id: r.answer for r in frame(spark, DATA, queries.ANSWERS).collect()}
+    assert all(r.json == plain_json(answers[r.id]) for r in queries.t49(spark, DATA).collect())
