@@ -386,6 +386,8 @@ def hex_fingerprint(column: str) -> Column:
 #: take 6. Pairs of 56 bits or less are proposed; of those of 44 bits 1 in 50 shares no bucket.
 SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
 LEVELS, BUCKET_DISTANCE, MISS = (32, 44, 50, 56), 44, 0.02
+#: Times that the nodes of a group with refused proposals are proposed again.
+ROUNDS = 2
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -426,17 +428,21 @@ def compared(proposed: DataFrame, sets: DataFrame, least: float = SIMILARITY) ->
     return links, refused
 
 
-def verified_groups(nodes: DataFrame, proposed: DataFrame, sets: DataFrame, masks: list[list[int]], least: float = SIMILARITY) -> DataFrame:
+def verified_groups(nodes: DataFrame, proposed: DataFrame, sets: DataFrame, masks: list[list[int]], least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """(node, component) of the links between ``nodes`` that their sets confirm.
 
     Proposals come as forests, so a refused one may have stood before a similar pair that it joined already.
     Where a group of proposals has a refused one, its nodes are therefore proposed again, verified groups as
-    one and refused pairs barred, until nothing is refused.
+    one and refused pairs barred. Every set of buckets has a forest of its own, so one round looks behind many
+    refused pairs; thousands of texts that are nearly similar would still take as many rounds as they have
+    unlike pairs, so there are ``rounds`` of them at most.
     """
     links, refused = compared(proposed, sets, least)
     home = None
     every, barred = [links], [refused]
-    while refused.limit(1).count():
+    for _ in range(rounds):
+        if not refused.limit(1).count():
+            break
         if home is None:
             home = stored(components(proposed.select("a", "b")), "home")
         groups = stored(components(_union(every)), "groups")
