@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +53,13 @@ def stepped(rows: DataFrame, steps: Steps) -> DataFrame:
     return rows
 
 
-def stepped_sql(inner: str, steps: Steps) -> str:
-    """The same as a query over the query ``inner``, for the other engine."""
-    for step in steps:
-        inner = f"SELECT *, {', '.join(f'{e} AS {name}' for name, e in step.items())} FROM ({inner}) s"
-    return inner.replace("D ", " ").replace("D)", ")").replace("D,", ",")
+def stepped_sql(inner: str, steps: Steps, rest: str) -> str:
+    """The same for the other engine: the query ``rest`` over ``steps``, the rows of the query ``inner`` with each step's columns."""
+    tables = [f"t0 AS MATERIALIZED ({inner})"]
+    for k, step in enumerate(steps):
+        tables.append(f"t{k + 1} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {name}' for name, e in step.items())} FROM t{k})")
+    tables.append(f"steps AS (SELECT * FROM t{len(steps)})")
+    return f"WITH {', '.join(re.sub(r'(?<=[0-9])D' + chr(92) + 'b', '', t) for t in tables)} {rest}"
 
 
 def delta_e(rows: DataFrame) -> DataFrame:
