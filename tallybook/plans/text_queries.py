@@ -231,12 +231,20 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
     return similarity.best_matches(table(spark, d, "embeddings").filter("vec_id % 50 = 0"), table(spark, d, "embeddings"))
 
 
+#: Words of all items that may go to every task.
+INDEX_WORDS = 200_000
+
+
 def overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """(item_id, doc_id, shared, overlap): all items and documents that share a word, by an index of the items' words."""
+    """(item_id, doc_id, shared, overlap): all items and documents that share a word, by an index of the items' words.
+
+    The index goes to the documents where its size allows it, so that none of their words is shuffled and tasks count first.
+    """
     items = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("a"))
     docs = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("b"))
     left, right = items.select("item_id", F.size("a").alias("na"), F.explode("a").alias("w")), docs.select("doc_id", F.size("b").alias("nb"), F.explode("b").alias("w"))
-    shared = left.join(right, "w").groupBy("item_id", "doc_id", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    few = items.agg(F.sum(F.size("a"))).first()[0] or 0
+    shared = right.join(F.broadcast(left) if few <= INDEX_WORDS else left, "w").groupBy("item_id", "doc_id", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     return shared.select("item_id", "doc_id", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 9).alias("overlap"))
 
 
