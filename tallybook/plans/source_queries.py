@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import numbers
-from .registry import query, table
+from ..operators import storage
+from .registry import frame, plain, query, table
 
 
 @query("s03_first_text_that_works", "SELECT doc_id, CASE WHEN length(trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE substring(text, 1, 200) END)) > 50 THEN 1 WHEN length(trim(text)) > 50 THEN 2 END AS priority FROM documents WHERE length(trim(text)) > 50")
@@ -81,3 +82,42 @@ def f21(spark: SparkSession, d: str) -> DataFrame:
 def f25(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem")
     return l.filter("l_returnflag = 'R'").select("l_partkey").distinct().join(l.filter("l_linestatus = 'O' AND l_quantity > 40").select("l_partkey"), "l_partkey", "left_anti")
+
+
+#: Cells with separators, quotes and line ends in them.
+_UPLOAD = "SELECT p_partkey AS id, concat(p_name, ';', chr(34), p_type, chr(34), CASE WHEN p_partkey % 3 = 0 THEN chr(10) ELSE ', ' END, p_brand) AS name, CASE WHEN p_partkey % 5 > 0 THEN CAST(p_size AS STRING) END AS size FROM {part}"
+
+
+@query("s11_uploaded_table", f"SELECT CAST(id AS VARCHAR) AS id, name, size FROM ({plain(_UPLOAD)}) u")
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    """A table written with semicolons, as an upload brings it, and read without being told."""
+    path = storage.new_folder(spark, "upload")
+    frame(spark, d, _UPLOAD).write.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"').csv(path)
+    return sources.read_table(spark, path)
+
+
+@query("s21_two_sheets", "SELECT CAST(o_orderkey AS VARCHAR) AS doc, o_orderstatus AS status, CAST(l_linenumber AS VARCHAR) AS line, CAST(l_partkey AS VARCHAR) AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def s21(spark: SparkSession, d: str) -> DataFrame:
+    """An export of headers and positions, read back and put together again."""
+    path = storage.new_folder(spark, "export")
+    header = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderstatus").alias("status"))
+    positions = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    sources.write_sheets({"header": header, "positions": positions}, path)
+    return sources.read_sheet(spark, path, "header").join(sources.read_sheet(spark, path, "positions"), "doc")
+
+
+@query("s31_appended_costs", "SELECT event_type AS model, count(*) AS calls, CAST(sum(event_id % 1000) AS BIGINT) AS tokens, CAST(sum(CAST(CAST((event_id % 1000) * CASE event_type WHEN 'view' THEN 2.5 ELSE 3 END + (event_id % 77) * CASE event_type WHEN 'view' THEN 10 ELSE 15 END AS DECIMAL(18,2)) * CAST('0.000001' AS DECIMAL(7,6)) AS DECIMAL(18,6))) AS DECIMAL(18,6)) AS usd FROM events GROUP BY event_type", money=("usd",))
+def s31(spark: SparkSession, d: str) -> DataFrame:
+    """Each call's tokens and cost put behind those before, in two appends, and summed by model."""
+    path = storage.new_folder(spark, "usage")
+    calls = table(spark, d, "events").select(F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("tokens_in"), (F.col("event_id") % 77).alias("tokens_out"), "value")
+    cost = numbers.token_cost(F.col("model"), F.col("tokens_in"), F.col("tokens_out"), {"view": (2.5, 10.0)}, (3.0, 15.0))
+    for part in (calls.filter("value < 10"), calls.filter("value >= 10 or value is null")):
+        sources.append_rows(part.select("model", "tokens_in", cost.alias("cost_usd")), path)
+    return spark.read.parquet(path).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens"), F.sum("cost_usd").cast("decimal(18,6)").alias("usd"))
+
+
+@query("s32_file_entries")
+def s32(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the orders' table: their paths below the folder, and their sizes."""
+    return sources.file_entries(spark, d, "*.parquet").filter(F.col("rel_path").startswith("orders.parquet")).select("rel_path", "name", "size", "mtime")

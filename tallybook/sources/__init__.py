@@ -13,15 +13,57 @@ from ..functions.numbers import safe_cell
 SEPARATORS = (",", ";", "\t")
 
 
+#: Characters of a text table in which its separator is looked for.
+HEAD = 8192
+
+#: The mark that some programs put before the first character.
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def separator(spark: SparkSession, path: str) -> str:
-    """The separator met most often in the file's first lines."""
-    head = "\n".join(r[0] for r in spark.read.text(path).limit(50).collect())[:8192]
+    """The separator met most often in the first ``HEAD`` characters of the file, or of a folder's first file; the comma if there is none."""
+    files = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring(F.decode(F.substring("content", 1, 4 * HEAD), "UTF-8"), 1, HEAD).alias("head"))
+    head = next((r["head"] for r in files.filter("length > 0").limit(1).collect()), "") or ""
     return max(SEPARATORS, key=lambda c: (head.count(c), -SEPARATORS.index(c)))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A text table with a header, all columns as text; its separator is found out."""
-    return spark.read.option("header", True).option("sep", separator(spark, path)).option("encoding", "UTF-8").csv(path)
+    """A text table (a file or a folder of such) with a header, all columns as text; its separator is found out.
+
+    Cells may be quoted; within quotes a doubled quote is one, and separators and line ends are text. A byte order
+    mark before the header and blanks around its names go. Empty cells are null, cells that a row lacks too; a
+    file without a row gives an empty table. A quoted line end keeps a file in one task: large tables come as folders of files.
+    """
+    rows = spark.read.option("header", True).option("sep", separator(spark, path)).option("encoding", "UTF-8").option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    return rows.toDF(*(c.lstrip(BYTE_ORDER_MARK).strip() for c in rows.columns))
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Put rows behind those that a table of the same columns has already; what is there is neither read nor changed."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    """Several tables as one export: a safe text table for each sheet, in a folder of its name."""
+    for name, rows in sheets.items():
+        write_safe(rows, f"{path.rstrip('/')}/{name}")
+
+
+def read_sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return read_table(spark, f"{path.rstrip('/')}/{name}")
+
+
+def file_entries(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
+    """(rel_path, name, mtime, size) of all files below a folder whose names fit; their contents are not read.
+
+    ``rel_path`` is the path below ``root``. Folders without such a file give an empty table.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    begin = files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    rel = F.substring_index("path", full, -1)
+    return begin.select(rel.alias("rel_path"), F.substring_index("path", "/", -1).alias("name"), "mtime", "size")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str], keep_blank: Sequence[str] = ()) -> DataFrame:
@@ -55,7 +97,7 @@ def first_that_works(candidates: DataFrame, key: str, text: str, priority: str,
 def write_safe(df: DataFrame, path: str) -> None:
     """A CSV table whose cells no spreadsheet takes for formulas."""
     texts = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
-    df.select(*(safe_cell(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*(safe_cell(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns)).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def pipe_rows(df: DataFrame, key: str, text: str) -> DataFrame:
