@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.functions import colour, gs1, terms, text
-from tallybook.operators import boxes, descriptions, linkage, phases
+from tallybook.operators import boxes, customs, descriptions, linkage, phases
 from tallybook.plans import structure_queries as queries
 from tallybook.plans.registry import frame
 
@@ -386,3 +386,23 @@ def test_first_balanced_object_by_plain_scan(spark):
     assert spark.createDataFrame([(None,)], "t string").select(text.first_json_object(F.col("t")).alias("j")).first().j is None
     answers = {r.id: r.answer for r in frame(spark, DATA, queries.ANSWERS).collect()}
     assert all(r.json == plain_json(answers[r.id]) for r in queries.t49(spark, DATA).collect())
+
+
+def test_customs_audit_by_hand(spark):
+    items = spark.createDataFrame([(1, 1, "A", "steel tube"), (1, 2, "B", None), (2, 1, "A", "steel tube long"), (2, 2, "C", "brass ring"), (2, 3, "A", "wood"), (3, 1, "A", "steel tube"), (4, 1, None, "x")], "doc int, line int, ref string, description string")
+    positions = spark.createDataFrame([(1, 1, "anything", "73041100"), (2, 1, "steel tube", "73041100 10"), (2, 2, "tube steel", "73049999"), (2, 3, "brass ring the pcs", ""), (3, 1, "steel", None)], "doc int, place int, description string, code string")
+    master = spark.createDataFrame([("A", "7304.11.00"), ("B", "9801"), ("C", "7400000000")], "ref string, code string")
+    tariff = spark.createDataFrame([("73041100", True, " "), ("7304110010", False, None)], "code string, active boolean, restrictions string")
+    got = {(r.doc, r.line): (r.status, r.reason, r.issues, r.tariff_issue) for r in customs.audited(items, positions, master, tariff).collect()}
+    assert got == {
+        (1, 1): ("ok", "same", [], None),
+        (1, 2): ("error", "different", ["expected: length"], None),
+        (2, 1): ("ok", "prefix", [], "inactive"),
+        (2, 2): ("warning", "unmatched", [], None),
+        (2, 3): ("warning", "unmatched", [], None),
+        (3, 1): ("warning", "no code", [], None),
+        (4, 1): ("warning", "no code", [], None),
+    }
+    plain = customs.audited(items, positions, master)
+    assert {r.tariff_issue for r in plain.collect()} == {None} and customs.audited(items.limit(0), positions, master, tariff).count() == 0
+    assert customs.audited(items, positions.limit(0), master).filter("reason <> 'no code'").count() == 0
