@@ -12,7 +12,8 @@ For a wide radius they are random bit sets, as many as a stated recall needs. Eq
 cut into tiles and compared tile against tile, so no task holds a bucket.
 
 Where texts and not fingerprints decide, a wide radius only proposes pairs, the nearest first, and the texts'
-shingle sets are compared before a pair counts as a link.
+shingle sets are compared before a pair counts as a link. Where a proposal is refused, all pairs of its group
+are compared by their sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator, Sequence
-from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -143,68 +143,51 @@ def _bucket_keys(masks: list[list[int]]) -> Column:
     return F.explode(F.array(*keys)).alias("bucket")
 
 
-def near_edges(nodes: DataFrame, levels: Sequence[int], masks: list[list[int]], n_words: int = 1) -> DataFrame:
-    """(a, b, level): links between ``nodes`` (rep, f0, ...) that span, in each tile, the same groups as all pairs within the radius.
+def _units(rows: DataFrame, tiles: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(unit, side, rep, columns): ``rows`` (bucket, rep, ...) dealt to units, one for each tile of a bucket and for each two of its tiles.
 
-    ``levels``: ascending distances, the last one the radius. A tile's links come as a forest, at most one
-    row for each member, however many pairs there are; each is a pair within its level, and pairs of a lower
-    level are taken first. Nodes may have a ``joined`` group, within which nothing is left to link, and
-    ``refused``, a list of others whose pairs with them do not count.
+    ``tiles``: (bucket, tiles), the number of tiles of a bucket. Side 2: a tile by itself; 0 and 1: two tiles.
     """
-    words = [f"f{k}" for k in range(n_words)]
-    told = [c for c in ("joined", "refused") if c in nodes.columns]
-    rows = nodes.select("rep", *words, *told, _bucket_keys(masks))
-    sizes = nodes.select(*words, _bucket_keys(masks)).groupBy("bucket").count()
-    large = stored(sizes.filter(F.col("count") > TILE).select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "large")
+    large = stored(tiles.filter("tiles > 1").select("bucket", "tiles"), "large")
     few = large.count() <= BROADCAST_BUCKETS
     tiled = rows.join(F.broadcast(large) if few else large, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    units = tiled.select(
+    return tiled.select(
         F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"),
         "rep",
-        *words,
-        *told,
+        *columns,
     )
 
+
+def near_edges(nodes: DataFrame, levels: Sequence[int], masks: list[list[int]], n_words: int = 1) -> DataFrame:
+    """(a, b, level): links between ``nodes`` (rep, f0, ...) that span, in each tile, the same groups as all pairs within the radius.
+
+    ``levels``: ascending distances, the last one the radius. A tile's links come as a forest, at most one
+    row for each member, however many pairs there are; each is a pair within its level, and pairs of a lower
+    level are taken first.
+    """
+    words = [f"f{k}" for k in range(n_words)]
+    rows = nodes.select("rep", *words, _bucket_keys(masks))
+    tiles = nodes.select(*words, _bucket_keys(masks)).groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    units = _units(rows, tiles, words)
+
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "unit", 16_384):
             prints = np.stack([table.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
             rep = table.column("rep").to_numpy()
-            joined = table.column("joined").to_numpy() if told else None
-            barred = _Barred(rep, table.column("refused").combine_chunks()) if told else None
-            a, b, level = forest(table.column("unit").to_numpy(), table.column("side").to_numpy(), prints, levels, joined, barred)
+            a, b, level = forest(table.column("unit").to_numpy(), table.column("side").to_numpy(), prints, levels)
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(level, pa.int32())], names=["a", "b", "level"])
 
     return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long, level int")
 
 
-class _Barred:
-    """The pairs of a table's rows that were refused before, as numbers."""
-
-    def __init__(self, rep: np.ndarray, refused: pa.ListArray) -> None:
-        known, self.of = np.unique(rep, return_inverse=True)
-        self.size = len(known)
-        other = refused.flatten().to_numpy(zero_copy_only=False)
-        own = np.repeat(self.of, np.diff(refused.offsets.to_numpy()))
-        at = np.minimum(np.searchsorted(known, other), self.size - 1)
-        here = known[at] == other
-        self.pairs = np.unique(self._number(own[here], at[here]))
-
-    def _number(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.minimum(a, b).astype(np.int64) * self.size + np.maximum(a, b)
-
-    def free(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ~np.isin(self._number(self.of[a], self.of[b]), self.pairs)
-
-
-def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, levels: Sequence[int], joined: np.ndarray | None = None, barred: _Barred | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, levels: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers (a, b) and levels of a spanning forest of the links within the last level; rows are sorted by unit and side.
 
-    Side 2: all of the unit are compared; sides 0 and 1: those of 0 with those of 1. Rows of one unit and one
-    ``joined`` group are linked already, and pairs of ``barred`` are no links.
+    Side 2: all of the unit are compared; sides 0 and 1: those of 0 with those of 1.
     """
     starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     ends = np.r_[starts[1:], len(unit)]
@@ -213,10 +196,6 @@ def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, levels: Seque
     starts, ends, ones = starts[many], ends[many], ones[many]
     within = side[starts] == 2
     label = np.arange(len(unit))
-    if joined is not None:
-        order = np.lexsort((joined, unit))
-        same = (unit[order[1:]] == unit[order[:-1]]) & (joined[order[1:]] == joined[order[:-1]])
-        _hook(label, order[:-1][same], order[1:][same])
     if not len(starts):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     t_begin, q_end = np.where(within, starts, starts + ones), np.where(within, ends, starts + ones)
@@ -250,11 +229,7 @@ def forest(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, levels: Seque
                 continue
             lanes = np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             at, bit = np.nonzero(lanes)
-            x, y = q[at], row_of[64 * w[at] + bit]
-            if barred is not None:
-                free = barred.free(x, y)
-                x, y = x[free], y[free]
-            found.append((*_hook(label, x, y), radius))
+            found.append((*_hook(label, q[at], row_of[64 * w[at] + bit]), radius))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = (np.concatenate([f[side] for f in found]) for side in (0, 1))
@@ -386,8 +361,15 @@ def hex_fingerprint(column: str) -> Column:
 #: take 6. Pairs of 56 bits or less are proposed; of those of 44 bits 1 in 50 shares no bucket.
 SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
 LEVELS, BUCKET_DISTANCE, MISS = (32, 44, 50, 56), 44, 0.02
-#: Times that the nodes of a group with refused proposals are proposed again.
-ROUNDS = 2
+#: Nodes, and bytes of their sets, that one tile of a group of proposals holds.
+SET_ROWS, SET_BYTES = 2048, 2 << 20
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets, as ascending arrays, have a Jaccard similarity of ``least`` or more; two empty ones do."""
+    small, large = min(len(x), len(y)), max(len(x), len(y))
+    shared = len(np.intersect1d(x, y, assume_unique=True)) if small >= least * large else 0
+    return shared >= least * (small + large - shared)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -397,12 +379,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Dat
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                shared = len(np.intersect1d(x, y, assume_unique=True)) if small >= least * large else 0
-                good.append(shared >= least * (small + large - shared))
+            good = [alike(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -428,45 +405,87 @@ def compared(proposed: DataFrame, sets: DataFrame, least: float = SIMILARITY) ->
     return links, refused
 
 
-def verified_groups(nodes: DataFrame, proposed: DataFrame, sets: DataFrame, masks: list[list[int]], least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """(node, component) of the links between ``nodes`` that their sets confirm.
+def alike_forest(side: np.ndarray, sets: list[np.ndarray], joined: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Row numbers (a, b) of links that, with the ``joined`` groups, span the same groups as all similar pairs of a unit.
+
+    Side 2: all of the unit are compared; sides 0 and 1, in that order: those of 0 with those of 1. A set also
+    stands as a row of bits, its members' hashes: sets differ in at least as many members as their rows in bits,
+    so pairs whose rows differ in too many cannot be similar, and only the others' sets are compared.
+    """
+    _, first, of = np.unique(joined, return_index=True, return_inverse=True)
+    label = first[of]
+    if len(first) == 1:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    n_bits = 64 * min(1024, max(8, int(sizes.mean()) // 4))
+    marks = np.zeros((len(sets), n_bits), bool)
+    marks[np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets) % n_bits] = True
+    marks = np.packbits(marks, axis=1).view(np.uint64)
+    ones = int((side == 0).sum())
+    found = []
+    for k in range(ones or len(sets)):
+        begin = max(k + 1, ones)
+        rest = begin + np.flatnonzero(label[begin:] != label[k])
+        # Similar sets differ in at most this many members.
+        most = (sizes[rest] + sizes[k]) * (1 - least) / (1 + least) + 1e-6
+        near = np.abs(sizes[rest] - sizes[k]) <= most
+        rest, most = rest[near], most[near]
+        differ = np.bitwise_count(marks[rest] ^ marks[k]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(differ <= most)
+        rest = rest[near[np.argsort(differ[near], kind="stable")]]
+        while len(rest):
+            other, rest = rest[0], rest[1:]
+            if alike(sets[k], sets[other], least):
+                _hook(label, np.array([k]), np.array([other]))
+                found.append((k, int(other)))
+                rest = rest[label[rest] != label[k]]
+    return found
+
+
+def alike_within(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between ``nodes`` (rep, home, joined, shingles) that, with the ``joined`` groups, span the same groups as all similar pairs of one ``home``."""
+    rows = nodes.withColumnRenamed("home", "bucket")
+    tiles = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / SET_ROWS, F.sum(F.length("shingles")) / SET_BYTES)).cast("int").alias("tiles"))
+    units = _units(rows, tiles, ["joined", "shingles"])
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "unit", 1):
+            unit, side, rep, joined = (table.column(c).to_numpy() for c in ("unit", "side", "rep", "joined"))
+            sets = [np.frombuffer(s.as_buffer(), "<u4") for s in table.column("shingles")]
+            starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            links = [(begin + a, begin + b) for begin, end in zip(starts, np.r_[starts[1:], len(unit)], strict=True) for a, b in alike_forest(side[begin:end], sets[begin:end], joined[begin:end], least)]
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
+
+    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long")
+
+
+def verified_groups(proposed: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the links that the nodes' sets confirm.
 
     Proposals come as forests, so a refused one may have stood before a similar pair that it joined already.
-    Where a group of proposals has a refused one, its nodes are therefore proposed again, verified groups as
-    one and refused pairs barred. Every set of buckets has a forest of its own, so one round looks behind many
-    refused pairs; thousands of texts that are nearly similar would still take as many rounds as they have
-    unlike pairs, so there are ``rounds`` of them at most.
+    Where a group of proposals has a refused one, all pairs of its nodes are therefore compared by their sets,
+    but for those that links join already. So the nodes of one group of proposals are grouped as by all similar
+    pairs of them, however many were refused.
     """
     links, refused = compared(proposed, sets, least)
-    home = None
-    every, barred = [links], [refused]
-    for _ in range(rounds):
-        if not refused.limit(1).count():
-            break
-        if home is None:
-            home = stored(components(proposed.select("a", "b")), "home")
-        groups = stored(components(_union(every)), "groups")
-        open_ = home.join(refused.select(F.explode(F.array("a", "b")).alias("node")).join(home, "node").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("rep"))
-        both = _union(barred)
-        lists = both.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(both.select("b", "a")).groupBy("rep").agg(F.collect_list("other").alias("refused"))
-        again = nodes.join(open_, "rep", "left_semi").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").join(lists, "rep", "left")
-        again = stored(again.select("rep", *(f"f{k}" for k in range(WORDS)), F.coalesce("component", "rep").alias("joined"), F.coalesce("refused", F.array().cast("array<long>")).alias("refused")), "again")
-        more = stored(near_edges(again, LEVELS, masks, WORDS), "proposed")
-        links, refused = compared(more, sets, least)
-        every.append(links)
-        barred.append(refused)
-        for table in (groups, again, more):
-            forget(table)
-    out = stored(components(_union(every)), "groups")
-    for table in [*every, *barred, *([home] if home is not None else [])]:
+    tables = [links, refused]
+    if refused.limit(1).count():
+        home = stored(components(proposed.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("home")), "home")
+        groups = stored(components(links).select(F.col("node").alias("rep"), F.col("component").alias("joined")), "groups")
+        doubtful = refused.select(F.col("a").alias("rep")).join(home, "rep").select("home").distinct()
+        opened = home.join(doubtful, "home", "left_semi").join(groups, "rep", "left").withColumn("joined", F.coalesce("joined", "rep"))
+        opened = stored(opened.join(sets, "rep").select("rep", "home", "joined", "shingles"), "opened")
+        more = stored(alike_within(opened, least), "links")
+        tables += [home, groups, opened, more]
+        links = links.union(more)
+    out = stored(components(links), "groups")
+    for table in tables:
         forget(table)
     return out
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, tables)
-
-
 def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, without all but one row of each group of linked texts.
 
@@ -487,7 +506,7 @@ def first_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_co
     proposed = stored(near_edges(nodes, LEVELS, masks, WORDS), "proposed")
     asked = proposed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = stored(prints.select(*words, "shingles").join(nodes.join(asked, "rep", "left_semi").select(*words, "rep"), words).dropDuplicates(words).select("rep", "shingles"), "sets")
-    found = verified_groups(nodes, proposed, sets, masks, least)
+    found = verified_groups(proposed, sets, least)
     groups = found.withColumnRenamed("node", "rep")
     firsts = nodes.join(groups, "rep").groupBy("component").agg(F.min("first").alias("group_first"))
     moved = groups.join(firsts, "component").select("rep", "group_first")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tallybook.llm import simhash, spans, warc
 
@@ -53,6 +55,66 @@ def test_no_link_is_lost_behind_a_refused_one(spark):
     assert sum(3 * t + 2 in kept for t in range(60)) <= 4
 
 
+def nearly_similar(n, seed):
+    """Texts that are all near, but unlike, by four words each has for itself, and at the end for every fourth one a text that is like it alone."""
+    draw, base, out, twins = random.Random(seed), prose(224, seed).split(), [], []
+    for k in range(n):
+        own = list(base)
+        for j, p in enumerate(draw.sample(range(5, 220, 6), 4)):
+            own[p] = f"x{k}y{j}"
+        out.append(" ".join(own))
+        if k % 4 == 0:
+            for j, p in enumerate(draw.sample(range(2, 220, 6), 4)):
+                own[p] = f"t{k}y{j}"
+            twins.append(" ".join(own))
+    return out + twins
+
+
+def groups_of(sets, least):
+    label = np.arange(len(sets))
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    simhash._join(label, *(np.array(x) for x in zip(*near, strict=True)))
+    return label.tolist()
+
+
+def test_no_link_is_lost_behind_very_many_refused_ones(spark, monkeypatch):
+    """However many unlike pairs stand before a similar one, also where a group of proposals is cut into tiles."""
+    monkeypatch.setattr(simhash, "SET_ROWS", 100, raising=False)
+    texts = nearly_similar(200, 7)
+    kept = {r.doc_id for r in simhash.first_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    runs = [[tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in map(str.split, texts)]
+    label = groups_of([set(r) for r in runs], 0.8)
+    assert sum(label[k] != k for k in range(len(texts))) >= 50
+    assert kept == {k for k in range(len(texts)) if label[k] == k}
+
+
+def test_sets_of_a_unit_are_grouped_as_by_all_similar_pairs():
+    draw = random.Random(3)
+    sets = [set(), set(), {1}]
+    for size in (3, 10, 60, 400, 9000):
+        for _ in range(6):
+            base = [draw.randrange(2**32) for _ in range(size)]
+            sets += [{x if draw.random() > share else draw.randrange(2**32) for x in base} for share in (0, 0.03, 0.05, 0.1, 0.12, 0.2)]
+    draw.shuffle(sets)
+    label = groups_of(sets, 0.8)
+    arrays = [np.array(sorted(s), "<u4") for s in sets]
+    n, half = len(sets), len(sets) // 2
+    for joined in (np.arange(n) + 5, np.array([k if draw.random() < 0.5 else label[k] for k in range(n)])):
+        got = np.arange(n)
+        links = simhash.alike_forest(np.full(n, 2), arrays, joined)
+        links += [(k, int(np.flatnonzero(joined == joined[k])[0])) for k in range(n)]
+        simhash._join(got, *np.array(links).T)
+        assert got.tolist() == label
+    # Two tiles and what is between them.
+    got, side = np.arange(n), (np.arange(n) >= half).astype(int)
+    links = simhash.alike_forest(side, arrays, np.arange(n))
+    assert all(a < half <= b for a, b in links)
+    links += simhash.alike_forest(np.full(half, 2), arrays[:half], np.arange(half))
+    links += [(half + a, half + b) for a, b in simhash.alike_forest(np.full(n - half, 2), arrays[half:], np.arange(n - half))]
+    simhash._join(got, *np.array(links).T)
+    assert got.tolist() == label
+
+
 def test_urls_cannot_forge_header_fields(spark):
     urls = ["http://a/ WARC-Payload-Digest: x", "http://a/\u0085WARC-Refers-To: <urn:page:7:sha256:0>", "http://a/ WARC-Type: revisit", "http://a/\r\nWARC-Type: revisit\r\n\r\n", "", None, "http://a/WARC-Type: revisit"]
     html = "x" * 150 + " WARC-Type: response\r\n\r\nWARC/1.1\r\n"
