@@ -61,13 +61,15 @@ def nearly_similar(n, seed):
     for k in range(n):
         own = list(base)
         for j, p in enumerate(draw.sample(range(5, 220, 6), 4)):
-            own[p] = f"x{k}y{j}"
-        out.append(" ".join(own))
-        if k % 4 == 0:
-            for j, p in enumerate(draw.sample(range(2, 220, 6), 4)):
-                own[p] = f"t{k}y{j}"
-            twins.append(" ".join(own))
-    return out + twins
+            own[p] = f"x{seed}y{k}z{j}"
+        out.append(own)
+    draw = random.Random(seed)
+    for k in range(0, n, 4):
+        own = list(out[k])
+        for j, p in enumerate(draw.sample(range(2, 220, 6), 4)):
+            own[p] = f"t{seed}y{k}z{j}"
+        twins.append(own)
+    return [" ".join(w) for w in out + twins]
 
 
 def groups_of(sets, least):
