@@ -30,19 +30,25 @@ def item_status(in_a: Column, in_b: Column, quantity_equal: Column, unit_equal:
     return F.when(~in_b, "missing in b").when(~in_a, "missing in a").when(hard, "different").otherwise(soft)
 
 
-def compare_items(a: DataFrame, b: DataFrame, places: int = 2) -> DataFrame:
+def compare_items(a: DataFrame, b: DataFrame, places: int = 2, each: bool = False) -> DataFrame:
     """(doc, ref, status, quantity_equal, unit_equal, price_verdict, net_verdict, arithmetic_ok) of items (doc, ref, qty, net, unit).
 
     Items pair by document and reference, in the order of their lines (if there is such a column), quantities
     and amounts: the second of a reference meets the other side's second. A null document or reference pairs
     with nothing. Units' prices are net over quantity. Both sides are shuffled once, together, on (doc, ref).
+    With ``each``, every item meets every item of its reference on the other side, as an outer join does.
     """
     side = lambda t, s: t.select("doc", "ref", "qty", "net", "unit", F.when(F.col("qty") != 0, F.round(F.col("net") / F.col("qty"), 4)).alias("price"), (F.col("line") if "line" in t.columns else F.lit(None)).cast("long").alias("_line"), F.lit(s).alias("_side"))
-    both = side(a, "a").union(side(b, "b")).repartition("doc", "ref")
-    turn = F.row_number().over(Window.partitionBy("doc", "ref", "_side").orderBy("_line", "qty", "net", "unit"))
-    alone = F.when(F.col("doc").isNull() | F.col("ref").isNull(), F.col("_side"))
-    of = lambda c, s: F.max(F.when(F.col("_side") == s, F.col(c))).alias(f"{c}_{s}")
-    m = both.withColumn("_turn", turn).withColumn("_alone", alone).groupBy("doc", "ref", "_turn", "_alone").agg(*(of(c, s) for s in "ab" for c in ("qty", "net", "unit", "price")), *(F.bool_or(F.col("_side") == s).alias(f"in_{s}") for s in "ab"))
+    columns = ("qty", "net", "unit", "price")
+    if each:
+        left, right = (side(t, s).select("doc", "ref", *(F.col(c).alias(f"{c}_{s}") for c in columns), F.lit(True).alias(f"in_{s}")) for t, s in ((a, "a"), (b, "b")))
+        m = left.join(right, ["doc", "ref"], "full").fillna(False, ["in_a", "in_b"])
+    else:
+        both = side(a, "a").union(side(b, "b")).repartition("doc", "ref")
+        turn = F.row_number().over(Window.partitionBy("doc", "ref", "_side").orderBy("_line", "qty", "net", "unit"))
+        alone = F.when(F.col("doc").isNull() | F.col("ref").isNull(), F.col("_side"))
+        of = lambda c, s: F.max(F.when(F.col("_side") == s, F.col(c))).alias(f"{c}_{s}")
+        m = both.withColumn("_turn", turn).withColumn("_alone", alone).groupBy("doc", "ref", "_turn", "_alone").agg(*(of(c, s) for s in "ab" for c in columns), *(F.bool_or(F.col("_side") == s).alias(f"in_{s}") for s in "ab"))
     net_agrees = F.coalesce(F.col("net_a") == F.col("net_b"), F.lit(False))
     price = price_verdict(F.col("price_a"), F.col("price_b"), net_agrees, places)
     net_equal = numbers_equal(F.col("net_a"), F.col("net_b"))
