@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.functions import colour, gs1, terms, text
-from tallybook.operators import boxes, customs, descriptions, linkage, phases
+from tallybook.operators import boxes, customs, descriptions, linkage, phases, storage
 from tallybook.plans import structure_queries as queries
 from tallybook.plans.registry import frame
 
@@ -311,6 +311,23 @@ def plain_lines(a, b):
     return sorted(out + [(None, j, "only_b") for j, _ in b if j not in used], key=str)
 
 
+def test_first_boxes_are_not_broadcast(spark, monkeypatch):
+    """Shown boxes are many times their packed files, by which Spark judges what to broadcast."""
+    draw, plans = random.Random(5), []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.stored(df, name)
+
+    monkeypatch.setattr(boxes, "stored", seen)
+    rows = [(page, k, x := draw.randrange(-200, 200) / 8, y := draw.randrange(-60, 60) / 8, x + draw.randrange(30) / 8, y + 1.0) for page in range(3) for k in range(300)]
+    rows += [(3, k, 1.0, 1.0, 2.0, 2.0) for k in range(50)]
+    first = boxes.first_of_near(spark.createDataFrame(rows, "page int, place int, x0 double, y0 double, x1 double, y1 double")).collect()
+    for page in range(4):
+        assert sorted(r.place for r in first if r.page == page) == [k[0] for k in plain_first([r[1:] for r in rows if r[0] == page], 1.0)]
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_lines_in_order_by_plain_loop(spark):
     """Repeated and very long lines, ties, and lines that an earlier one takes."""
     draw = random.Random(15)
