@@ -1,18 +1,21 @@
-"""Alike descriptions: cosines of weighted character grams, met by rare grams only, and the blend with text ratios."""
+"""Alike descriptions: cosines of weighted character grams, met in blocks, and the blend with text ratios."""
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import common_length, indel_ratio, sorted_words
-from .storage import forget, stored
+from .products import shared_sums
+from .storage import stored
 
 #: Shares of the cosine and of the texts' ratio in the blend, and the blend from which two descriptions match.
 COSINE_SHARE = 0.6
@@ -38,49 +41,128 @@ def grams(texts: Column) -> Column:
     return run(texts)
 
 
-def fitted(rows: DataFrame, group: Sequence[str], text: str) -> DataFrame:
-    """(group, gram, df, idf) over the texts of each group: the logarithm of (1 + texts) over (1 + texts with the gram), and 1."""
-    texts = rows.select(*group, text)
-    n = texts.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    df = texts.select(*group, F.explode(grams(F.col(text))).alias("_gram")).groupBy(*group, F.col("_gram.gram").alias("gram")).agg(F.count(F.lit(1)).alias("df"))
-    return df.join(n, list(group)).select(*group, "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+def distinct_texts(rows: DataFrame, group: Sequence[str], text: str) -> DataFrame:
+    """(group, text, n, id): the different texts of each group with their numbers of rows. All work on texts is done once for each."""
+    return stored(rows.groupBy(*group, text).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "texts")
 
 
-def vectors(rows: DataFrame, idf: DataFrame, group: Sequence[str], key: str, text: str) -> DataFrame:
-    """(group, key, gram, df, w, before): unit vectors of the texts, of the fitted grams only.
+def fitted(texts: DataFrame, group: Sequence[str], text: str) -> DataFrame:
+    """(group, gram, df, idf, term) over the rows of ``distinct_texts``: the logarithm of (1 + rows) over (1 + rows with the gram), and 1; term numbers them."""
+    n = texts.groupBy(*group).agg(F.sum("n").alias("rows"))
+    df = texts.select(*group, "n", F.explode(grams(F.col(text))).alias("_gram")).groupBy(*group, F.col("_gram.gram").alias("gram")).agg(F.sum("n").alias("df"))
+    found = df.join(n, list(group)).select(*group, "gram", "df", (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return stored(found.withColumn("term", F.monotonically_increasing_id()), "idf")
 
-    A gram of tf occurrences weighs (1 + ln tf) x idf. ``before`` is the squared length of what comes before a
-    gram when its vector's grams stand in order, rarest first.
-    """
-    found = rows.select(*group, key, F.explode(grams(F.col(text))).alias("_gram")).select(*group, key, "_gram.gram", "_gram.tf").join(idf, [*group, "gram"])
-    found = found.withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    one = Window.partitionBy(*group, key)
-    found = found.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(one)))
-    before = F.sum(F.col("w") * F.col("w")).over(one.orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1))
-    return found.select(*group, key, "gram", "df", "w", F.coalesce(before, F.lit(0.0)).alias("before"))
 
+def vectors(texts: DataFrame, idf: DataFrame, group: Sequence[str], text: str) -> DataFrame:
+    """(id, terms, weights): unit vectors of the texts, of the fitted grams only. A gram of tf occurrences weighs (1 + ln tf) x idf."""
+    found = texts.select(*group, "id", F.explode(grams(F.col(text))).alias("_gram")).select(*group, "id", "_gram.gram", "_gram.tf").join(idf, [*group, "gram"])
+    v = found.groupBy("id").agg(F.collect_list(F.struct("term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda sum, x: sum + x["w"] * x["w"]))
+    return v.withColumn("length", length).select("id", F.col("v.term").alias("terms"), F.transform("v.w", lambda w: w / F.col("length")).alias("weights"))
 
-def cosine_pairs(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str, key_b: str, text: str, least: float) -> DataFrame:
-    """(group, key_a, key_b, cosine): all pairs of one group whose cosine is ``least`` (over 0) or more; the weights are fitted on ``b``.
 
-    Grams stand in one order, rarest first. Where the rest of a vector is shorter than ``least``, what two vectors
-    share in the rests cannot make them a pair, so pairs meet on the grams before it alone, the rare ones, and
-    none is missed. Keys are those of one row in its group. Null groups, keys and blank texts match nothing.
-    """
+#: Pairs of a group that one task may look at, one by one.
+FEW_PAIRS = 4096
+
+
+def _of_group(a: list[str], b: list[str], least: float) -> list[tuple[int, int, float]]:
+    """The places of all pairs of two lists of texts and their cosines, from ``least`` on; the weights are fitted on ``b``."""
+    counted = [[Counter(g for w in t.split() for g in grams_of_word(w)) for t in side] for side in (a, b)]
+    df = Counter(g for c in counted[1] for g in c)
+    idf = {g: math.log((1 + len(b)) / (1 + n)) + 1 for g, n in df.items()}
+
+    def unit(c: Counter) -> dict[str, float]:
+        v = {g: (1 + math.log(tf)) * idf[g] for g, tf in c.items() if g in idf}
+        length = math.sqrt(sum(w * w for w in v.values()))
+        return {g: w / length for g, w in v.items()}
+
+    left, right = ([unit(c) for c in side] for side in counted)
+    found = ((i, j, sum(w * y[g] for g, w in x.items() if g in y)) for i, x in enumerate(left) if x for j, y in enumerate(right))
+    return [(i, j, c) for i, j, c in found if c >= least - 1e-12]
+
+
+def _in_groups(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str, key_b: str, text: str, least: float, blended: float | None) -> DataFrame:
+    """The pairs of groups that a task holds, and with ``blended`` those alone whose blend is that or more."""
+    none = lambda t, k: F.lit(None).cast(t.schema[k].dataType).alias(k)
+    both = a.select(*group, F.lit(0).alias("_side"), key_a, none(b, key_b), text).union(b.select(*group, F.lit(1), none(a, key_a), key_b, text))
+    n = len(group)
+    fields = [*((g, a.schema[g].dataType) for g in group), (key_a, a.schema[key_a].dataType), (key_b, b.schema[key_b].dataType)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, kinds = None, ([], []), None
+
+        def pairs() -> list[tuple]:
+            (keys_a, texts_a), (keys_b, texts_b) = (tuple(zip(*side, strict=True)) or ((), ()) for side in sides)
+            out = []
+            for i, j, cosine in _of_group(texts_a, texts_b, least) if keys_a and keys_b else ():
+                like = 1.0 if blended is None else blend(texts_a[i], texts_b[j], cosine, blended)
+                if blended is None or like >= blended:
+                    out.append((*now, keys_a[i], keys_b[j], cosine, like))
+            return out
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.float64(), pa.float64()], strict=True)], names=[*(f for f, _ in fields), "cosine", "similarity"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in (*range(n), n + 1, n + 2)]
+            rows = []
+            for *g, side, x, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != now:
+                    rows += pairs() if now is not None else []
+                    now, sides = g, ([], [])
+                sides[side].append((y if side else x, t))
+            if rows:
+                yield table(rows)
+        if now is not None and (rows := pairs()):
+            yield table(rows)
+
+    shape = ", ".join(f"`{f}` {k.simpleString()}" for f, k in fields)
+    return both.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"{shape}, cosine double, similarity double")
+
+
+def _alike(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str, key_b: str, text: str, least: float, blended: float | None = None) -> DataFrame:
+    """(group, key_a, key_b, cosine, similarity): all pairs whose cosine is ``least`` and, if given, whose blend is ``blended`` or more."""
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
     a, b = (t.select(*group, k, text).dropna() for t, k in ((a, key_a), (b, key_b)))
-    # The weights are of all texts of a group's b, but groups that a lacks are not looked at.
-    groups_a, groups_b = a.select(*group).distinct(), b.select(*group).distinct()
-    a, b = a.join(groups_b, list(group), "left_semi"), b.join(groups_a, list(group), "left_semi")
-    idf = stored(fitted(b, group, text), "idf")
-    first = (1 - F.col("before") >= least * least - 1e-9).alias("first")
-    va, vb = (stored(vectors(t, idf, group, k, text).select(*group, k, "gram", "w", first), "vectors") for t, k in ((a, key_a), (b, key_b)))
-    forget(idf)
-    head = lambda v, key: v.filter("first").select(*group, key, "gram")
-    met = stored(head(va, key_a).join(head(vb, key_b), [*group, "gram"]).select(*group, key_a, key_b).distinct(), "met")
-    wide = met.join(va.select(*group, key_a, "gram", F.col("w").alias("wa")), [*group, key_a]).join(vb.select(*group, key_b, "gram", F.col("w").alias("wb")), [*group, key_b, "gram"])
-    return wide.groupBy(*group, key_a, key_b).agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= least - 1e-12)
+    count = lambda t, name: t.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
+    # Groups that one side lacks are not looked at.
+    groups = stored(count(a, "_n_a").join(count(b, "_n_b"), list(group)).select(*group, (F.col("_n_a") * F.col("_n_b") <= FEW_PAIRS).alias("_few")), "groups")
+    few, many = (groups.filter(c).select(*group) for c in ("_few", "NOT _few"))
+    within = lambda t, g: t.join(g, list(group), "left_semi")
+    out = _in_groups(within(a, few), within(b, few), group, key_a, key_b, text, least, blended)
+    if not many.limit(1).count():
+        return out
+    a, b = within(a, many), within(b, many)
+    ta, tb = (distinct_texts(t, group, text) for t in (a, b))
+    idf = fitted(tb, group, text)
+    va, vb = (vectors(t, idf, group, text).withColumnRenamed("id", k) for t, k in ((ta, "i"), (tb, "j")))
+    near = stored(shared_sums(va, vb, least - 1e-12).select(F.col("i").alias("_i"), F.col("j").alias("_j"), "total", F.lit(1.0).alias("similarity")), "near")
+    if blended is not None:
+        texts = near.join(ta.select(F.col("id").alias("_i"), F.col(text).alias("_a")), "_i").join(tb.select(F.col("id").alias("_j"), F.col(text).alias("_b")), "_j")
+        lengths = F.least(F.length("_a"), F.length("_b")) / F.greatest(F.length("_a"), F.length("_b"))
+        texts = texts.filter(COSINE_SHARE * F.col("total") + RATIO_SHARE * lengths >= blended - 1e-9)
+
+        @F.pandas_udf("double")
+        def run(x: pd.Series, y: pd.Series, cosine: pd.Series) -> pd.Series:
+            return pd.Series(np.array([blend(*row, blended) for row in zip(x, y, cosine, strict=True)], np.float64))
+
+        near = stored(texts.select("_i", "_j", "total", run("_a", "_b", "total").alias("similarity")).filter(F.col("similarity") >= blended), "alike")
+    keyed = lambda t, texts, key, name: t.join(texts.select(*group, text, F.col("id").alias(name)), [*group, text]).select(*group, key, name)
+    rows = near.join(keyed(a, ta, key_a, "_i"), "_i").join(keyed(b, tb, key_b, "_j").drop(*group), "_j")
+    return out.union(rows.select(*group, key_a, key_b, F.col("total").alias("cosine"), "similarity"))
+
+
+def cosine_pairs(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str, key_b: str, text: str, least: float) -> DataFrame:
+    """(group, key_a, key_b, cosine): all pairs of one group whose cosine is ``least`` (over 0) or more; the weights are fitted on ``b``.
+
+    A group of few pairs is compared within a task. Of larger ones the different texts meet in blocks (see
+    ``shared_sums``), so neither a gram nor a group gathers rows and no pair is shuffled but those found.
+    Keys are those of one row in its group. Null groups, keys and blank texts match nothing.
+    """
+    return _alike(a, b, group, key_a, key_b, text, least).drop("similarity")
 
 
 def part_ratio(a: str, b: str) -> float:
@@ -99,14 +181,19 @@ def part_ratio(a: str, b: str) -> float:
     return best
 
 
-def blend(a: str, b: str, cosine: float) -> float:
+def blend(a: str, b: str, cosine: float, least: float = 0.0) -> float:
     """Two normalised descriptions' similarity, 0 to 1: six tenths of the cosine and four of the better of the ratios of
-    their sorted words and of the shorter's best place in the longer, reduced by their lengths' ratio."""
+    their sorted words and of the shorter's best place in the longer, reduced by their lengths' ratio. It may be 0 where it
+    is less than ``least``."""
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
     lengths = min(len(a), len(b)) / max(len(a), len(b))
+    # What a stretch has in common with the shorter text are characters of both texts at most.
+    common, shorter = sum((Counter(a) & Counter(b)).values()), min(len(a), len(b))
+    if COSINE_SHARE * cosine + RATIO_SHARE * lengths * 2 * common / (shorter + common) < least - 1e-9:
+        return 0.0
     ratio = max(indel_ratio(sorted_words(a), sorted_words(b)), part_ratio(a, b)) * lengths / 100.0
     return COSINE_SHARE * cosine + RATIO_SHARE * ratio
 
@@ -119,14 +206,4 @@ def similar_pairs(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str,
     """
     if least <= RATIO_SHARE:
         raise ValueError("least must be over the ratio's share")
-    near = cosine_pairs(a, b, group, key_a, key_b, text, (least - RATIO_SHARE) / COSINE_SHARE)
-    texts = near.join(a.select(*group, key_a, F.col(text).alias("_a")), [*group, key_a]).join(b.select(*group, key_b, F.col(text).alias("_b")), [*group, key_b])
-    lengths = F.least(F.length("_a"), F.length("_b")) / F.greatest(F.length("_a"), F.length("_b"))
-    texts = texts.filter(COSINE_SHARE * F.col("cosine") + RATIO_SHARE * lengths >= least - 1e-9)
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series, cosine: pd.Series) -> pd.Series:
-        return pd.Series(np.array([blend(*row) for row in zip(x, y, cosine, strict=True)], np.float64))
-
-    scored = texts.withColumn("similarity", run("_a", "_b", "cosine"))
-    return scored.filter(F.col("similarity") >= least).select(*group, key_a, key_b, "cosine", "similarity")
+    return _alike(a, b, group, key_a, key_b, text, (least - RATIO_SHARE) / COSINE_SHARE, least)
