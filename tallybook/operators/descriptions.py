@@ -9,11 +9,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import common_length, indel_ratio, sorted_words
+from . import groups
+from .groups import FEW_PAIRS
 from .products import shared_sums
 from .storage import stored
 
@@ -62,10 +63,6 @@ def vectors(texts: DataFrame, idf: DataFrame, group: Sequence[str], text: str) -
     return v.withColumn("length", length).select("id", F.col("v.term").alias("terms"), F.transform("v.w", lambda w: w / F.col("length")).alias("weights"))
 
 
-#: Pairs of a group that one task may look at, one by one.
-FEW_PAIRS = 4096
-
-
 def _of_group(a: list[str], b: list[str], least: float) -> list[tuple[int, int, float]]:
     """The places of all pairs of two lists of texts and their cosines, from ``least`` on; the weights are fitted on ``b``."""
     counted = [[Counter(g for w in t.split() for g in grams_of_word(w)) for t in side] for side in (a, b)]
@@ -82,60 +79,24 @@ def _of_group(a: list[str], b: list[str], least: float) -> list[tuple[int, int,
     return [(i, j, c) for i, j, c in found if c >= least - 1e-12]
 
 
-def _in_groups(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str, key_b: str, text: str, least: float, blended: float | None) -> DataFrame:
-    """The pairs of groups that a task holds, and with ``blended`` those alone whose blend is that or more."""
-    none = lambda t, k: F.lit(None).cast(t.schema[k].dataType).alias(k)
-    both = a.select(*group, F.lit(0).alias("_side"), key_a, none(b, key_b), text).union(b.select(*group, F.lit(1), none(a, key_a), key_b, text))
-    n = len(group)
-    fields = [*((g, a.schema[g].dataType) for g in group), (key_a, a.schema[key_a].dataType), (key_b, b.schema[key_b].dataType)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides, kinds = None, ([], []), None
-
-        def pairs() -> list[tuple]:
-            (keys_a, texts_a), (keys_b, texts_b) = (tuple(zip(*side, strict=True)) or ((), ()) for side in sides)
-            out = []
-            for i, j, cosine in _of_group(texts_a, texts_b, least) if keys_a and keys_b else ():
-                like = 1.0 if blended is None else blend(texts_a[i], texts_b[j], cosine, blended)
-                if blended is None or like >= blended:
-                    out.append((*now, keys_a[i], keys_b[j], cosine, like))
-            return out
-
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.float64(), pa.float64()], strict=True)], names=[*(f for f, _ in fields), "cosine", "similarity"])
-
-        for batch in batches:
-            kinds = [batch.schema.field(k).type for k in (*range(n), n + 1, n + 2)]
-            rows = []
-            for *g, side, x, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != now:
-                    rows += pairs() if now is not None else []
-                    now, sides = g, ([], [])
-                sides[side].append((y if side else x, t))
-            if rows:
-                yield table(rows)
-        if now is not None and (rows := pairs()):
-            yield table(rows)
-
-    shape = ", ".join(f"`{f}` {k.simpleString()}" for f, k in fields)
-    return both.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"{shape}, cosine double, similarity double")
-
-
 def _alike(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str, key_b: str, text: str, least: float, blended: float | None = None) -> DataFrame:
     """(group, key_a, key_b, cosine, similarity): all pairs whose cosine is ``least`` and, if given, whose blend is ``blended`` or more."""
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
     a, b = (t.select(*group, k, text).dropna() for t, k in ((a, key_a), (b, key_b)))
     count = lambda t, name: t.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
-    # Groups that one side lacks are not looked at.
-    groups = stored(count(a, "_n_a").join(count(b, "_n_b"), list(group)).select(*group, (F.col("_n_a") * F.col("_n_b") <= FEW_PAIRS).alias("_few")), "groups")
-    few, many = (groups.filter(c).select(*group) for c in ("_few", "NOT _few"))
-    within = lambda t, g: t.join(g, list(group), "left_semi")
-    out = _in_groups(within(a, few), within(b, few), group, key_a, key_b, text, least, blended)
-    if not many.limit(1).count():
+
+    def compare(x: list[str], y: list[str]) -> Iterator[tuple[int, int, float, float]]:
+        for i, j, cosine in _of_group(x, y, least):
+            like = 1.0 if blended is None else blend(x[i], y[j], cosine, blended)
+            if blended is None or like >= blended:
+                yield i, j, cosine, like
+
+    small, large = groups.parted(a, b, group, FEW_PAIRS)
+    out = groups.compared(*small, group, key_a, key_b, text, compare, ["cosine", "similarity"])
+    if large is None:
         return out
-    a, b = within(a, many), within(b, many)
+    a, b = large
     ta, tb = (distinct_texts(t, group, text) for t in (a, b))
     idf = fitted(tb, group, text)
     va, vb = (vectors(t, idf, group, text).withColumnRenamed("id", k) for t, k in ((ta, "i"), (tb, "j")))
@@ -165,26 +126,53 @@ def cosine_pairs(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str, k
     return _alike(a, b, group, key_a, key_b, text, least).drop("similarity")
 
 
-def part_ratio(a: str, b: str) -> float:
-    """The best Indel ratio (0 to 100) of the shorter text to a stretch of the longer one that is no longer, at its ends also shorter."""
+def part_ratio(a: str, b: str, over: float = 0.0) -> float:
+    """The best Indel ratio (0 to 100) of the shorter text to a stretch of the longer one that is no longer, at its ends also
+    shorter; ``over`` if none has more than that.
+
+    A stretch's subsequence has no more characters than both have in common in any order, which are counted
+    as the stretch moves on: only a stretch that can be better by them is looked at.
+    """
     if len(a) > len(b):
         a, b = b, a
     n = len(a)
     if not n:
-        return 100.0 if not b else 0.0
+        return max(over, 100.0 if not b else 0.0)
     if a in b:
         return 100.0
-    stretches = {b[max(0, k) : k + n] for k in range(1 - n, len(b))}
-    best = max(200.0 * common_length(a, s) / (n + len(s)) for s in stretches)
-    if n == len(b):
-        best = max(best, *(200.0 * common_length(b, a[max(0, k) : k + n]) / (n + len(a[max(0, k) : k + n])) for k in range(1 - n, n)))
+    best = over
+    for text, other in ((a, b), (b, a)) if n == len(b) else ((a, b),):
+        left = Counter(text)  # of each character what the stretch has not yet; negative where it has too many
+        common, found = 0, []
+        for end in range(1, len(other) + n):
+            if end <= len(other):
+                c = other[end - 1]
+                k = left.get(c, 0)
+                common += k > 0
+                left[c] = k - 1
+            if end > n:
+                c = other[end - n - 1]
+                k = left[c]
+                common -= k >= 0
+                left[c] = k + 1
+            low, high = max(0, end - n), min(end, len(other))
+            bound = 200.0 * common / (n + high - low)
+            if bound > best:
+                found.append((-bound, low, high))
+        for bound, low, high in sorted(found):
+            if -bound <= best:
+                break
+            best = max(best, 200.0 * common_length(text, other[low:high]) / (n + high - low))
     return best
 
 
+text_ratio = lru_cache(100_000)(part_ratio)
+
+
 def blend(a: str, b: str, cosine: float, least: float = 0.0) -> float:
     """Two normalised descriptions' similarity, 0 to 1: six tenths of the cosine and four of the better of the ratios of
-    their sorted words and of the shorter's best place in the longer, reduced by their lengths' ratio. It may be 0 where it
-    is less than ``least``."""
+    their sorted words and of the shorter's best place in the longer, reduced by their lengths' ratio. A similarity under
+    ``least`` is told as any value under it."""
     if not a or not b:
         return 0.0
     if a == b:
@@ -194,8 +182,10 @@ def blend(a: str, b: str, cosine: float, least: float = 0.0) -> float:
     common, shorter = sum((Counter(a) & Counter(b)).values()), min(len(a), len(b))
     if COSINE_SHARE * cosine + RATIO_SHARE * lengths * 2 * common / (shorter + common) < least - 1e-9:
         return 0.0
-    ratio = max(indel_ratio(sorted_words(a), sorted_words(b)), part_ratio(a, b)) * lengths / 100.0
-    return COSINE_SHARE * cosine + RATIO_SHARE * ratio
+    words = indel_ratio(sorted_words(a), sorted_words(b))
+    needed = 100.0 * (least - COSINE_SHARE * cosine) / (RATIO_SHARE * lengths) - 1e-6
+    ratio = part_ratio(a, b, needed) if needed > words else text_ratio(a, b, words)
+    return COSINE_SHARE * cosine + RATIO_SHARE * ratio * lengths / 100.0
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, group: Sequence[str], key_a: str, key_b: str, text: str, least: float = MATCH) -> DataFrame:
