@@ -22,8 +22,14 @@ BYTE_ORDER_MARK = "\ufeff"
 
 def separator(spark: SparkSession, path: str) -> str:
     """The separator met most often in the first ``HEAD`` characters of the file, or of a folder's first file; the comma if there is none."""
-    files = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring(F.decode(F.substring("content", 1, 4 * HEAD), "UTF-8"), 1, HEAD).alias("head"))
-    head = next((r["head"] for r in files.filter("length > 0").limit(1).collect()), "") or ""
+    first = spark.read.format("binaryFile").load(path).filter("length > 0").agg(F.min("path")).first()[0]
+    if first is None:
+        return SEPARATORS[0]
+    # Only the head is read: a query for it would bring whole files to the driver to tell which comes first.
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(first)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    head = bytes(stream.readNBytes(4 * HEAD)).decode("utf-8", "replace")[:HEAD]
+    stream.close()
     return max(SEPARATORS, key=lambda c: (head.count(c), -SEPARATORS.index(c)))
 
 

@@ -46,3 +46,16 @@ def test_files_below_a_folder(spark, tmp_path):
     got = sources.file_entries(spark, str(tmp_path))
     assert sorted((r.rel_path, r.name, r.size) for r in got.collect()) == [("a.pdf", "a.pdf", 5), ("sub/b.pdf", "b.pdf", 9), ("sub/deep er/c.pdf", "c.pdf", 17)]
     assert all(r.mtime is not None for r in got.collect())
+
+
+def test_separator_is_found_without_reading_whole_files(spark, tmp_path):
+    """Files over the length that may be read whole; the first that is not empty tells, by its first characters."""
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text("")
+    (tmp_path / "t" / "b.csv").write_text("ą;b\n" + "ą;1\n" * 4000 + "," * 90_000)
+    (tmp_path / "t" / "c.csv").write_text("ą,b\n" + "1,2\n" * 4000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert sources.separator(spark, str(tmp_path / "t")) == ";" and sources.separator(spark, str(tmp_path / "t" / "c.csv")) == ","
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
