@@ -344,6 +344,20 @@ def test_lines_in_order_by_plain_loop(spark):
     assert two[16, 16] == "equal" and two[15, 15] == "changed" and len(two) >= 18
 
 
+def test_lines_of_large_and_small_texts(spark, monkeypatch):
+    """Texts of few pairs of lines are compared within a task, and no line goes with each of its pairs to another; the others as before."""
+    draw, met = random.Random(16), []
+    line = lambda: "".join(draw.choice("abcdE ") for _ in range(draw.choice([1, 2, 5, 9, 30]))).strip() or "x"
+    a, b = (spark.createDataFrame([(g, k, line()) for g in range(3) for k in range(5 + 9 * g)], "g int, place int, line string") for _ in range(2))
+    monkeypatch.setattr(linkage, "_lines_alike", lambda *args, f=linkage._lines_alike: met.append(1) or f(*args))
+    monkeypatch.setattr(linkage.groups, "MOST_ROWS", 3)
+    found = []
+    for most in (1 << 20, 100, 0):
+        monkeypatch.setattr(linkage, "LINE_PAIRS", most)
+        found.append(sorted(map(tuple, linkage.matched_lines(a, b, "g").collect()), key=str))
+    assert found[0] == found[1] == found[2] and len(met) == 2
+
+
 #: Published test pairs of the formula (Sharma, Wu and Dalal, 2005).
 PUBLISHED = [
     ((50, 2.6772, -79.7751), (50, 0, -82.7485), 2.0425), ((50, 3.1571, -77.2803), (50, 0, -82.7485), 2.8615), ((50, 2.8361, -74.02), (50, 0, -82.7485), 3.4412),
