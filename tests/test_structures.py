@@ -437,3 +437,18 @@ def test_customs_audit_by_hand(spark):
     plain = customs.audited(items, positions, master)
     assert {r.tariff_issue for r in plain.collect()} == {None} and customs.audited(items.limit(0), positions, master, tariff).count() == 0
     assert customs.audited(items, positions.limit(0), master).filter("reason <> 'no code'").count() == 0
+
+
+def test_positions_of_large_and_small_documents(spark, monkeypatch):
+    """Documents of few pairs are compared within a task, without a join on words; the positions are the same."""
+    draw = random.Random(17)
+    text = lambda: " ".join(draw.choice([*WORDS, "Śruba", "x1"]) for _ in range(draw.randrange(0, 6)))
+    items = spark.createDataFrame([(doc, k, text()) for doc in range(4) for k in range(3 + 6 * doc)] + [(None, 1, "gauze"), (9, 1, None)], "doc int, line int, description string")
+    positions = spark.createDataFrame([(doc, k, text(), str(k)) for doc in range(1, 4) for k in range(1 + 5 * doc)] + [(None, 1, "gauze", "1")], "doc int, place int, description string, code string")
+    found = []
+    for few in (4096, 60, 0):
+        monkeypatch.setattr(customs.groups, "FEW_PAIRS", few)
+        found.append(sorted(map(tuple, customs.position_codes(items, positions).collect()), key=str))
+    assert found[0] == found[1] == found[2] and sum(r[2] is not None for r in found[0]) > 10
+    monkeypatch.setattr(customs.groups, "FEW_PAIRS", 4096)
+    assert "word#" not in customs.position_codes(items, positions)._jdf.queryExecution().optimizedPlan().toString()
